@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_010.0
@@ -24,7 +24,7 @@ def checked_latitude(lat: Column, on_bad: str = "fail") -> Column:
         if on_bad == "fail"
         else F.lit(None).cast("double")
     )
-    return F.when(lat.isNull() | lat.between(-90.0, 90.0), lat).otherwise(bad)
+    return F.when(~lat.between(-90.0, 90.0), bad).otherwise(lat)
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -64,11 +64,20 @@ class Grid:
     def cell_id(self, band: Column, index: Column) -> Column:
         return band * self.stride + index
 
-    def cell_of(self, lon: Column, lat: Column) -> Column:
-        """The one cell a point lies in, as a BIGINT."""
-        band = self.band(lat)
-        count = self.cells_in(band)
-        return self.cell_id(band, F.pmod(F.floor((lon + 180.0) * count / 360.0), count))
+    def with_cell(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the one cell the point (lon, lat) of each row lies in, as a BIGINT that is never NULL.
+
+        Band and cell count are columns of their own first: used several times, they are computed once. And a
+        key that cannot be NULL spares the optimizer a null filter that would repeat the whole expression.
+        """
+        count = F.col("_count")
+        index = F.pmod(F.floor((F.col("lon") + 180.0) * count / 360.0), count)
+        return (
+            df.withColumn("_band", self.band(F.col("lat")))
+            .withColumn("_count", self.cells_in(F.col("_band")))
+            .withColumn(name, F.coalesce(self.cell_id(F.col("_band"), index), F.lit(-1)))
+            .drop("_band", "_count")
+        )
 
     def reachable_bands(self, lat: Column) -> Column:
         """Bands a circle around a point at this latitude can touch, as an array."""

@@ -40,7 +40,7 @@ def within_distance(occurrences: DataFrame, sites: DataFrame, radius_m: float =
     larger one is shuffled by cell, and a crowded cell is spread over several tasks.
     """
     grid = Grid(radius_m)
-    points = occurrences.withColumn(_CELL, grid.cell_of(F.col("lon"), F.col("lat")))
+    points = grid.with_cell(occurrences, _CELL)
     cells = site_cells(sites, grid)
     if measure(sites).can_broadcast:
         pairs = points.join(F.broadcast(cells), _CELL)
@@ -93,13 +93,13 @@ def nearest_site(occurrences: DataFrame, sites: DataFrame, radius_m: float = RAD
             ),
             lambda candidate: candidate.distance_to_dive_site <= radius_m,
         )
+        # Unpacking an array of at most one computes the choice once and drops rows without one.
+        choice = F.slice(F.array_sort(reachable), 1, 1)
         return (
-            occurrences.withColumn(_CELL, grid.cell_of(F.col("lon"), F.col("lat")))
+            grid.with_cell(occurrences, _CELL)
             .join(F.broadcast(by_cell), _CELL)
-            .withColumn("_nearest", F.array_min(reachable))
-            .where(F.col("_nearest").isNotNull())
-            .select(*columns, "_nearest.dive_site", "_nearest.site_lon", "_nearest.site_lat",
-                    "_nearest.distance_to_dive_site")
+            .select(*columns, F.inline(choice))
+            .select(*columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site")
         )
     positions = occurrences.select("lon", "lat").distinct()
     nearest = closest_per_key(

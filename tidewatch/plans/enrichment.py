@@ -58,20 +58,23 @@ def remaining(work: DataFrame, completed: DataFrame) -> DataFrame:
     return lookup_join(work, completed.select("species").distinct(), "species", "left_anti", size_of=completed)
 
 
-def assign_batches(work: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def assign_batches(work: DataFrame, batch_rows: int = BATCH_ROWS, total: int | None = None) -> DataFrame:
     """Add a ``batch_id`` such that batches hold about ``batch_rows`` rows each; the same name, the same batch."""
-    batches = max(1, math.ceil(work.count() / batch_rows))
+    batches = max(1, math.ceil((work.count() if total is None else total) / batch_rows))
     return work.withColumn("batch_id", F.pmod(F.xxhash64("species"), F.lit(batches)))
 
 
 def extract_common_name(replies: DataFrame) -> DataFrame:
-    """First English name of each species whose match is a species with a key: (species, common_name)."""
+    """First English name of each species whose match is a species with a key: (species, common_name).
+
+    Should a reply have been landed twice, the smaller name is kept, so that a species has one row.
+    """
     match = F.from_json("match_json", schemas.NAME_MATCH)
     english = F.filter(F.from_json("names_json", schemas.NAME_LIST)["results"], lambda r: r.language == "eng")
     named = replies.where((F.coalesce(match["usageKey"], F.lit(0)) != 0) & (match["rank"] == "SPECIES")).select(
         "species", F.get(english, F.lit(0))["vernacularName"].alias("common_name")
     )
-    return named.where("common_name IS NOT NULL")
+    return named.where("common_name IS NOT NULL").groupBy("species").agg(F.min("common_name").alias("common_name"))
 
 
 def extract_summary(replies: DataFrame) -> DataFrame:
@@ -80,7 +83,9 @@ def extract_summary(replies: DataFrame) -> DataFrame:
     found = replies.select(
         "species", reply["extract"].alias("description"), reply["originalimage"]["source"].alias("image_url")
     )
-    return found.where("description IS NOT NULL OR image_url IS NOT NULL")
+    found = found.where("description IS NOT NULL OR image_url IS NOT NULL")
+    one = found.groupBy("species").agg(F.min(F.struct("description", "image_url")).alias("one"))
+    return one.select("species", "one.*")
 
 
 def extract_fallback_image(replies: DataFrame, width: int = 800) -> DataFrame:
@@ -198,7 +203,7 @@ def save_batches(resolved: DataFrame, path: str) -> None:
 
 def completed_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows stored by earlier batches; none if the folder does not exist."""
-    schema = f"{schemas.ENRICHMENT.simpleString()[7:-1]},is_new:boolean,batch_id:bigint"
+    schema = f"{schemas.ENRICHMENT}, is_new boolean, batch_id bigint"
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -221,7 +226,8 @@ def enrich_incremental(
     All batches run as one job that writes one folder per batch; a run that was cut short picks up the rest.
     """
     todo = remaining(work, completed_rows(spark, progress))
-    batched = assign_batches(resolve_enrichment(todo, names, summaries, images), batch_rows)
+    resolved = resolve_enrichment(todo, names, summaries, images)
+    batched = assign_batches(resolved, batch_rows, total=todo.count())
     first_free = completed_rows(spark, progress).agg(F.coalesce(F.max("batch_id") + 1, F.lit(0))).first()[0]
     save_batches(batched.withColumn("batch_id", F.col("batch_id") + first_free), progress)
     return completed_rows(spark, progress)

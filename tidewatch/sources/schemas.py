@@ -1,33 +1,26 @@
-"""Declared schemas of the stored inputs and of the enrichment and response tables."""
+"""Declared schemas, as DDL, of the stored inputs and of the enrichment and response tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 # Field names are those of the published observation files (fixed values).
-OBSERVATION_FILE = _struct(
+OBSERVATION_FILE = (
     "interpreted struct<species:string,individualCount:string,eventDate:string,eventTime:string,"
     "date_year:bigint,month:string,day:string,decimalLongitude:double,decimalLatitude:double>"
 )
-OBSERVATIONS = _struct(
+OBSERVATIONS = (
     "species string, individualCount string, eventDate string, eventTime string, year bigint, month string,"
     " day string, decimalLongitude double, decimalLatitude double"
 )
-TYPED_OBSERVATIONS = _struct(
+TYPED_OBSERVATIONS = (
     "species string, individualcount bigint, eventdate timestamp_ntz, decimallongitude double,"
     " decimallatitude double"
 )
-CHECKLIST = _struct("scientificName string")
-SITES = _struct("id bigint, title string, latitude double, longitude double")
-ENRICHMENT = _struct("species string, common_name string, description string, image_url string")
-NAME_REPLIES = _struct("species string, match_json string, names_json string")
-SUMMARY_REPLIES = _struct("species string, json string")
-IMAGE_REPLIES = _struct("json string")
+CHECKLIST = "scientificName string"
+SITES = "id bigint, title string, latitude double, longitude double"
+ENRICHMENT = "species string, common_name string, description string, image_url string"
+NAME_REPLIES = "species string, match_json string, names_json string"
+SUMMARY_REPLIES = "species string, json string"
+IMAGE_REPLIES = "json string"
 
 STORED = {
     "obis_table": OBSERVATIONS,
@@ -40,11 +33,11 @@ STORED = {
 }
 
 # JSON bodies inside the landed replies and site pages.
-GUIDE_PAGE = _struct("results array<struct<id:bigint,title:string,latitude:double,longitude:double>>")
-MAP_PAGE = T.ArrayType(_struct("id bigint, title string, latitude double, longitude double"))
-NAME_MATCH = _struct("usageKey bigint, rank string")
-NAME_LIST = _struct("results array<struct<vernacularName:string,language:string>>")
-SUMMARY = _struct("extract string, originalimage struct<source:string>")
-IMAGE_BINDINGS = _struct(
+GUIDE_PAGE = "results array<struct<id:bigint,title:string,latitude:double,longitude:double>>"
+MAP_PAGE = "array<struct<id:bigint,title:string,latitude:double,longitude:double>>"
+NAME_MATCH = "usageKey bigint, rank string"
+NAME_LIST = "results array<struct<vernacularName:string,language:string>>"
+SUMMARY = "extract string, originalimage struct<source:string>"
+IMAGE_BINDINGS = (
     "results struct<bindings:array<struct<scientificName:struct<value:string>,image:struct<value:string>>>>"
 )

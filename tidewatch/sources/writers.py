@@ -19,11 +19,12 @@ def write_table(
     cluster_by: list[str] | None = None,
     mode: str = "overwrite",
     partitions: int | None = None,
+    keep_other_months: bool = False,
 ) -> None:
     """Write parquet.
 
-    ``partition_month`` adds an ``event_month`` folder per month of that column; an overwrite then replaces
-    only the months it writes. ``cluster_by`` range-partitions and sorts by those columns, so that a filter on
+    ``partition_month`` adds an ``event_month`` folder per month of that column; with ``keep_other_months`` an
+    overwrite replaces only the months it writes. ``cluster_by`` range-partitions and sorts by those columns, so that a filter on
     them skips files and row groups; ``"geography"`` stands for the grid cell of (lon, lat). Rows of one hot
     key are spread over several files by a hash, and copies of one row by the partition they come from.
     """
@@ -34,7 +35,7 @@ def write_table(
     if cluster_by:
         for name in cluster_by:
             if name == "geography":
-                out = out.withColumn("_cell", Grid(RADIUS_M).cell_of(F.col("lon"), F.col("lat")))
+                out = Grid(RADIUS_M).with_cell(out, "_cell")
                 keys.append("_cell")
             else:
                 keys.append(name)
@@ -47,7 +48,9 @@ def write_table(
         out = out.repartition(partitions)
     writer = out.write.mode(mode).option("compression", codec)
     if partition_month:
-        writer = writer.partitionBy("event_month").option("partitionOverwriteMode", "dynamic")
+        writer = writer.partitionBy("event_month").option(
+            "partitionOverwriteMode", "dynamic" if keep_other_months else "static"
+        )
     writer.parquet(path)
 
 
