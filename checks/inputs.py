@@ -10,6 +10,9 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from tidewatch.plans import models, staging
 
 GIVEN = ("supplier", "part", "lineitem", "events")
 
@@ -94,26 +97,43 @@ FROM taxon_key WHERE size <= 30""",
     "guide_pages": """
 SELECT '{"results":[{"id":' || CAST(id AS VARCHAR(20)) || ',"title":"' || title || '","images":["x.jpg"]}]}' AS body
 FROM divesites_raw WHERE region <> 5 AND title IS NOT NULL""",
-    "map_pages": f"""
-SELECT '[{{"id":' || CAST(d.id AS VARCHAR(20)) || ',"latitude":' || CAST(((d.id * 37) % 121) - 60 AS VARCHAR(20))
-  || ',"longitude":' || CAST(((d.id * 73) % 361) - 180 AS VARCHAR(20)) || '}}]' AS body
-FROM divesites_raw d CROSS JOIN (SELECT 1 AS rep UNION ALL SELECT 2 AS rep) r
-WHERE region <> 7 AND (rep = 1 OR region < 9)""",
+    "map_pages": """
+SELECT '[{"id":' || CAST(id AS VARCHAR(20)) || ',"latitude":' || CAST(((id * 37) % 121) - 60 AS VARCHAR(20))
+  || ',"longitude":' || CAST(((id * 73) % 361) - 180 AS VARCHAR(20)) || '}]' AS body
+FROM (SELECT id FROM divesites_raw WHERE region <> 7
+      UNION ALL SELECT id FROM divesites_raw WHERE region < 9 AND region <> 7) cells""",
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def read_given(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; its schema is read from the file once per process."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 class Inputs:
     """The derived tables of one data folder, as lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, stored: dict[str, DataFrame] | None = None):
+        """``stored`` gives tables that are already written, by name; they are used instead of being derived."""
         self.spark = spark
         self.folder = folder
         self._tables: dict[str, DataFrame] = {}
+        for name, table in (stored or {}).items():
+            if name in VIEWS:
+                self._tables[name] = table
+            else:
+                self.__dict__[name] = table
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             if name in GIVEN:
-                table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                table = read_given(self.spark, self.folder, name)
             else:
                 text = VIEWS[name].strip()
                 for other in (*GIVEN, *VIEWS):
@@ -134,66 +154,50 @@ class Tables(Inputs):
 
     @cached_property
     def sites(self):
-        from tidewatch.plans.staging import stage_sites
-
-        return stage_sites(self.divesites_raw)
+        return staging.stage_sites(self.divesites_raw)
 
     @cached_property
     def gbif(self):
-        from tidewatch.plans.staging import stage_gbif
-
-        return stage_gbif(self.gbif_raw)
+        return staging.stage_gbif(self.gbif_raw)
 
     @cached_property
     def obis(self):
-        from tidewatch.plans.staging import stage_obis
-
-        return stage_obis(self.obis_raw)
+        return staging.stage_obis(self.obis_raw)
 
     @cached_property
     def occurrences(self):
-        from tidewatch.plans import models
-
         return models.occurrences(self.gbif, self.obis, self.worms)
 
     @cached_property
-    def species(self):
-        from tidewatch.plans import models
+    def valid_records(self):
+        """Each record with a taxonomy name once. Rows that only repeat change neither the set of species nor the
+        closest pair of a timestamp, so those two start here."""
+        return models.occurrences(self.gbif, self.obis, self.worms, mode="semi")
 
-        return models.species(self.occurrences, self.redlist, self.invasive)
+    @cached_property
+    def species(self):
+        return models.species(self.valid_records, self.redlist, self.invasive)
 
     @cached_property
     def near(self):
-        from tidewatch.plans import models
-
-        return models.near_dive_site_occurrences(self.occurrences, self.sites)
+        return models.near_dive_site_occurrences(self.valid_records, self.sites)
 
     @cached_property
     def frequency(self):
-        from tidewatch.plans import models
-
         return models.divesite_species_frequency(self.near)
 
     @cached_property
     def monthly(self):
-        from tidewatch.plans import models
-
         return models.monthly_species_occurrences(self.near, self.sites)
 
     @cached_property
     def detail(self):
-        from tidewatch.plans import models
-
         return models.divesite_species_detail(self.frequency, self.species, self.sites, self.species_enrichment)
 
     @cached_property
     def summary(self):
-        from tidewatch.plans import models
-
         return models.species_divesite_summary(self.frequency, self.species, self.sites, self.species_enrichment)
 
     @cached_property
     def site_summary(self):
-        from tidewatch.plans import models
-
         return models.divesite_summary(self.sites, self.detail)

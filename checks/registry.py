@@ -459,15 +459,20 @@ def _(t):
     return models.divesite_summary(t.sites, fanout_safe=(t.frequency, t.species))
 
 
-@query("c_build_all_tables", " UNION ALL ".join(
-    f"SELECT '{name}' AS name, count(*) AS row_count FROM {table}" for name, table in BY_NAME.items()))
-def _(t):
-    tables = build.build_tables(
+def model_build(t) -> dict[str, DataFrame]:
+    """All model tables, written below the shared folder."""
+    return build.build_tables(
         t.spark,
         {"gbif": t.gbif_raw, "obis": t.obis_raw, "worms": t.worms, "redlist": t.redlist, "invasive": t.invasive,
          "divesites": t.divesites_raw, "species_enrichment": t.species_enrichment},
         new_table_path(t.spark, "model"),
     )
+
+
+@query("c_build_all_tables", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS row_count FROM {table}" for name, table in BY_NAME.items()))
+def _(t):
+    tables = model_build(t)
     result = None
     for name, table in tables.items():
         counted = table.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"))
@@ -723,15 +728,14 @@ def _(t):
     # Rules read the tables as stored, so each is written once and not computed again per rule.
     folder = new_table_path(t.spark, "checked")
     stored = {}
-    for name in ("occurrences", "near_dive_site_occurrences"):
-        writers.write_table(_model_tables(t)[name], f"{folder}/{name}")
+    for name in ("occurrences", "near"):
+        writers.write_table(getattr(t, name), f"{folder}/{name}")
         stored[name] = t.spark.read.parquet(f"{folder}/{name}")
-    again = Tables(t.spark, t.folder)
-    again.__dict__.update(occurrences=stored["occurrences"], near=stored["near_dive_site_occurrences"])
     for name in ("species", "frequency", "detail"):
+        again = Tables(t.spark, t.folder, stored)
         writers.write_table(getattr(again, name), f"{folder}/{name}")
-        again.__dict__[name] = t.spark.read.parquet(f"{folder}/{name}")
-    return quality.run_checks(_model_tables(again), as_of=AS_OF)
+        stored[name] = t.spark.read.parquet(f"{folder}/{name}")
+    return quality.run_checks(_model_tables(Tables(t.spark, t.folder, stored)), as_of=AS_OF)
 
 
 @query("d1_not_null", """

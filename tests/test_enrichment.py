@@ -1,0 +1,130 @@
+import pytest
+
+from tests.conftest import rows
+from tidewatch.plans import enrichment
+from tidewatch.sources import schemas
+
+WORK = "species string, common_name string, description string, image_url string, is_new boolean"
+
+
+def table(spark, data, schema=schemas.ENRICHMENT):
+    return spark.createDataFrame(data, schema)
+
+
+def test_work_list(spark):
+    species = table(spark, [("new",), ("full",), ("part",), ("untried",)], "species string")
+    known = table(spark, [("full", "n", "d", ""), ("part", None, "d", ""), ("untried", None, None, None),
+                          ("gone", "n", None, None)])
+    assert rows(enrichment.work_list(species, known)) == [
+        ("gone", "n", None, None, False), ("new", None, None, None, True), ("part", None, "d", "", False)]
+    assert rows(enrichment.work_list(species, known, new_only=True)) == [("new", None, None, None, True)]
+
+
+def test_common_names(spark):
+    english = '{"results":[{"vernacularName":"f","language":"fra"},{"vernacularName":"e1","language":"eng"},' \
+              '{"vernacularName":"e2","language":"eng"}]}'
+    good = '{"usageKey":5,"rank":"SPECIES"}'
+    replies = table(spark, [
+        ("a", good, english), ("a", good, english), ("b", '{"usageKey":0,"rank":"SPECIES"}', english),
+        ("c", '{"usageKey":5,"rank":"GENUS"}', english), ("d", '{"matchType":"NONE"}', english),
+        ("e", good, '{"results":[]}'), ("f", good, "{}"), ("g", good, "not json"), ("h", None, english),
+    ], schemas.NAME_REPLIES)
+    assert rows(enrichment.extract_common_name(replies)) == [("a", "e1")]
+
+
+def test_summaries(spark):
+    replies = table(spark, [
+        ("a", '{"extract":"t","originalimage":{"source":"u"}}'), ("b", '{"extract":"t"}'),
+        ("c", '{"originalimage":{"source":"u"}}'), ("d", '{"type":"x"}'), ("e", '{"extract":""}'), ("f", "bad"),
+    ], schemas.SUMMARY_REPLIES)
+    assert rows(enrichment.extract_summary(replies)) == [
+        ("a", "t", "u"), ("b", "t", None), ("c", None, "u"), ("e", "", None)]
+
+
+def test_first_image_that_is_not_blank_wins(spark):
+    def binding(name, url):
+        return f'{{"scientificName":{{"value":"{name}"}},"image":{{"value":"{url}"}}}}'
+
+    both = ",".join([binding("a", ""), binding("a", "h/1.jpg"), binding("b", "h/3.jpg"), binding("a", "h/2.jpg")])
+    bodies = [f'{{"results":{{"bindings":[{both}]}}}}', '{"results":{"bindings":[]}}', "{}"]
+    got = enrichment.extract_fallback_image(table(spark, [(b,) for b in bodies], schemas.IMAGE_REPLIES))
+    assert [(r.species, r.image_url.rsplit("-", 1)[1]) for r in got.orderBy("species").collect()] == [
+        ("a", "1.jpg"), ("b", "3.jpg")]
+
+
+def test_lookups_needed(spark):
+    work = table(spark, [("a", None, None, None, True), ("b", "n", "d", None, False), ("c", None, "d", "i", False)],
+                 WORK)
+    summaries = table(spark, [("b", None, "u"), ("a", "t", None)], "species string, description string, image_url string")
+    assert rows(enrichment.plan_lookups(work, summaries)) == [
+        ("a", True, True, True), ("b", False, True, False), ("c", True, False, False)]
+
+
+def test_resolved_values(spark):
+    work = table(spark, [
+        ("new_none", None, None, None, True), ("new_all", None, None, None, True),
+        ("old_none", None, "d", "", False), ("old_kept", "n", "d", None, False), ("old_blank", "", None, "i", False),
+        ("old_image", "n", None, None, False),
+    ], WORK)
+    names = table(spark, [("new_all", "N"), ("old_kept", "X"), ("old_none", "")], "species string, common_name string")
+    texts = table(spark, [("new_all", "T", None), ("old_kept", "T2", ""), ("old_image", "", "W")],
+                  "species string, description string, image_url string")
+    images = table(spark, [("new_all", "F"), ("old_kept", "F2"), ("old_image", "F3")],
+                   "species string, image_url string")
+    assert rows(enrichment.resolve_enrichment(work, names, texts, images)) == [
+        ("new_all", "N", "T", "F", True),
+        ("new_none", None, None, None, True),
+        ("old_blank", "", "", "i", False),
+        ("old_image", "n", "", "W", False),
+        # A blank image in the summary counts as an answer, so the fallback was not asked.
+        ("old_kept", "n", "T2", "", False),
+        ("old_none", "", "d", "", False),
+    ]
+
+
+def test_merge(spark):
+    target = table(spark, [("a", "n", None, "i"), ("a", "m", None, None), ("b", "n", "d", "i"), ("c", "x", "y", "z")])
+    staged = table(spark, [("a", None, "D", ""), ("d", "N", None, None), ("b", "", None, None)])
+    assert rows(enrichment.merge_enrichment(target, staged)) == [
+        ("a", "m", "D", ""), ("a", "n", "D", ""), ("b", "", "d", "i"), ("c", "x", "y", "z"), ("d", "N", None, None)]
+
+
+def test_merge_refuses_repeated_staged_keys(spark):
+    staged = table(spark, [("a", "n", None, None), ("a", "m", None, None)])
+    with pytest.raises(ValueError, match="more than one"):
+        enrichment.merge_enrichment(table(spark, []), staged)
+    assert rows(enrichment.repeated_keys(staged)) == [("a", 2)]
+    assert enrichment.dedup_enrichment(staged.unionByName(staged)).count() == 2
+
+
+def test_a_cut_short_run_picks_up_the_rest(spark, tmp_path):
+    data = [(f"s{i}", None, "d", None, False) for i in range(40)]
+    names = table(spark, [(f"s{i}", f"N{i}") for i in range(40)], "species string, common_name string")
+    none = table(spark, [], "species string, description string, image_url string")
+    images = table(spark, [], "species string, image_url string")
+    progress = str(tmp_path / "progress")
+    first = enrichment.enrich_incremental(spark, table(spark, data[:25], WORK), names, none, images, progress, 10)
+    assert first.count() == 25
+    before = {r.species: r.batch_id for r in first.collect()}
+    second = enrichment.enrich_incremental(spark, table(spark, data, WORK), names, none, images, progress, 10)
+    after = {r.species: r.batch_id for r in second.collect()}
+    assert len(after) == second.count() == 40
+    assert before.items() <= after.items()
+    assert min(after[f"s{i}"] for i in range(25, 40)) > max(before.values())
+    again = enrichment.enrich_incremental(spark, table(spark, data, WORK), names, none, images, progress, 10)
+    assert again.count() == 40
+
+
+def test_batches(spark):
+    work = table(spark, [(f"s{i}", None, None, None, True) for i in range(1000)], WORK)
+    sizes = [r["count"] for r in enrichment.assign_batches(work, 100).groupBy("batch_id").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 150
+
+
+def test_coverage(spark):
+    species = table(spark, [("a",), ("b",), ("c",)], "species string")
+    known = table(spark, [("a", "n", "d", "i"), ("b", "", None, "i"), ("c", "", None, "")])
+    assert rows(enrichment.coverage_counts(species, known)) == [(3, 1, 2)]
+    shares = enrichment.coverage_shares(known).first()
+    assert (shares.rows, shares.with_any, shares.with_image_url) == (3, 2, 2)
+    assert round(shares.common_name_percent, 3) == 33.333

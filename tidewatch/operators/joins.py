@@ -46,7 +46,8 @@ def measure(df: DataFrame) -> Size:
 def with_row_salt(df: DataFrame, salts: int = SALTS) -> DataFrame:
     """Spread equal rows too: the salt is a hash of the row and of the input partition it was read from.
 
-    A task that runs again after a lost executor reads the same partition, so it gives the same salts.
+    A task that runs again after a lost executor reads the same partition, so it gives the same salts, in whatever
+    order the rows arrive. Copies within one partition share a salt; a partition is one file split at most.
     """
     return df.withColumn(_SALT, F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(salts)).cast("int"))
 
@@ -66,14 +67,18 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str, sal
 
 
 def lookup_join(large: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner",
-                size_of: DataFrame | None = None) -> DataFrame:
-    """Join a large table to a reference table: broadcast if counting proves it small, else salted shuffle.
+                size_of: DataFrame | None = None, hot_keys: bool = True) -> DataFrame:
+    """Join a large table to a reference table: broadcast if counting proves it small, else shuffle.
 
-    ``size_of`` names the stored table the lookup was derived from without growing, so that it is counted once.
+    The shuffle is salted unless the keys of the large side are known to be few rows each (``hot_keys=False``);
+    salting copies the small side ``SALTS`` times. ``size_of`` names the stored table the lookup was derived from
+    without growing, so that it is counted once.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a lookup join: {how}")
     keys = [on] if isinstance(on, str) else list(on)
     if measure(size_of if size_of is not None else small).can_broadcast:
         return large.join(F.broadcast(small), keys, how)
+    if not hot_keys:
+        return large.join(small, keys, how)
     return salted_join(large, small, keys, how)

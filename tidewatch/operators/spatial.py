@@ -14,6 +14,9 @@ from tidewatch.operators.joins import measure, salted_join
 # The radius the pipeline uses unless told otherwise (fixed value).
 RADIUS_M = 3000.0
 
+# Cells of a grid this coarse number fewer than 200,000 on the whole sphere, however many sites there are.
+TILE_RADIUS_M = 55_000.0
+
 _CELL = "_cell"
 
 
@@ -29,6 +32,17 @@ def site_cells(sites: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
+def near_any_site(occurrences: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
+    """Occurrences on a coarse tile that some site's circle can reach.
+
+    The set of tiles is bounded by the sphere, not by the sites, so it is sent to every task, and occurrences far
+    from all sites are dropped where they are read, before any shuffle.
+    """
+    tiles = Grid(max(radius_m, TILE_RADIUS_M))
+    occupied = site_cells(sites, tiles).select(F.col(_CELL).alias("_tile")).distinct()
+    return tiles.with_cell(occurrences, "_tile").join(F.broadcast(occupied), "_tile", "left_semi").drop("_tile")
+
+
 def _distance():
     return haversine_m(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat"))
 
@@ -40,11 +54,11 @@ def within_distance(occurrences: DataFrame, sites: DataFrame, radius_m: float =
     larger one is shuffled by cell, and a crowded cell is spread over several tasks.
     """
     grid = Grid(radius_m)
-    points = grid.with_cell(occurrences, _CELL)
     cells = site_cells(sites, grid)
     if measure(sites).can_broadcast:
-        pairs = points.join(F.broadcast(cells), _CELL)
+        pairs = grid.with_cell(occurrences, _CELL).join(F.broadcast(cells), _CELL)
     else:
+        points = grid.with_cell(near_any_site(occurrences, sites, radius_m), _CELL)
         pairs = salted_join(points, cells, [_CELL], "inner")
     return (
         pairs.drop(_CELL)
@@ -69,7 +83,8 @@ def nearest_site(occurrences: DataFrame, sites: DataFrame, radius_m: float = RAD
     """Each occurrence with its nearest site within the radius; occurrences with none are left out.
 
     With a proven small site table, the sites of a cell travel as one array and the choice is made in the row.
-    A larger one is joined to the distinct positions, and the answer is joined back.
+    A larger one is joined to the distinct positions, and the answer is joined back; adaptive execution splits a
+    position that holds many rows.
     """
     columns = occurrences.columns
     grid = Grid(radius_m)
@@ -101,10 +116,11 @@ def nearest_site(occurrences: DataFrame, sites: DataFrame, radius_m: float = RAD
             .select(*columns, F.inline(choice))
             .select(*columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site")
         )
+    occurrences = near_any_site(occurrences, sites, radius_m)
     positions = occurrences.select("lon", "lat").distinct()
     nearest = closest_per_key(
         within_distance(positions, sites, radius_m), ["lon", "lat"], ["dive_site", "site_lon", "site_lat"]
     )
-    return salted_join(occurrences, nearest, ["lon", "lat"], "inner").select(
+    return occurrences.join(nearest, ["lon", "lat"]).select(
         *columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site"
     )

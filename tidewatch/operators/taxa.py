@@ -23,7 +23,7 @@ def validate_taxa(occurrences: DataFrame, taxonomy: DataFrame, mode: str = "inne
 
 def _flag(species: DataFrame, listed: DataFrame, name: str) -> DataFrame:
     names = listed.select(F.col("scientificName").alias("species")).distinct().withColumn(name, F.lit(True))
-    return lookup_join(species, names, "species", "left", size_of=listed).withColumn(
+    return lookup_join(species, names, "species", "left", size_of=listed, hot_keys=False).withColumn(
         name, F.coalesce(F.col(name), F.lit(False))
     )
 

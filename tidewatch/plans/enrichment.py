@@ -35,7 +35,7 @@ def _any(columns):
 def new_species(species_table: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Species without an enrichment row, as empty work rows."""
     unknown = lookup_join(species_table.select("species"), enrichment.select("species").distinct(), "species",
-                          "left_anti", size_of=enrichment)
+                          "left_anti", size_of=enrichment, hot_keys=False)
     empty = [F.lit(None).cast("string").alias(name) for name in FIELDS]
     return unknown.select("species", *empty, F.lit(True).alias("is_new"))
 
@@ -55,7 +55,8 @@ def work_list(species_table: DataFrame, enrichment: DataFrame, new_only: bool =
 
 def remaining(work: DataFrame, completed: DataFrame) -> DataFrame:
     """Work whose species is not completed yet."""
-    return lookup_join(work, completed.select("species").distinct(), "species", "left_anti", size_of=completed)
+    return lookup_join(work, completed.select("species").distinct(), "species", "left_anti", size_of=completed,
+                       hot_keys=False)
 
 
 def assign_batches(work: DataFrame, batch_rows: int = BATCH_ROWS, total: int | None = None) -> DataFrame:
@@ -105,7 +106,8 @@ def extract_fallback_image(replies: DataFrame, width: int = 800) -> DataFrame:
 def plan_lookups(work: DataFrame, summaries: DataFrame) -> DataFrame:
     """Which lookups each work row needs; the image fallback only where the summary has no image either."""
     with_image = summaries.where("image_url IS NOT NULL").select("species").distinct()
-    marked = lookup_join(work, with_image.withColumn("_has", F.lit(True)), "species", "left", size_of=summaries)
+    marked = lookup_join(work, with_image.withColumn("_has", F.lit(True)), "species", "left", size_of=summaries,
+                         hot_keys=False)
     no_image = F.col("image_url").isNull()
     return marked.select(
         "species",
@@ -129,7 +131,8 @@ def resolve_enrichment(
         (summaries, {"description": "_text", "image_url": "_image"}),
         (images, {"image_url": "_fallback"}),
     ):
-        looked_up = lookup_join(looked_up, reply.withColumnsRenamed(renamed), "species", "left", size_of=reply)
+        looked_up = lookup_join(looked_up, reply.withColumnsRenamed(renamed), "species", "left", size_of=reply,
+                                hot_keys=False)
     wants_name = F.col("common_name").isNull()
     wants_text = F.col("description").isNull() | F.col("image_url").isNull()
     wants_fallback = F.col("image_url").isNull() & F.col("_image").isNull()
@@ -176,13 +179,16 @@ def merge_enrichment(target: DataFrame, staged: DataFrame) -> DataFrame:
 def coverage_counts(species_table: DataFrame, enrichment: DataFrame) -> DataFrame:
     """One row: species in all, rows with every field found, rows with any field found."""
     found = [blank_to_null(F.col(name)).isNotNull() for name in FIELDS]
+    zero = F.lit(0).cast("bigint")
     tallies = enrichment.agg(
+        zero.alias("total_species"),
         F.count_if(found[0] & found[1] & found[2]).alias("fully_enriched"),
         F.count_if(_any(found)).alias("with_any_data"),
     )
-    total = species_table.agg(F.count(F.lit(1)).alias("total_species"))
-    # Both sides are single aggregate rows.
-    return total.join(F.broadcast(tallies), F.lit(True)).select("total_species", "fully_enriched", "with_any_data")
+    total = species_table.agg(
+        F.count(F.lit(1)).alias("total_species"), zero.alias("fully_enriched"), zero.alias("with_any_data")
+    )
+    return total.unionByName(tallies).agg(*(F.sum(name).alias(name) for name in total.columns))
 
 
 def coverage_shares(rows: DataFrame) -> DataFrame:

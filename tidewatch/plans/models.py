@@ -99,10 +99,11 @@ def _described(frequency: DataFrame, species_table: DataFrame, sites: DataFrame,
         F.col("lat").alias("dive_site_latitude"),
         F.col("lon").alias("dive_site_longitude"),
     )
-    # The species table is as long as the taxonomy; adaptive execution measures it and picks the join.
+    # The species table is as long as the taxonomy; adaptive execution measures it and picks the join. A species
+    # has at most one row per site here, so its rows need no salt.
     typed = frequency.join(species_table, "species")
     placed = lookup_join(typed, places, "dive_site", "inner", size_of=sites)
-    return lookup_join(placed, enrichment, "species", "left")
+    return lookup_join(placed, enrichment, "species", "left", hot_keys=False)
 
 
 def divesite_species_detail(

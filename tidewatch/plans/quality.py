@@ -142,9 +142,10 @@ def too_many_empty_sites(summary: DataFrame) -> DataFrame:
 
 def too_few_species_at_sites(summary: DataFrame, species_table: DataFrame) -> DataFrame:
     """One row if fewer than one in a hundred species has a site."""
-    placed = summary.agg(F.count_distinct("species").alias("placed"))
-    total = species_table.agg(F.count(F.lit(1)).alias("total"))
-    both = placed.join(F.broadcast(total), F.lit(True))
+    zero = F.lit(0).cast("bigint")
+    placed = summary.agg(F.count_distinct("species").alias("placed"), zero.alias("total"))
+    total = species_table.agg(zero.alias("placed"), F.count(F.lit(1)).alias("total"))
+    both = placed.unionByName(total).agg(F.sum("placed").alias("placed"), F.sum("total").alias("total"))
     return both.where("placed < total * 0.01").select(F.lit("too_few_species_at_divesites").alias("failure_reason"))
 
 

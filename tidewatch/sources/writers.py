@@ -1,4 +1,4 @@
-"""Table sinks: overwrite by default, optionally by month and clustered for file and row-group skipping."""
+"""Table sinks: overwrite by default, optionally by month and clustered for row-group skipping."""
 
 from __future__ import annotations
 
@@ -8,7 +8,32 @@ from pyspark.sql import functions as F
 from tidewatch.functions.geo import Grid
 from tidewatch.operators.spatial import RADIUS_M
 
-_SPREAD = "_spread"
+# Side of the square, in degrees, whose points are written together in a table clustered by geography.
+TILE_DEGREES = 5.0
+
+
+def _clustered(df: DataFrame, month: str | None, cluster_by: list[str]) -> DataFrame:
+    """Rows of one month and first cluster key together, sorted.
+
+    The REBALANCE hint lets adaptive execution choose the number of files: small partitions are merged and a
+    partition blown up by one hot key, or by copies of one row, is split by map output. Unlike a range
+    partitioning it needs no sampling pass, so the input is computed once.
+    """
+    together, order = ([F.col(month)], [month]) if month else ([], [])
+    out = df
+    for position, name in enumerate(cluster_by):
+        if name == "geography":
+            out = out.withColumn("_tile", F.floor(F.col("lat") / TILE_DEGREES) * 1000 + F.floor(
+                F.col("lon") / TILE_DEGREES))
+            out = Grid(RADIUS_M).with_cell(out, "_cell")
+            order += ["_tile", "_cell"]
+            first = "_tile"
+        else:
+            order.append(name)
+            first = name
+        if position == 0:
+            together.append(F.col(first))
+    return out.hint("rebalance", *together).sortWithinPartitions(*order).drop("_tile", "_cell")
 
 
 def write_table(
@@ -24,31 +49,21 @@ def write_table(
     """Write parquet.
 
     ``partition_month`` adds an ``event_month`` folder per month of that column; with ``keep_other_months`` an
-    overwrite replaces only the months it writes. ``cluster_by`` range-partitions and sorts by those columns, so that a filter on
-    them skips files and row groups; ``"geography"`` stands for the grid cell of (lon, lat). Rows of one hot
-    key are spread over several files by a hash, and copies of one row by the partition they come from.
+    overwrite replaces only the months it writes. ``cluster_by`` writes equal keys together and sorted, so that
+    a filter on them skips row groups; ``"geography"`` stands for the position (lon, lat). ``partitions`` asks
+    for about that many files of an unclustered table; a table stays a folder of part files either way.
     """
-    out = df
+    out, month = df, None
     if partition_month:
-        out = out.withColumn("event_month", F.date_trunc("month", F.col(partition_month)).cast("date"))
-    keys = ["event_month"] if partition_month else []
-    if cluster_by:
-        for name in cluster_by:
-            if name == "geography":
-                out = Grid(RADIUS_M).with_cell(out, "_cell")
-                keys.append("_cell")
-            else:
-                keys.append(name)
-    if keys:
-        out = out.withColumn(_SPREAD, F.xxhash64(F.spark_partition_id(), *df.columns))
-        ranged = [*keys, _SPREAD]
-        out = out.repartitionByRange(partitions, *ranged) if partitions else out.repartitionByRange(*ranged)
-        out = out.sortWithinPartitions(*keys).drop(_SPREAD, "_cell")
+        month = "event_month"
+        out = out.withColumn(month, F.date_trunc("month", F.col(partition_month)).cast("date"))
+    if month or cluster_by:
+        out = _clustered(out, month, cluster_by or [])
     elif partitions:
         out = out.repartition(partitions)
     writer = out.write.mode(mode).option("compression", codec)
-    if partition_month:
-        writer = writer.partitionBy("event_month").option(
+    if month:
+        writer = writer.partitionBy(month).option(
             "partitionOverwriteMode", "dynamic" if keep_other_months else "static"
         )
     writer.parquet(path)
@@ -56,8 +71,9 @@ def write_table(
 
 def read_months(spark: SparkSession, path: str, first_month: str, last_month: str) -> DataFrame:
     """Rows of a month-partitioned table whose month lies in the given range; other folders are not opened."""
-    return spark.read.parquet(path).where(F.col("event_month").between(F.lit(first_month).cast("date"),
-                                                                      F.lit(last_month).cast("date")))
+    return spark.read.parquet(path).where(
+        F.col("event_month").between(F.lit(first_month).cast("date"), F.lit(last_month).cast("date"))
+    )
 
 
 def export_serving(tables: dict[str, DataFrame], folder: str) -> None:
