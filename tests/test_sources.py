@@ -66,6 +66,12 @@ def test_month_folders_are_pruned_and_replaced(spark, tmp_path):
     read = writers.read_months(spark, path, "2020-02-01", "2020-02-01")
     assert [r.n for r in read.collect()] == [2]
     assert "PartitionFilters: [isnotnull(event_month" in plan(read)
+    placed = table.selectExpr("event_date", "n", "n * 20.0D AS lon", "n * 5.0D AS lat")
+    for splits in (1, 4):
+        writers.write_table(placed, path, partition_month="event_date", cluster_by=["geography"],
+                            splits_per_month=splits)
+        assert rows(spark.read.parquet(path).drop("event_month")) == rows(placed)
+    writers.write_table(table, path, partition_month="event_date")
     writers.write_table(table.where("n = 2").withColumn("n", F.lit(20)), path, partition_month="event_date",
                         keep_other_months=True)
     assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 3, 20]

@@ -12,28 +12,31 @@ from tidewatch.operators.spatial import RADIUS_M
 TILE_DEGREES = 5.0
 
 
-def _clustered(df: DataFrame, month: str | None, cluster_by: list[str]) -> DataFrame:
-    """Rows of one month and first cluster key together, sorted.
+def _clustered(df: DataFrame, month: str | None, cluster_by: list[str], splits_per_month: int) -> DataFrame:
+    """Rows of one month, or of one first cluster key, together and sorted.
 
     The REBALANCE hint lets adaptive execution choose the number of files: small partitions are merged and a
     partition blown up by one hot key, or by copies of one row, is split by map output. Unlike a range
     partitioning it needs no sampling pass, so the input is computed once.
     """
-    together, order = ([F.col(month)], [month]) if month else ([], [])
-    out = df
-    for position, name in enumerate(cluster_by):
+    out, order = df, []
+    for name in cluster_by:
         if name == "geography":
-            out = out.withColumn("_tile", F.floor(F.col("lat") / TILE_DEGREES) * 1000 + F.floor(
-                F.col("lon") / TILE_DEGREES))
-            out = Grid(RADIUS_M).with_cell(out, "_cell")
+            tile = F.floor(F.col("lat") / TILE_DEGREES) * 1000 + F.floor(F.col("lon") / TILE_DEGREES)
+            out = Grid(RADIUS_M).with_cell(out.withColumn("_tile", tile), "_cell")
             order += ["_tile", "_cell"]
-            first = "_tile"
         else:
             order.append(name)
-            first = name
-        if position == 0:
-            together.append(F.col(first))
-    return out.hint("rebalance", *together).sortWithinPartitions(*order).drop("_tile", "_cell")
+    if not month:
+        together = [F.col(order[0])]
+    elif order and splits_per_month > 1:
+        together = [F.col(month), F.pmod(F.xxhash64(order[0]), F.lit(splits_per_month))]
+    else:
+        together = [F.col(month)]
+    if len(together) > 1:
+        out, together = out.withColumn("_split", together[1]), [F.col(month), F.col("_split")]
+    sorting = ([month] if month else []) + order
+    return out.hint("rebalance", *together).sortWithinPartitions(*sorting).drop("_tile", "_cell", "_split")
 
 
 def write_table(
@@ -45,20 +48,22 @@ def write_table(
     mode: str = "overwrite",
     partitions: int | None = None,
     keep_other_months: bool = False,
+    splits_per_month: int = 1,
 ) -> None:
     """Write parquet.
 
     ``partition_month`` adds an ``event_month`` folder per month of that column; with ``keep_other_months`` an
     overwrite replaces only the months it writes. ``cluster_by`` writes equal keys together and sorted, so that
-    a filter on them skips row groups; ``"geography"`` stands for the position (lon, lat). ``partitions`` asks
-    for about that many files of an unclustered table; a table stays a folder of part files either way.
+    a filter on them skips row groups; ``"geography"`` stands for the position (lon, lat). Where a month is many
+    files long, ``splits_per_month`` gives each file a share of the first cluster key instead of a bit of all.
+    ``partitions`` asks for about that many files of an unclustered table; a table stays a folder of part files.
     """
     out, month = df, None
     if partition_month:
         month = "event_month"
         out = out.withColumn(month, F.date_trunc("month", F.col(partition_month)).cast("date"))
     if month or cluster_by:
-        out = _clustered(out, month, cluster_by or [])
+        out = _clustered(out, month, cluster_by or [], splits_per_month)
     elif partitions:
         out = out.repartition(partitions)
     writer = out.write.mode(mode).option("compression", codec)
