@@ -812,9 +812,9 @@ def _(t):
 
 
 @query("d11_first_rank", """
-SELECT dive_site FROM m_freq WHERE species LIKE 'blue%' GROUP BY dive_site HAVING min(frequency_rank) <> 1""")
+SELECT dive_site FROM m_freq WHERE frequency_rank <> 1 GROUP BY dive_site HAVING min(frequency_rank) <> 1""")
 def _(t):
-    return quality.sites_without_first_rank(t.frequency.where("species LIKE 'blue%'"))
+    return quality.sites_without_first_rank(t.frequency.where("frequency_rank <> 1"))
 
 
 @query("d12_counts_positive", "SELECT * FROM gbif_raw WHERE individualcount <= 0")

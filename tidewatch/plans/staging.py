@@ -16,10 +16,12 @@ DEV_SPECIES_BUCKETS = 100
 
 def _with_point(df: DataFrame, lon: str, lat: str, on_bad_point: str) -> DataFrame:
     """Columns lon and lat in place of the raw ones."""
-    point = df.withColumn("_lat", checked_latitude(F.col(lat), on_bad_point)).withColumn(
-        "_lon", wrap_longitude(F.col(lon))
+    kept = [name for name in df.columns if name not in (lon, lat)]
+    point = df.select(
+        *kept,
+        wrap_longitude(F.col(lon)).alias("lon"),
+        checked_latitude(F.col(lat), on_bad_point).alias("lat"),
     )
-    point = point.drop(lon, lat).withColumnsRenamed({"_lon": "lon", "_lat": "lat"})
     return point.where(F.col("lat").isNotNull()) if on_bad_point == "null" else point
 
 

@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_own_folders: dict[str, str] = {}
+
+
 def local_session(app: str = "tidewatch", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster pass your own session to every function."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -39,10 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     Only where the setting is absent (tests, a laptop) is a fresh local folder made and remembered.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _own_folders[application]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
