@@ -33,6 +33,18 @@ def test_timestamps_are_read_as_utc_in_any_session_zone(spark, zone):
     assert {r[0]: r[1] for r in read} == cases
 
 
+def test_typed_times_become_utc(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        table = spark.sql("SELECT TIMESTAMP_LTZ'2024-07-01 20:00:00' AS a, TIMESTAMP_NTZ'2024-07-01 20:00:00' AS b")
+        read = table.select(*(casts.as_utc_ntz(F.col(f.name), f.dataType.typeName()).cast("string")
+                              for f in table.schema.fields)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(read) == ("2024-07-02 00:00:00", "2024-07-01 20:00:00")
+
+
 def test_counts(spark):
     cases = {"5": 5, " 7 ": 7, "+3": 3, "-4": 1, "0": 1, "3.0": 1, "1e2": 1, "many": 1, "": 1, None: 1,
              "99999999999999999999": 1}
@@ -87,7 +99,7 @@ def test_image_urls(spark):
 
 
 def test_substring_search(spark):
-    table = one_column(spark, ["Blue Whale", "50% off", "a_b", "axb", None])
+    table = one_column(spark, ["Blue Whale", "50% off", "a_b", "axb", "c\\d", None])
 
     def found(q, **options):
         return rows(table.where(text.contains_ignoring_case(F.col("v"), q, **options)))
@@ -97,6 +109,7 @@ def test_substring_search(spark):
     assert found("A_B", escape=True) == [("a_b",)]
     assert found("0%F") == [("50% off",)]
     assert found("0%F", escape=True) == []
+    assert found("C\\D") == found("C\\D", escape=True) == [("c\\d",)]
 
 
 def test_token_search(spark):

@@ -88,6 +88,26 @@ def test_nearest_site(spark, monkeypatch):
     assert large == expected
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_crowded_cells_are_searched_at_smaller_radii_first(spark, monkeypatch, small):
+    """A third of all sites in one cell, many of them at one spot: same answer, and no wide cell is walked."""
+    rng = np.random.default_rng(6)
+    crowd = rng.normal(0, 0.002, (60, 2))
+    sites = np.vstack([crowd, np.repeat(crowd[:1], 30, axis=0), rng.uniform(-1, 1, (120, 2))])
+    points = np.vstack([rng.normal(0, 0.01, (200, 2)), rng.uniform(-1, 1, (200, 2))])
+    occurrences, places = frames(spark, points, sites)
+    places = places.selectExpr("LPAD(title, 4, '0') AS title", "lon", "lat")
+    monkeypatch.setattr(spatial, "CROWDED", 8)
+    radii, _ = spatial.search_radii(spatial.one_title_per_spot(places), 3000.0)
+    assert len(radii) > 1 and radii == sorted(radii) and radii[-1] == 3000.0
+    if not small:
+        from tidewatch.operators import joins
+
+        monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", -1)
+    got = {r.id: int(r.dive_site) for r in spatial.nearest_site(occurrences, places).collect()}
+    assert got == nearest_by_hand(points, sites, 3000.0)
+
+
 def test_repeated_occurrences_stay_repeated(spark, monkeypatch):
     occurrences = spark.createDataFrame([(1, 0.0, 0.0)] * 5 + [(2, 9.0, 9.0)], "id int, lon double, lat double")
     places = spark.createDataFrame([("a", 0.0, 0.01), ("b", 0.0, 0.02)], "title string, lon double, lat double")

@@ -19,8 +19,9 @@ def blank_to_null(value: Column) -> Column:
 def contains_ignoring_case(value: Column, text: str, escape: bool = False) -> Column:
     """Substring match without case; ``%`` and ``_`` in the text are wildcards unless ``escape`` is set."""
     if escape:
-        return F.contains(F.lower(value), F.lit(text.lower()))
-    return value.ilike(f"%{text}%")
+        return F.contains(F.lower(value), F.lower(F.lit(text)))
+    literal_backslashes = text.replace("\\", "\\\\")
+    return value.ilike(f"%{literal_backslashes}%")
 
 
 def tokens(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import Grid, haversine_m
-from tidewatch.operators.joins import measure, salted_join
+from tidewatch.operators.joins import Size, measure, salted_join
 
 # The radius the pipeline uses unless told otherwise (fixed value).
 RADIUS_M = 3000.0
@@ -17,6 +17,11 @@ RADIUS_M = 3000.0
 # Cells of a grid this coarse number fewer than 200,000 on the whole sphere, however many sites there are.
 TILE_RADIUS_M = 55_000.0
 
+# A cell with more sites than this is searched at a smaller radius first, at most this many times; the result is
+# the same either way.
+CROWDED = 256
+MAX_SEARCHES = 6
+
 _CELL = "_cell"
 
 
@@ -50,12 +55,12 @@ def _distance():
 def within_distance(occurrences: DataFrame, sites: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     """Every (occurrence, site) pair at most ``radius_m`` apart, with ``distance_to_dive_site`` in metres.
 
-    With a proven small site table the pairs are found where the occurrences are read, without a shuffle. A
-    larger one is shuffled by cell, and a crowded cell is spread over several tasks.
+    If counting proves the site cells small, the pairs are found where the occurrences are read, without a
+    shuffle. Else both are shuffled by cell, and a crowded cell is spread over several tasks.
     """
     grid = Grid(radius_m)
     cells = site_cells(sites, grid)
-    if measure(sites).can_broadcast:
+    if measure(cells).can_broadcast:
         pairs = grid.with_cell(occurrences, _CELL).join(F.broadcast(cells), _CELL)
     else:
         points = grid.with_cell(near_any_site(occurrences, sites, radius_m), _CELL)
@@ -79,48 +84,89 @@ def closest_per_key(pairs: DataFrame, keys: list[str], tie_break: list[str]) ->
     return pairs.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*pairs.columns)
 
 
+def one_title_per_spot(sites: DataFrame) -> DataFrame:
+    """Sites at one position are equally far from everything, so only the first title can be the nearest."""
+    return sites.groupBy("lon", "lat").agg(F.min("title").alias("title")).select("title", "lon", "lat")
+
+
+def _crowding(spots: DataFrame, radius_m: float) -> tuple[Size, int]:
+    """Size of the cell table and the largest number of sites in one cell, in one pass over the sites."""
+    per_cell = site_cells(spots, Grid(radius_m)).groupBy(_CELL).agg(
+        F.count(F.lit(1)).alias("sites"), F.sum(F.octet_length("dive_site") + 24).alias("bytes")
+    )
+    row = per_cell.agg(
+        F.coalesce(F.sum("sites"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)),
+        F.coalesce(F.max("sites"), F.lit(0)),
+    ).first()
+    return Size(row[0], row[1]), row[2]
+
+
+def search_radii(spots: DataFrame, radius_m: float) -> tuple[list[float], Size]:
+    """Radii to search one after the other, smallest first, and the size of all their cell tables.
+
+    A site found within a small radius is the nearest of all, so where a cell is crowded a quarter of the radius is
+    searched first. Without crowded cells there is one radius.
+    """
+    radii = [radius_m]
+    size, crowd = _crowding(spots, radius_m)
+    while crowd > CROWDED and len(radii) < MAX_SEARCHES:
+        radii.insert(0, radii[0] / 4)
+        more, crowd = _crowding(spots, radii[0])
+        size = Size(size.rows + more.rows, size.bytes + more.bytes)
+    return radii, size
+
+
+def _nearest_in(sites: str, radius_m: float):
+    """The nearest site of an array column, or NULL if it is farther than the radius."""
+
+    def candidate(site):
+        return F.struct(
+            haversine_m(F.col("lon"), F.col("lat"), site.site_lon, site.site_lat).alias("distance_to_dive_site"),
+            site.dive_site.alias("dive_site"),
+            site.site_lon.alias("site_lon"),
+            site.site_lat.alias("site_lat"),
+        )
+
+    listed = F.col(sites)
+    # Most cells have one site, for which no array has to be walked.
+    nearest = F.when(F.size(listed) == 1, candidate(F.get(listed, F.lit(0)))).otherwise(
+        F.array_min(F.transform(listed, candidate))
+    )
+    return F.get(F.filter(F.array(nearest), lambda best: best.distance_to_dive_site <= radius_m), F.lit(0))
+
+
 def nearest_site(occurrences: DataFrame, sites: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     """Each occurrence with its nearest site within the radius; occurrences with none are left out.
 
-    With a proven small site table, the sites of a cell travel as one array and the choice is made in the row.
-    A larger one is joined to the distinct positions, and the answer is joined back; adaptive execution splits a
-    position that holds many rows.
+    If counting proves the site cells small, the sites of a cell travel as one array and the choice is made in the
+    row: no pairs are emitted and nothing is shuffled. Else the sites are joined to the distinct positions, radius by
+    radius, and the answer is joined back; adaptive execution splits a position that holds many rows.
     """
     columns = occurrences.columns
-    grid = Grid(radius_m)
-    if measure(sites).can_broadcast:
-        by_cell = (
-            site_cells(sites, grid)
-            .groupBy(_CELL)
-            .agg(F.collect_list(F.struct("dive_site", "site_lon", "site_lat")).alias("_sites"))
+    answer = [*columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site"]
+    spots = one_title_per_spot(sites)
+    radii, size = search_radii(spots, radius_m)
+    if size.can_broadcast:
+        out, found = occurrences, []
+        # The full radius comes first and drops occurrences no site can reach.
+        for step, radius in enumerate(reversed(radii)):
+            grid, listed = Grid(radius), f"_sites_{step}"
+            by_cell = site_cells(spots, grid).groupBy(_CELL).agg(
+                F.collect_list(F.struct("dive_site", "site_lon", "site_lat")).alias(listed)
+            )
+            out = grid.with_cell(out, _CELL).join(F.broadcast(by_cell), _CELL, "left" if step else "inner").drop(_CELL)
+            found.insert(0, _nearest_in(listed, radius))
+        # Unpacking an array computes the choice once; a filter on the column would compute it twice.
+        choice = F.filter(F.array(F.coalesce(*found)), lambda best: best.isNotNull())
+        return out.select(*columns, F.inline(choice)).select(*answer)
+    candidates = near_any_site(occurrences, spots, radius_m)
+    open_positions = candidates.select("lon", "lat").distinct()
+    nearest = None
+    for radius in radii:
+        settled = closest_per_key(
+            within_distance(open_positions, spots, radius), ["lon", "lat"], ["dive_site", "site_lon", "site_lat"]
         )
-        reachable = F.filter(
-            F.transform(
-                F.col("_sites"),
-                lambda site: F.struct(
-                    haversine_m(F.col("lon"), F.col("lat"), site.site_lon, site.site_lat).alias(
-                        "distance_to_dive_site"
-                    ),
-                    site.dive_site.alias("dive_site"),
-                    site.site_lon.alias("site_lon"),
-                    site.site_lat.alias("site_lat"),
-                ),
-            ),
-            lambda candidate: candidate.distance_to_dive_site <= radius_m,
-        )
-        # Unpacking an array of at most one computes the choice once and drops rows without one.
-        choice = F.slice(F.array_sort(reachable), 1, 1)
-        return (
-            grid.with_cell(occurrences, _CELL)
-            .join(F.broadcast(by_cell), _CELL)
-            .select(*columns, F.inline(choice))
-            .select(*columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site")
-        )
-    occurrences = near_any_site(occurrences, sites, radius_m)
-    positions = occurrences.select("lon", "lat").distinct()
-    nearest = closest_per_key(
-        within_distance(positions, sites, radius_m), ["lon", "lat"], ["dive_site", "site_lon", "site_lat"]
-    )
-    return occurrences.join(nearest, ["lon", "lat"]).select(
-        *columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site"
-    )
+        nearest = settled if nearest is None else nearest.unionByName(settled)
+        if radius != radii[-1]:
+            open_positions = open_positions.join(settled.select("lon", "lat"), ["lon", "lat"], "left_anti")
+    return candidates.join(nearest, ["lon", "lat"]).select(*answer)

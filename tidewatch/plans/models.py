@@ -55,13 +55,12 @@ def near_dive_site_occurrences(
              "source"]
     if rank_by is None:
         return within_distance(records, sites, radius_m).select(*shape)
-    if rank_by == "event_date":
-        pairs = within_distance(records, sites, radius_m).select(*shape)
-        best = closest_per_key(pairs, ["event_date"], NEAR_TIE_BREAK)
-    elif rank_by == "occurrence":
-        best = nearest_site(records, sites, radius_m).select(*shape)
-    else:
+    if rank_by not in ("event_date", "occurrence"):
         raise ValueError(f"rank_by must be 'event_date', 'occurrence' or None, not {rank_by!r}")
+    best = nearest_site(records, sites, radius_m).select(*shape)
+    if rank_by == "event_date":
+        # The closest pair of a timestamp is some occurrence with its nearest site, so no other pair is needed.
+        best = closest_per_key(best, ["event_date"], NEAR_TIE_BREAK)
     return best.withColumn("proximity_rank", F.lit(1).cast("bigint"))
 
 

@@ -68,7 +68,10 @@ def build_sites(guide_pages: DataFrame, map_pages: DataFrame, dedup: bool = Fals
     fields = ("id", "title", "latitude", "longitude")
     sites = both.select(*(F.coalesce(F.col(f"g.{name}"), F.col(f"m.{name}")).alias(name) for name in fields))
     sites = sites.dropna(subset=["latitude", "longitude", "title"])
-    return sites.dropDuplicates(["id"]) if dedup else sites
+    if not dedup:
+        return sites
+    one = sites.groupBy("id").agg(F.min(F.struct("title", "latitude", "longitude")).alias("one"))
+    return one.select("id", "one.*")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
