@@ -52,17 +52,14 @@ class Grid:
         self.bands = math.floor(180.0 / self.step) + 1
         self.stride = math.floor(360.0 / self.step) + 2
 
-    def band(self, lat: Column) -> Column:
-        return F.floor((lat + 90.0) / self.step)
+    def _band(self, lat: str) -> str:
+        return f"floor(({lat} + 90D) / {self.step!r}D)"
 
-    def cells_in(self, band: Column) -> Column:
-        """How many cells a band has: a function of the band alone, so both join sides agree on it."""
-        low = band * self.step - 90.0
-        nearest_equator = F.least(F.abs(low), F.abs(low + self.step), F.lit(90.0))
-        return F.greatest(F.lit(1), F.floor(F.cos(F.radians(nearest_equator)) * 360.0 / self.step))
-
-    def cell_id(self, band: Column, index: Column) -> Column:
-        return band * self.stride + index
+    def _cells_in_band(self) -> str:
+        """How many cells the band in column _band has: a function of the band alone, so both join sides agree."""
+        low = f"(_band * {self.step!r}D - 90D)"
+        nearest_equator = f"least(abs({low}), abs({low} + {self.step!r}D), 90D)"
+        return f"greatest(1L, floor(cos(radians({nearest_equator})) * 360D / {self.step!r}D))"
 
     def with_cell(self, df: DataFrame, name: str) -> DataFrame:
         """Add the one cell the point (lon, lat) of each row lies in, as a BIGINT that is never NULL.
@@ -70,31 +67,31 @@ class Grid:
         Band and cell count are columns of their own first: used several times, they are computed once. And a
         key that cannot be NULL spares the optimizer a null filter that would repeat the whole expression.
         """
-        count = F.col("_count")
-        index = F.pmod(F.floor((F.col("lon") + 180.0) * count / 360.0), count)
         return (
-            df.withColumn("_band", self.band(F.col("lat")))
-            .withColumn("_count", self.cells_in(F.col("_band")))
-            .withColumn(name, F.coalesce(self.cell_id(F.col("_band"), index), F.lit(-1)))
-            .drop("_band", "_count")
-        )
-
-    def reachable_bands(self, lat: Column) -> Column:
-        """Bands a circle around a point at this latitude can touch, as an array."""
-        return F.sequence(
-            F.greatest(F.lit(0), self.band(lat - self.step)),
-            F.least(F.lit(self.bands), self.band(lat + self.step)),
+            df.selectExpr("*", f"{self._band('lat')} AS _band")
+            .selectExpr("*", f"{self._cells_in_band()} AS _count")
+            .select(
+                *df.columns,
+                F.expr(
+                    f"coalesce(_band * {self.stride}L + pmod(floor((lon + 180D) * _count / 360D), _count), -1L)"
+                ).alias(name),
+            )
         )
 
-    def reachable_cells(self, lon: Column, lat: Column, band: Column) -> Column:
-        """Cells of one band a circle around the point can touch, each once, as an array of cell ids."""
-        reach = F.least(
-            F.lit(180.0),
-            F.lit(self.step) / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.abs(lat) + self.step))), F.lit(1e-9)),
+    def with_reachable_cells(self, df: DataFrame, lon: str, lat: str, name: str) -> DataFrame:
+        """Each row once per cell that a circle around its point can touch."""
+        step = f"{self.step!r}D"
+        lowest, highest = self._band(f"({lat} - {step})"), self._band(f"({lat} + {step})")
+        reach = f"least(180D, {step} / greatest(cos(radians(least(90D, abs({lat}) + {step}))), 1e-9D))"
+        return (
+            df.selectExpr("*", f"explode(sequence(greatest(0L, {lowest}), least({self.bands}L, {highest}))) AS _band")
+            .selectExpr("*", f"{self._cells_in_band()} AS _count", f"{reach} AS _reach")
+            .selectExpr(
+                "*",
+                f"floor(({lon} - _reach + 180D) * _count / 360D) AS _first",
+                f"floor(({lon} + _reach + 180D) * _count / 360D) AS _last",
+            )
+            # At most _count consecutive indexes, so none repeats after wrapping around the globe.
+            .selectExpr("*", "explode(sequence(_first, least(_last, _first + _count - 1))) AS _index")
+            .selectExpr(*df.columns, f"_band * {self.stride}L + pmod(_index, _count) AS {name}")
         )
-        count = self.cells_in(band)
-        first = F.floor((lon - reach + 180.0) * count / 360.0)
-        last = F.floor((lon + reach + 180.0) * count / 360.0)
-        # At most `count` consecutive indexes, so none repeats after wrapping around the globe.
-        run = F.sequence(first, F.least(last, first + count - 1))
-        return F.transform(run, lambda index: self.cell_id(band, F.pmod(index, count)))

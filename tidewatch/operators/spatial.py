@@ -27,14 +27,8 @@ _CELL = "_cell"
 
 def site_cells(sites: DataFrame, grid: Grid) -> DataFrame:
     """One row per site and cell its circle can reach."""
-    return (
-        sites.select(
-            F.col("title").alias("dive_site"), F.col("lon").alias("site_lon"), F.col("lat").alias("site_lat")
-        )
-        .withColumn("_band", F.explode(grid.reachable_bands(F.col("site_lat"))))
-        .withColumn(_CELL, F.explode(grid.reachable_cells(F.col("site_lon"), F.col("site_lat"), F.col("_band"))))
-        .drop("_band")
-    )
+    named = sites.selectExpr("title AS dive_site", "lon AS site_lon", "lat AS site_lat")
+    return grid.with_reachable_cells(named, "site_lon", "site_lat", _CELL)
 
 
 def near_any_site(occurrences: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
