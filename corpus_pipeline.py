@@ -1,26 +1,57 @@
-"""A training corpus from raw documents: each stage is one of the text operators, applied to all that the stage before kept."""
+"""A training corpus from raw documents: each stage is one of the text operators, applied to all that the stage before kept.
+
+Every stage but the last returns the columns it was given. An empty table passes all stages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe
+from tidewatch.llm import bpe, lines, mixing, neardup, toxicity
 from tidewatch.llm.common import table
 from tidewatch.llm.queries import vocabulary_path
 from tidewatch.session import new_table_path
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: packed ids of every text."""
-    return bpe.encode(docs, vocabulary_path())
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity tagger, fitted to the given labels, doesn't reject."""
+    return toxicity.clean(docs, sf_dir)
+
+
+def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without the lines that ten documents or more share; ``n_chars`` follows the text."""
+    return lines.drop_repeated(docs).select(
+        *(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+          for c in docs.columns))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample in which sources, languages and topics have their target shares of tokens."""
+    return mixing.sample(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with packed token ids and their number."""
+    return bpe.encode(docs, vocabulary_path()).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("bpe", tokens),
+    ("toxicity", without_toxic),
+    ("line_dedup", without_shared_lines),
+    ("near_duplicates", without_near_duplicates),
+    ("mixing", mixed),
+    ("bpe", encoded),
 ]
 
+# The toxicity classifier has no SQL; tests compare each stage with a plain version.
 ORACLE_SQL: str | None = None
 
 

@@ -1,0 +1,95 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.llm import toxicity
+from tidewatch.llm.common import table
+from tidewatch.llm.toxicity import Chains, Tagger, fit, scored, tag
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return toxicity.train(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels"))
+
+
+def enumerated(odds, t):
+    """Marginals and transition counts of one chain by going through all labellings."""
+    n, total, p, pairs = len(odds), 0.0, np.zeros(len(odds)), np.zeros((2, 2))
+    for code in range(1 << n):
+        y = [(code >> i) & 1 for i in range(n)]
+        w = np.exp(sum(odds[i] for i in range(n) if y[i]) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total += w
+        p += w * np.array(y)
+        for a, b in zip(y, y[1:], strict=False):
+            pairs[a, b] += w
+    return p / total, pairs / total
+
+
+def test_marginals_against_all_labellings():
+    pick = np.random.default_rng(1)
+    lengths, t = np.array([1, 5, 3, 8]), pick.normal(size=(2, 2))
+    odds = pick.normal(size=17) * 2
+    starts = np.cumsum(lengths) - lengths
+    chains = Chains(np.zeros(17, dtype=int), np.zeros(17, dtype=int), starts, lengths)
+    p, pairs = toxicity._marginals(chains, odds, t, pairs=True)
+    each = [enumerated(odds[s:s + n], t) for s, n in zip(starts, lengths, strict=True)]
+    assert np.allclose(p, np.concatenate([x for x, _ in each]))
+    assert np.allclose(pairs, sum(x for _, x in each))
+
+
+def test_left_out_chains_have_no_toxic_token(field, spark):
+    texts = [r.text for r in table(spark, FOLDER, "documents").limit(200).collect()]
+    tagger = Tagger(field)
+    chains, p = tagger.marginals(texts)
+    own, right, left = np.array(tagger._values).reshape(-1, 3).T
+    odds = toxicity._neighbours(chains, own + field.bias, right, left)
+    whole = toxicity._marginals(chains, odds, field.transitions)
+    assert np.allclose(p, np.where(whole < toxicity.LEAST_MARGINAL, 0, whole))
+
+
+def test_held_out_rows(spark):
+    labels = {r.doc_id: r.toxic for r in table(spark, FOLDER, "labels").collect()}
+    rows = scored(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(a == b for a, b in held) / len(held) > 0.93
+
+
+def test_held_out_labels_are_not_read(spark):
+    docs, labels = (table(spark, FOLDER, n) for n in ("documents", "labels"))
+
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a = {r.doc_id: r.score for r in scored(docs, labels).collect()}
+    b = {r.doc_id: r.score for r in scored(docs, turned).collect()}
+    assert a == b
+
+
+def test_spans_are_code_points_of_the_text(spark, field):
+    text = "Thé 😀 İ was a moron, and an idiot.\nNothing here"
+    row = tag(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first()
+    assert {text[s.start:s.end] for s in row.spans} >= {"moron", "idiot"}
+    assert all(0.5 <= s.marginal <= 1 for s in row.spans)
+    assert row.score > 0.5
+
+
+def test_nulls_repeats_long_texts_extra_columns_and_empty(spark, field):
+    rows = [(1, None, "a"), (None, "", "b"), (2, "fine " * 50_000, "c"), (3, "moron idiot", "d"), (3, "moron idiot", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    out = tag(docs, field).collect()
+    assert len(out) == 5
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert by[1] == by[None] and len(by[3]) == 1 and max(by[2]) < 0.5
+    assert tag(docs.limit(0), field).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in scored(docs, labels).collect()} == {0.0}
+
+
+def test_one_label_gives_no_field():
+    assert fit(["a b", "c"], [0, 0], (2, 0)) is None
