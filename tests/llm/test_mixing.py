@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def test_marginals_meet_tempered_targets(spark):
 
 
 def test_given_targets(spark):
-    cells = [("a", "en", "x", 100), ("a", "de", "y", 50), ("b", "en", "y", 400), ("b", "de", "x", 10), ("c", "en", "x", 0)]
+    cells = [(s, l, t, 10 + 7 * i) for i, (s, l, t) in enumerate(itertools.product("ab", ("en", "de"), "xy"))]
+    cells.append(("c", "en", "x", 0))
     cells = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     out = cell_weights(cells, {"source": {"a": 3.0, "b": 1.0, "unknown": 9.0}}, rounds=60).collect()
     assert shares(out, "source", lambda r: r.tokens * r.weight)["a"] == pytest.approx(0.75, abs=1e-6)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Per application the folder of its package file, which the driver serves until it ends.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: their Python may not have it on its path."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package, folder = Path(__file__).parents[1], tempfile.TemporaryDirectory(prefix="package-")
+    path = f"{folder.name}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped[application] = folder
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't use, so that extra columns of the caller never clash."""
     taken = {c.lower() for c in df.columns}

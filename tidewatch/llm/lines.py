@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BLANK_BYTES, own_name, stored, text_of
+from tidewatch.llm.common import BLANK_BYTES, own_name, ship, stored, text_of
 
 # The hash space is cut into so many blocks; each has its part of both filters.
 BLOCKS = 1024
@@ -141,6 +141,7 @@ def repeated_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1)
 def _suspected(docs: DataFrame, min_documents: int, min_chars: int) -> DataFrame:
     """A row for each document and suspected key: ``digest``, ``doc_id``, ``line``."""
     spark = docs.sparkSession
+    ship(spark)
     blocks = docs.select(text_of("text").alias("text")).mapInArrow(
         _hash_rows(min_chars), "block int, seen binary, again binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

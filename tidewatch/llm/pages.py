@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import own_name, text_of
+from tidewatch.llm.common import own_name, ship, text_of
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -266,6 +266,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     need no rule; of containers with equal points the first wins. A column of the name ``text`` is replaced, all others
     pass untouched.
     """
+    ship(pages.sparkSession)
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored, text_of
+from tidewatch.llm.common import ship, stored, text_of
 
 # The bounded sample that both classifiers are fitted on: labelled and unlabelled documents, by a hash of the id, of at
 # most so many code points each. Only their features reach the driver.
@@ -151,6 +151,7 @@ def described(docs: DataFrame, pages: DataFrame) -> DataFrame:
     Metadata are source, language, length, and parts of the address of the document's page. Features are computed where
     the text is read, so no text is shuffled. NULL texts are read as empty, NULL metadata are empty.
     """
+    ship(docs.sparkSession)
 
     @F.pandas_udf("array<double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -208,6 +209,7 @@ def score(views: DataFrame, model: Model | None) -> DataFrame:
     Empty texts have zero features and are scored as such. Without a model (labels of one kind only) every score is
     0.5. Repeated rows score alike, an empty table stays empty.
     """
+    ship(views.sparkSession)
     sent = views.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

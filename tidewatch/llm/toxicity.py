@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import own_name, table, text_of
+from tidewatch.llm.common import own_name, ship, table, text_of
 
 # The bounded sample that the field is fitted on: documents per label, and code points of a document in it.
 SAMPLE_DOCUMENTS = 1000
@@ -327,6 +327,7 @@ def tag(docs: DataFrame, field: Field | None, text: str = "text", spans: bool =
     field (no labels of both kinds) every score is 0. Rows are independent: repeated rows score alike, an empty table
     stays empty. Columns named like the new ones are replaced, all others pass untouched.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)
     out = own_name(docs, "_tagged")
 
