@@ -51,7 +51,10 @@ SELECT CASE WHEN k = 98 THEN NULL ELSE name END AS species,
   CASE event_type WHEN 'error' THEN 'many' WHEN 'signup' THEN NULL WHEN 'click' THEN ' ' || CAST(k AS VARCHAR(9))
     WHEN 'view' THEN CASE WHEN k < 50 THEN '-4' ELSE '3.0' END ELSE CAST(k AS VARCHAR(9)) END AS individualCount,
   CASE WHEN k < 5 THEN 'unknown' WHEN k < 10 THEN '2024-01' WHEN k < 15 THEN NULL WHEN k < 25 THEN iso || 'Z'
-    WHEN k < 35 THEN iso || '+02:00' WHEN k < 45 THEN iso || '-05:30' WHEN k < 55 THEN day ELSE iso END AS eventDate,
+    WHEN k < 35 THEN iso || '+02:00' WHEN k < 45 THEN iso || '-05:30' WHEN k < 55 THEN day
+    WHEN k < 59 THEN iso || '+02' WHEN k < 63 THEN iso || '-5:30' WHEN k < 66 THEN replace(iso, ' ', 't') || 'z'
+    WHEN k < 69 THEN iso || ' UTC' WHEN k < 73 THEN iso || ' America/New_York' WHEN k < 75 THEN iso || ' No/Where'
+    WHEN k < 78 THEN day || '+3' WHEN k < 80 THEN iso || ' -08:00' ELSE iso END AS eventDate,
   substr(iso, 12) AS eventTime, CAST(substr(iso, 1, 4) AS BIGINT) AS year, substr(iso, 6, 2) AS month,
   substr(iso, 9, 2) AS day,
   {_SITE_LON.format('user_id')} + (((event_id * 7) % 101) - 50) / CAST(1000 AS DOUBLE) AS decimalLongitude,
@@ -85,7 +88,9 @@ SELECT species,
   CASE k % 4 WHEN 1 THEN '{"extract":"Text ' || species || '"}' WHEN 2 THEN '{"type":"standard"}'
     ELSE '{"extract":"Text ' || species || '","originalimage":{"source":"https://img.example/w'
       || CAST(k AS VARCHAR(20)) || '.png"}}' END AS json
-FROM taxon_key WHERE size > 5""",
+FROM taxon_key WHERE size > 5
+UNION ALL SELECT species, '{"originalimage":{"source":"https://img.example/a' || CAST(k AS VARCHAR(20)) || '.png"}}'
+FROM taxon_key WHERE size > 5 AND k % 8 < 3""",
     # Some names have two images: the first wins. Some addresses are empty.
     "image_responses": f"""
 SELECT '{{"results":{{"bindings":[{{"scientificName":{{"value":"' || species || '"}},"image":{{"value":"' ||

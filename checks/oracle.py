@@ -10,18 +10,19 @@ from tidewatch.plans import quality
 RADIUS = 3000.0
 
 _WRAP = "CASE WHEN {0} BETWEEN -180 AND 180 THEN {0} ELSE {0} - floor(({0} + 180) / 360.0) * 360.0 END"
-_LOCAL = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?)?$"
-_ZONED = (
-    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
-)
-_TIME = f"""CASE WHEN regexp_matches(eventDate, '{_LOCAL}') THEN TRY_CAST(eventDate AS TIMESTAMP)
-    WHEN regexp_matches(eventDate, '{_ZONED}') AND right(eventDate, 1) = 'Z'
-      THEN TRY_CAST(rtrim(eventDate, 'Z') AS TIMESTAMP)
-    WHEN regexp_matches(eventDate, '{_ZONED}') THEN TRY_CAST(substr(eventDate, 1, length(eventDate) - 6) AS TIMESTAMP)
-      - to_minutes(CASE WHEN substr(eventDate, length(eventDate) - 5, 1) = '-' THEN -1 ELSE 1 END
-        * (TRY_CAST(substr(eventDate, length(eventDate) - 4, 2) AS INT) * 60
-           + TRY_CAST(right(eventDate, 2) AS INT)))
-    END"""
+# A time is read from its first ten characters, its clock, and what is left over: the zone.
+_ZONE = "trim(CASE WHEN length(eventDate) > 18 AND substr(eventDate, 14, 1) = ':' THEN substr(eventDate, 20)"
+_ZONE += " ELSE substr(eventDate, 11) END)"
+_CLOCK = "CASE WHEN length(eventDate) > 18 AND substr(eventDate, 14, 1) = ':' THEN substr(eventDate, 12, 8) ELSE '00:00:00' END"
+_LOCAL = f"TRY_CAST(substr(eventDate, 1, 10) || ' ' || {_CLOCK} AS TIMESTAMP)"
+_MINUTES = ("(60 * TRY_CAST(string_split(substr({0}, 2), ':')[1] AS INT)"
+            " + coalesce(TRY_CAST(string_split(substr({0}, 2), ':')[2] AS INT), 0))").format(_ZONE)
+_TIME = f"""CASE WHEN length(eventDate) < 10 THEN NULL
+    WHEN {_ZONE} = '' OR upper({_ZONE}) IN ('Z', 'UTC') THEN {_LOCAL}
+    WHEN left({_ZONE}, 1) = '+' THEN {_LOCAL} - to_minutes({_MINUTES})
+    WHEN left({_ZONE}, 1) = '-' THEN {_LOCAL} + to_minutes({_MINUTES})
+    WHEN {_ZONE} IN (SELECT name FROM pg_timezone_names())
+      THEN timezone('UTC', timezone({_ZONE}, {_LOCAL})) END"""
 _COUNT = r"CASE WHEN regexp_matches(individualCount, '^\s*[+-]?[0-9]+\s*$') THEN TRY_CAST(trim(individualCount) AS BIGINT) END"
 
 
@@ -116,9 +117,12 @@ SELECT species, common_name FROM (
   WHERE CAST(json_extract_string(match_json, '$.usageKey') AS BIGINT) <> 0
     AND json_extract_string(match_json, '$.rank') = 'SPECIES') n WHERE common_name IS NOT NULL""",
     "m_texts": """
-SELECT * FROM (SELECT species, json_extract_string(json, '$.extract') AS description,
-  json_extract_string(json, '$.originalimage.source') AS image_url FROM summary_responses) t
-WHERE description IS NOT NULL OR image_url IS NOT NULL""",
+SELECT species, description, image_url FROM (
+  SELECT *, row_number() OVER (PARTITION BY species ORDER BY CASE WHEN description IS NOT NULL AND image_url IS NOT NULL
+    THEN 0 WHEN description IS NOT NULL THEN 1 ELSE 2 END, description, image_url) AS rn
+  FROM (SELECT species, json_extract_string(json, '$.extract') AS description,
+    json_extract_string(json, '$.originalimage.source') AS image_url FROM summary_responses) t
+  WHERE description IS NOT NULL OR image_url IS NOT NULL) r WHERE rn = 1""",
     "m_first_image": """
 SELECT species, arg_min(url, position) AS url FROM (
   SELECT json_extract_string(b, '$.scientificName.value') AS species, json_extract_string(b, '$.image.value') AS url,

@@ -128,9 +128,18 @@ def _(t):
     return t.gbif
 
 
-@query("s8_sample_scan", None)
+@query("s8_sample_scan", "SELECT TRUE AS only_given_rows, TRUE AS share_within_bounds, TRUE AS same_for_the_seed")
 def _(t):
-    return sample_scan(t.gbif_raw, 5.0, seed=7)
+    scan = _stored(t, t.gbif_raw)
+    sample = _stored(t, sample_scan(scan, 5.0, seed=7))
+    again = sample_scan(scan, 5.0, seed=7)
+    foreign = sample.exceptAll(scan).agg((F.count(F.lit(1)) == 0).alias("only_given_rows"))
+    share = sample.agg(F.count(F.lit(1)).alias("n")).join(
+        scan.agg(F.count(F.lit(1)).alias("all")), how="cross").select(
+        F.col("n").between(F.col("all") * 0.04, F.col("all") * 0.06).alias("share_within_bounds"))
+    differ = sample.exceptAll(again).unionByName(again.exceptAll(sample)).agg(
+        (F.count(F.lit(1)) == 0).alias("same_for_the_seed"))
+    return foreign.join(share, how="cross").join(differ, how="cross")
 
 
 @query("k1_write_snappy", "SELECT scientificName FROM worms")
@@ -153,6 +162,40 @@ def _(t):
     return year.withColumn("event_month", F.date_format("event_month", "yyyy-MM-dd"))
 
 
+@query("k3_every_month", """
+SELECT event_date, species, individual_count, lon, lat, source, strftime(event_date, '%Y-%m-01') AS event_month
+FROM m_occ""")
+def _(t):
+    written = _stored(t, t.occurrences, partition_month="event_date", cluster_by=["geography"])
+    return written.withColumn("event_month", F.date_format("event_month", "yyyy-MM-dd"))
+
+
+def _files_that_may_hold(table: DataFrame, low: dict, high: dict):
+    """Files in all, and files whose smallest and largest values don't rule the asked range out."""
+    names = list(low)
+    bounds = table.groupBy(F.input_file_name().alias("file")).agg(
+        *(f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.min, F.max)))
+    may = F.lit(True)
+    for n in names:
+        may = may & (F.col(f"{n}_min") <= F.lit(high[n])) & (F.col(f"{n}_max") >= F.lit(low[n]))
+    return bounds.agg(F.count(F.lit(1)).alias("files"), F.count_if(may).alias("candidates"))
+
+
+@query("k4_clustered_files_skip", """
+SELECT 'species' AS layout, TRUE AS many_files, TRUE AS few_candidates UNION ALL SELECT 'geography', TRUE, TRUE""")
+def _(t):
+    result = None
+    for name, keys, low, high in (
+        ("species", ["species"], {"species": SPECIES}, {"species": SPECIES}),
+        ("geography", ["geography"], {"lat": 10.0, "lon": 10.0}, {"lat": 12.0, "lon": 12.0}),
+    ):
+        found = _files_that_may_hold(_stored(t, t.occurrences, cluster_by=keys, partitions=24), low, high).select(
+            F.lit(name).alias("layout"), (F.col("files") >= 8).alias("many_files"),
+            (F.col("candidates") <= 2).alias("few_candidates"))
+        result = found if result is None else result.unionByName(found)
+    return result
+
+
 @query("k4_write_clustered_by_species", "SELECT * FROM m_occ")
 def _(t):
     return _stored(t, t.occurrences, cluster_by=["species"])
@@ -695,19 +738,41 @@ def _(t):
     return done.drop("batch_id")
 
 
+@query("e7_run_enrichment", "SELECT * FROM m_merged")
+def _(t):
+    folder, progress = new_table_path(t.spark, "versions"), new_table_path(t.spark, "progress")
+    enrichment.write_version(t.species_enrichment, folder, 1)
+    replies = (t.vernacular_responses, t.summary_responses, t.image_responses)
+    enrichment.run_enrichment(t.spark, t.species, folder, progress, replies, batch_rows=100)
+    return enrichment.current_version(t.spark, folder)[0]
+
+
 @query("e8_batches", """
-SELECT count(*) AS rows, count(DISTINCT species) AS species, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches_allowed,
-  count(*) AS rows_in_range FROM m_work""")
+SELECT count(*) AS rows, count(DISTINCT species) AS species, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches,
+  CAST(0 AS BIGINT) AS split_species, TRUE AS no_batch_twice_as_large FROM m_work""")
 def _(t):
     batched = enrichment.assign_batches(_work(t), enrichment.DEV_BATCH_ROWS)
-    allowed = F.ceil(F.count(F.lit(1)) / enrichment.DEV_BATCH_ROWS)
-    ids = batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("species").alias("s"))
-    totals = ids.agg(F.sum("n").alias("rows"), F.sum("s").alias("species"),
-                     F.ceil(F.sum("n") / enrichment.DEV_BATCH_ROWS).alias("batches_allowed"),
-                     F.max("batch_id").alias("_last"))
-    return totals.withColumn(
-        "rows_in_range", F.when(F.col("_last") < F.col("batches_allowed"), F.col("rows")).otherwise(0)
-    ).drop("_last")
+    per_species = batched.groupBy("species").agg(
+        F.count(F.lit(1)).alias("n"), F.min("batch_id").alias("batch_id"), F.max("batch_id").alias("other"))
+    ids = per_species.groupBy("batch_id").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("s"), F.count_if(F.col("batch_id") != F.col("other")).alias("split"))
+    return ids.agg(
+        F.sum("n").alias("rows"), F.sum("s").alias("species"), (F.max("batch_id") + 1).alias("batches"),
+        F.sum("split").alias("split_species"),
+        (F.max("n") <= 2 * enrichment.DEV_BATCH_ROWS).alias("no_batch_twice_as_large"))
+
+
+@query("e8_image_groups", """
+SELECT species, TRUE AS at_most_50, TRUE AS alone FROM (
+  SELECT DISTINCT w.species FROM m_work w
+  WHERE w.image_url IS NULL AND w.species NOT IN (SELECT species FROM m_texts WHERE image_url IS NOT NULL)) g""")
+def _(t):
+    work = _work(t)
+    groups = enrichment.image_groups(
+        enrichment.plan_lookups(work, _replies(t)[1]), enrichment.assign_batches(work, enrichment.BATCH_ROWS))
+    listed = groups.select(F.explode("names").alias("species"), F.size("names").alias("n"))
+    return listed.groupBy("species").agg(
+        (F.max("n") <= enrichment.IMAGE_GROUP_NAMES).alias("at_most_50"), (F.count(F.lit(1)) == 1).alias("alone"))
 
 
 # --- quality rules, each on data that breaks it -------------------------------------------------------------

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewatch.plans import enrichment
@@ -37,6 +38,9 @@ def test_summaries(spark):
         ("a", '{"extract":"t","originalimage":{"source":"u"}}'), ("b", '{"extract":"t"}'),
         ("c", '{"originalimage":{"source":"u"}}'), ("d", '{"type":"x"}'), ("e", '{"extract":""}'), ("f", "bad"),
     ], schemas.SUMMARY_REPLIES)
+    twice = table(spark, [("a", '{"originalimage":{"source":"u"}}'), ("a", '{"extract":"t","originalimage":{"source":"v"}}'),
+                          ("b", '{"originalimage":{"source":"u"}}'), ("b", '{"extract":"t"}')], schemas.SUMMARY_REPLIES)
+    assert rows(enrichment.extract_summary(twice)) == [("a", "t", "v"), ("b", "t", None)]
     assert rows(enrichment.extract_summary(replies)) == [
         ("a", "t", "u"), ("b", "t", None), ("c", None, "u"), ("e", "", None)]
 
@@ -115,6 +119,50 @@ def test_a_cut_short_run_picks_up_the_rest(spark, tmp_path):
     assert again.count() == 40
 
 
+def test_units_that_are_done_stay_when_a_later_one_fails(spark, tmp_path, monkeypatch):
+    data = [(f"s{i}", None, "d", None, False) for i in range(200)]
+    names = table(spark, [(f"s{i}", f"N{i}") for i in range(200)], "species string, common_name string")
+    none = table(spark, [], "species string, description string, image_url string")
+    images = table(spark, [], "species string, image_url string")
+    progress, resolve, calls = str(tmp_path / "progress"), enrichment.resolve_enrichment, []
+
+    def fails_in_the_third(*parts):
+        calls.append(1)
+        out = resolve(*parts)
+        return out.withColumn("species", F.expr("raise_error('broken')").cast("string")) if len(calls) == 3 else out
+
+    monkeypatch.setattr(enrichment, "resolve_enrichment", fails_in_the_third)
+    run = (spark, table(spark, data, WORK), names, none, images, progress, 10, 4)
+    with pytest.raises(Exception, match="broken"):
+        enrichment.enrich_incremental(*run)
+    kept = enrichment.completed_rows(spark, progress)
+    before = {r.species: r.unit for r in kept.collect()}
+    assert set(before.values()) == {0, 1} and 50 < len(before) < 110
+    after = enrichment.enrich_incremental(*run)
+    assert after.count() == 200 and before.items() <= {r.species: r.unit for r in after.collect()}.items()
+    units = len({r.unit for r in after.select("unit").collect()})
+    assert len(list((tmp_path / "progress").rglob("*.parquet"))) <= units * enrichment.UNIT_FILES
+
+
+def test_a_run_writes_a_version_and_an_upload_needs_no_replies(spark, tmp_path):
+    folder, progress = str(tmp_path / "table"), str(tmp_path / "progress")
+    species = table(spark, [("a",), ("b",)], "species string")
+    enrichment.write_version(table(spark, [("a", None, "d", None)]), folder, 1)
+    names = table(spark, [("b", '{"usageKey":5,"rank":"SPECIES"}', '{"results":[{"vernacularName":"B","language":"eng"}]}')],
+                  schemas.NAME_REPLIES)
+    replies = (names, table(spark, [], schemas.SUMMARY_REPLIES), table(spark, [], schemas.IMAGE_REPLIES))
+    stats = enrichment.run_enrichment(spark, species, folder, progress, replies)
+    assert rows(stats.select("moment", "with_any_data")) == [("after", 2), ("before", 1)]
+    now, number = enrichment.current_version(spark, folder)
+    assert number == 2 and rows(now) == [("a", "", "d", ""), ("b", "B", None, None)]
+    enrichment.run_enrichment(spark, species, folder, progress)
+    assert enrichment.current_version(spark, folder)[1] == 2
+    enrichment.run_enrichment(spark, species, folder, progress, replies)
+    assert rows(enrichment.current_version(spark, folder)[0]) == [("a", "", "d", ""), ("b", "B", "", "")]
+    enrichment.run_enrichment(spark, species, folder, progress, replies)
+    assert enrichment.current_version(spark, folder)[1] == 3
+
+
 def test_batches(spark):
     work = table(spark, [(f"s{i}", None, None, None, True) for i in range(1000)], WORK)
     sizes = [r["count"] for r in enrichment.assign_batches(work, 100).groupBy("batch_id").count().collect()]

@@ -19,50 +19,61 @@ DETAIL = ("species string, common_name string, description string, image_url str
 
 @pytest.fixture
 def site_summary(spark):
-    return spark.createDataFrame([("Site A", 10.0, 10.0, 5, 10, 1, 0)], SITE_SUMMARY)
+    return spark.createDataFrame(
+        [("Wreck North", -21.5, 149.25, 2, 12, 0, 1), ("Amber Wall", 4.75, 73.5, 3, 40, 2, 0)], SITE_SUMMARY)
 
 
 @pytest.fixture
 def summary(spark):
-    return spark.createDataFrame(
-        [("Species A", "Common A", "http://example.com/a.jpg", "normal", False, False, "Site A", 10.0, 10.0, 5, 1)],
-        SUMMARY)
+    return spark.createDataFrame([
+        ("Velella minor", "Small sail", "https://img.test/v.png", "normal", False, False, "Wreck North", -21.5, 149.25, 9, 1),
+        ("Velella minor", "Small sail", "https://img.test/v.png", "normal", False, False, "Amber Wall", 4.75, 73.5, 30, 1),
+        ("Pterois dubia", None, None, "invasive", False, True, "Wreck North", -21.5, 149.25, 3, 2),
+    ], SUMMARY)
 
 
 @pytest.fixture
 def detail(spark):
-    return spark.createDataFrame(
-        [("Species A", "Common A", "Desc A", "http://example.com/a.jpg", "normal", False, False, 5, 1, "Site A",
-          10.0, 10.0)], DETAIL)
+    return spark.createDataFrame([
+        ("Pterois dubia", None, "Striped", None, "invasive", False, True, 3, 2, "Wreck North", -21.5, 149.25),
+        ("Velella minor", "Small sail", "Drifts", "https://img.test/v.png", "normal", False, False, 9, 1, "Wreck North",
+         -21.5, 149.25),
+        ("Velella minor", "Small sail", "Drifts", "https://img.test/v.png", "normal", False, False, 30, 1, "Amber Wall",
+         4.75, 73.5),
+    ], DETAIL)
 
 
 def test_sites_are_listed(site_summary):
-    assert serving.list_divesites(site_summary).first().dive_site == "Site A"
+    assert {r.dive_site for r in serving.list_divesites(site_summary).collect()} == {"Amber Wall", "Wreck North"}
 
 
 def test_species_are_found(summary):
-    assert serving.search_species(summary, "Species").first().species == "Species A"
-    assert serving.search_species(summary, "COMMON").count() == 1
-    assert serving.search_species(summary).count() == 1
-    assert serving.search_species(summary, "Species", "invasive").count() == 0
+    assert [r.species for r in serving.search_species(summary, "velel").collect()] == ["Velella minor"]
+    assert serving.search_species(summary, "SAIL").count() == 1
+    assert serving.search_species(summary).count() == 2
+    assert serving.search_species(summary, limit=1).count() == 1
+    assert serving.search_species(summary, "velel", "invasive").count() == 0
+    assert serving.search_species(summary, "dubia", "invasive").count() == 1
 
 
 def test_a_site_lists_its_species(detail):
-    found = serving.divesite_species(detail, "Site A")
-    assert found.first().species == "Species A"
+    found = serving.divesite_species(detail, "Wreck North")
+    assert [r.species for r in found.collect()] == ["Velella minor", "Pterois dubia"]
     assert found.columns == ["species", "common_name", "description", "image_url", "species_type", "is_endangered",
                              "is_invasive", "sighting_count", "frequency_rank"]
-    assert serving.divesite_species(detail, "Site B").count() == 0
+    assert serving.divesite_species(detail, "Wreck North", limit=1).count() == 1
+    assert serving.divesite_species(detail, "Nowhere").count() == 0
     for limit in (0, 201):
         with pytest.raises(ValueError):
-            serving.divesite_species(detail, "Site A", limit=limit)
+            serving.divesite_species(detail, "Amber Wall", limit=limit)
 
 
 def test_a_species_has_a_profile_and_sites(summary, detail):
-    profile = serving.species_detail(detail, "Species A").first()
-    assert (profile.total_sightings, profile.total_sites) == (5, 1)
-    assert serving.species_detail(detail, "Species B").count() == 0
-    assert rows(serving.species_sites(summary, "Species A")) == [("Site A", 10.0, 10.0, 5, 1)]
+    profile = serving.species_detail(detail, "Velella minor").first()
+    assert (profile.total_sightings, profile.total_sites) == (39, 2)
+    assert serving.species_detail(detail, "Nobody").count() == 0
+    assert rows(serving.species_sites(summary, "Velella minor")) == [
+        ("Amber Wall", 4.75, 73.5, 30, 1), ("Wreck North", -21.5, 149.25, 9, 1)]
 
 
 def test_markers(spark):

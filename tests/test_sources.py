@@ -67,9 +67,8 @@ def test_month_folders_are_pruned_and_replaced(spark, tmp_path):
     assert [r.n for r in read.collect()] == [2]
     assert "PartitionFilters: [isnotnull(event_month" in plan(read)
     placed = table.selectExpr("event_date", "n", "n * 20.0D AS lon", "n * 5.0D AS lat")
-    for splits in (1, 4):
-        writers.write_table(placed, path, partition_month="event_date", cluster_by=["geography"],
-                            splits_per_month=splits)
+    for files in (None, 4):
+        writers.write_table(placed, path, partition_month="event_date", cluster_by=["geography"], partitions=files)
         assert rows(spark.read.parquet(path).drop("event_month")) == rows(placed)
     writers.write_table(table, path, partition_month="event_date")
     writers.write_table(table.where("n = 2").withColumn("n", F.lit(20)), path, partition_month="event_date",
@@ -94,6 +93,19 @@ def test_clustered_files_are_sorted_and_whole(spark, tmp_path):
     assert rows(spark.read.parquet(path)) == rows(table)
 
 
+def test_a_key_lies_in_few_files_and_a_hot_key_in_several(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = spark.range(30_000, numPartitions=6).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'k35' ELSE CONCAT('k', LPAD(id % 70, 2, '0')) END AS species", "id")
+    writers.write_table(table, path, cluster_by=["species"], partitions=12)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(
+        F.min("species").alias("low"), F.max("species").alias("high"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) >= 8 and max(r.n for r in files) < 2 * 30_000 / len(files)
+    assert sum(r.low <= "k10" <= r.high for r in files) <= 2
+    assert sum(r.low <= "k35" <= r.high for r in files) >= 3
+    assert spark.read.parquet(path).exceptAll(table).count() == 0
+
+
 def test_serving_tables_from_files_or_folders(spark, tmp_path, caplog):
     t = Tables(spark, FOLDER)
     writers.export_serving({"divesite_summary": t.site_summary}, str(tmp_path))

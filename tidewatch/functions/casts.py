@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted forms (fixed values): whole numbers; ISO dates with an optional time and an optional UTC offset.
-# Partial dates such as 2001-05 and decimal counts such as 3.0 are not accepted.
+# Accepted forms (fixed values): whole numbers; dates with an optional time, each with an optional zone: Z, an offset
+# +H, +HH or +HH:MM, or a zone name after a space. Partial dates such as 2001-05 and counts such as 3.0 are not accepted.
 WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
-LOCAL_TIMESTAMP = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?)?$"
-ZONED_TIMESTAMP = (
-    r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
+TIMESTAMP = (
+    r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[ Tt]([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]{1,6})?))?"
+    r"(?:([Zz])| ?([+-])([0-9]{1,2})(?::([0-9]{1,2}))?| ([A-Za-z][A-Za-z0-9_+/-]*))?$"
 )
 
 
@@ -19,18 +19,30 @@ def safe_long(value: Column) -> Column:
 
 
 def safe_timestamp(value: Column) -> Column:
-    """String to TIMESTAMP_NTZ in UTC; text without an offset is taken as UTC, whatever the session zone is."""
-    instant = value.try_cast("timestamp")
-    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.when(value.rlike(LOCAL_TIMESTAMP), value.try_cast("timestamp_ntz")).when(
-        value.rlike(ZONED_TIMESTAMP), in_utc
-    )
+    """String to TIMESTAMP_NTZ in UTC; text without a zone is taken as UTC, whatever the session zone is."""
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(value, TIMESTAMP, group)
+
+    clock = F.concat(part(1), F.lit(" "), F.when(part(2) != "", part(2)).otherwise("00:00:00"))
+    offset = F.concat(part(4), F.lpad(part(5), 2, "0"), F.lit(":"), F.lpad(F.when(part(6) != "", part(6)).otherwise("0"), 2, "0"))
+    zone = F.when(part(3) != "", "Z").when(part(4) != "", offset).when(part(7) != "", F.concat(F.lit(" "), part(7)))
+    return F.when(value.rlike(TIMESTAMP), F.when(zone.isNull(), clock.try_cast("timestamp_ntz")).otherwise(
+        _utc_clock(F.concat(clock, zone).try_cast("timestamp"))))
+
+
+def _utc_clock(instant: Column) -> Column:
+    """What a clock in UTC shows at an instant, as TIMESTAMP_NTZ; exact in every session zone."""
+    seconds = F.unix_micros(instant).cast("decimal(22, 6)") / F.lit(1_000_000).cast("decimal(7, 0)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        zero, zero, zero, seconds.cast("decimal(18, 6)"))
 
 
 def as_utc_ntz(value: Column, data_type: str) -> Column:
     """A typed time column as TIMESTAMP_NTZ in UTC."""
     if data_type == "timestamp":
-        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.cast("timestamp_ntz"))
+        return _utc_clock(value)
     return value.cast("timestamp_ntz")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import Grid, haversine_m
 from tidewatch.operators.joins import Size, measure, salted_join
+from tidewatch.session import new_table_path
 
 # The radius the pipeline uses unless told otherwise (fixed value).
 RADIUS_M = 3000.0
@@ -17,10 +18,10 @@ RADIUS_M = 3000.0
 # Cells of a grid this coarse number fewer than 200,000 on the whole sphere, however many sites there are.
 TILE_RADIUS_M = 55_000.0
 
-# A cell with more sites than this is searched at a smaller radius first, at most this many times; the result is
-# the same either way.
+# A cell with more sites than this is searched at a smaller radius first, down to a radius at which sites of different
+# positions hardly share a cell; the result is the same either way.
 CROWDED = 256
-MAX_SEARCHES = 6
+SMALLEST_RADIUS_M = 1.0
 
 _CELL = "_cell"
 
@@ -69,13 +70,19 @@ def within_distance(occurrences: DataFrame, sites: DataFrame, radius_m: float =
 def closest_per_key(pairs: DataFrame, keys: list[str], tie_break: list[str]) -> DataFrame:
     """The row with the smallest distance per key; ties fall to the first in ``tie_break`` order.
 
-    Written as an aggregation: each map task keeps one candidate per key before the shuffle, so a key that
-    holds a third of the rows costs one row per task.
+    The distance is a hash aggregation, one number per key and task before the shuffle. Only the pairs at that distance,
+    few per key, are then compared by the whole order.
     """
-    order = ["distance_to_dive_site", *tie_break]
+    distance = "distance_to_dive_site"
+    nearest = pairs.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(distance).alias("_nearest"))
+    same = F.col(distance) == F.col("_nearest")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    ties = pairs.join(nearest, same, "left_semi")
+    order = [distance, *tie_break]
     rest = [name for name in pairs.columns if name not in keys and name not in order]
     best = F.min(F.struct(*order, *rest)).alias("_best")
-    return pairs.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*pairs.columns)
+    return ties.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*pairs.columns)
 
 
 def one_title_per_spot(sites: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def search_radii(spots: DataFrame, radius_m: float) -> tuple[list[float], Size]:
     """
     radii = [radius_m]
     size, crowd = _crowding(spots, radius_m)
-    while crowd > CROWDED and len(radii) < MAX_SEARCHES:
+    while crowd > CROWDED and radii[0] > SMALLEST_RADIUS_M:
         radii.insert(0, radii[0] / 4)
         more, crowd = _crowding(spots, radii[0])
         size = Size(size.rows + more.rows, size.bytes + more.bytes)
@@ -129,12 +136,21 @@ def _nearest_in(sites: str, radius_m: float):
     return F.get(F.filter(F.array(nearest), lambda best: best.distance_to_dive_site <= radius_m), F.lit(0))
 
 
+def nearest_among(occurrences: DataFrame, sites: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
+    """Pairs within the radius that hold each occurrence's nearest one: all pairs, or that one where cells are crowded."""
+    spots = one_title_per_spot(sites)
+    if len(search_radii(spots, radius_m)[0]) == 1:
+        return within_distance(occurrences, spots, radius_m)
+    return nearest_site(occurrences, sites, radius_m)
+
+
 def nearest_site(occurrences: DataFrame, sites: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     """Each occurrence with its nearest site within the radius; occurrences with none are left out.
 
     If counting proves the site cells small, the sites of a cell travel as one array and the choice is made in the
     row: no pairs are emitted and nothing is shuffled. Else the sites are joined to the distinct positions, radius by
-    radius, and the answer is joined back; adaptive execution splits a position that holds many rows.
+    radius, and the answer is joined back with a salt, as one position may hold many rows. What a radius settles and
+    leaves open is stored, so the plan doesn't grow with the radii.
     """
     columns = occurrences.columns
     answer = [*columns, "dive_site", "site_lon", "site_lat", "distance_to_dive_site"]
@@ -154,13 +170,19 @@ def nearest_site(occurrences: DataFrame, sites: DataFrame, radius_m: float = RAD
         choice = F.filter(F.array(F.coalesce(*found)), lambda best: best.isNotNull())
         return out.select(*columns, F.inline(choice)).select(*answer)
     candidates = near_any_site(occurrences, spots, radius_m)
-    open_positions = candidates.select("lon", "lat").distinct()
-    nearest = None
+    open_positions, nearest = _stored(candidates.select("lon", "lat").distinct(), "positions"), None
     for radius in radii:
-        settled = closest_per_key(
+        settled = _stored(closest_per_key(
             within_distance(open_positions, spots, radius), ["lon", "lat"], ["dive_site", "site_lon", "site_lat"]
-        )
+        ), "settled")
         nearest = settled if nearest is None else nearest.unionByName(settled)
         if radius != radii[-1]:
-            open_positions = open_positions.join(settled.select("lon", "lat"), ["lon", "lat"], "left_anti")
-    return candidates.join(nearest, ["lon", "lat"]).select(*answer)
+            open_positions = _stored(
+                open_positions.join(settled.select("lon", "lat"), ["lon", "lat"], "left_anti"), "positions")
+    return salted_join(candidates, nearest, ["lon", "lat"], "inner").select(*answer)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

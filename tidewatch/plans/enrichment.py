@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import blank_to_null
 from tidewatch.functions.urls import thumbnail_url
 from tidewatch.operators.joins import lookup_join
+from tidewatch.session import new_table_path
 from tidewatch.sources import schemas
 
 FIELDS = ("common_name", "description", "image_url")
@@ -23,6 +24,8 @@ FIELDS = ("common_name", "description", "image_url")
 BATCH_ROWS = 500
 DEV_BATCH_ROWS = 50
 IMAGE_GROUP_NAMES = 50
+# Batches that are committed together at least, files of such a unit at most, and units of a run at most.
+UNIT_BATCHES, UNIT_FILES, MOST_UNITS = 20, 4, 64
 
 
 def _any(columns):
@@ -62,7 +65,26 @@ def remaining(work: DataFrame, completed: DataFrame) -> DataFrame:
 def assign_batches(work: DataFrame, batch_rows: int = BATCH_ROWS, total: int | None = None) -> DataFrame:
     """Add a ``batch_id`` such that batches hold about ``batch_rows`` rows each; the same name, the same batch."""
     batches = max(1, math.ceil((work.count() if total is None else total) / batch_rows))
-    return work.withColumn("batch_id", F.pmod(F.xxhash64("species"), F.lit(batches)))
+    return work.withColumn("batch_id", _batch(batches))
+
+
+def _batch(batches: int):
+    """The batch of a species."""
+    return F.pmod(F.xxhash64("species"), F.lit(batches))
+
+
+def image_groups(needs: DataFrame, batched: DataFrame) -> DataFrame:
+    """The fallback lookups as groups of ``IMAGE_GROUP_NAMES`` names: (batch_id, image_group, names).
+
+    ``needs`` marks the species that need one, ``batched`` has their batch. Groups don't cross batches, so a group is
+    ranked within the few hundred names of a batch.
+    """
+    wanted = batched.select("batch_id", "species").join(
+        needs.where("needs_fallback").select("species").distinct(), "species").distinct()
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("species"))
+    group = F.floor((place - 1) / IMAGE_GROUP_NAMES).cast("int")
+    return wanted.select("batch_id", "species", group.alias("image_group")).groupBy("batch_id", "image_group").agg(
+        F.array_sort(F.collect_list("species")).alias("names"))
 
 
 def extract_common_name(replies: DataFrame) -> DataFrame:
@@ -79,14 +101,19 @@ def extract_common_name(replies: DataFrame) -> DataFrame:
 
 
 def extract_summary(replies: DataFrame) -> DataFrame:
-    """Text and image of each species that has either: (species, description, image_url)."""
+    """Text and image of each species that has either: (species, description, image_url).
+
+    Should replies of a species have been landed twice, one with both wins over one with a text, that over one with an
+    image, and of equals the smallest: what is missing never wins.
+    """
     reply = F.from_json("json", schemas.SUMMARY)
     found = replies.select(
         "species", reply["extract"].alias("description"), reply["originalimage"]["source"].alias("image_url")
     )
     found = found.where("description IS NOT NULL OR image_url IS NOT NULL")
-    one = found.groupBy("species").agg(F.min(F.struct("description", "image_url")).alias("one"))
-    return one.select("species", "one.*")
+    lacks = F.col("description").isNull().cast("int") * 2 + F.col("image_url").isNull().cast("int")
+    one = found.groupBy("species").agg(F.min(F.struct(lacks, "description", "image_url")).alias("one"))
+    return one.select("species", "one.description", "one.image_url")
 
 
 def extract_fallback_image(replies: DataFrame, width: int = 800) -> DataFrame:
@@ -106,8 +133,7 @@ def extract_fallback_image(replies: DataFrame, width: int = 800) -> DataFrame:
 def plan_lookups(work: DataFrame, summaries: DataFrame) -> DataFrame:
     """Which lookups each work row needs; the image fallback only where the summary has no image either."""
     with_image = summaries.where("image_url IS NOT NULL").select("species").distinct()
-    marked = lookup_join(work, with_image.withColumn("_has", F.lit(True)), "species", "left", size_of=summaries,
-                         hot_keys=False)
+    marked = work.join(with_image.withColumn("_has", F.lit(True)), "species", "left")
     no_image = F.col("image_url").isNull()
     return marked.select(
         "species",
@@ -125,14 +151,14 @@ def resolve_enrichment(
     A found value that is not blank wins over the old one. On retried rows what is still missing becomes '',
     so that they are not tried again; new rows keep NULL.
     """
+    # Replies have one row per species; adaptive execution measures them and chooses how to join.
     looked_up = work
     for reply, renamed in (
         (names, {"common_name": "_name"}),
         (summaries, {"description": "_text", "image_url": "_image"}),
         (images, {"image_url": "_fallback"}),
     ):
-        looked_up = lookup_join(looked_up, reply.withColumnsRenamed(renamed), "species", "left", size_of=reply,
-                                hot_keys=False)
+        looked_up = looked_up.join(reply.withColumnsRenamed(renamed), "species", "left")
     wants_name = F.col("common_name").isNull()
     wants_text = F.col("description").isNull() | F.col("image_url").isNull()
     wants_fallback = F.col("image_url").isNull() & F.col("_image").isNull()
@@ -165,7 +191,7 @@ def dedup_enrichment(enrichment: DataFrame) -> DataFrame:
 def merge_enrichment(target: DataFrame, staged: DataFrame) -> DataFrame:
     """The new version of the enrichment table: staged fields overwrite unless NULL, unknown species are added.
 
-    Fails if the staged rows name a species twice, since no single row could win.
+    ``staged`` should be stored rows, as it is read twice. Fails if the staged rows name a species twice, since no single row could win.
     """
     repeated = repeated_keys(staged.where("species IS NOT NULL")).select("species").first()
     if repeated is not None:
@@ -202,14 +228,12 @@ def coverage_shares(rows: DataFrame) -> DataFrame:
     )
 
 
-def save_batches(resolved: DataFrame, path: str) -> None:
-    """Store resolved rows (with ``batch_id``) below the progress folder; writing a batch again replaces it."""
-    resolved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+def completed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows stored by units that are done; none if the folder does not exist."""
+    return _read_or_empty(spark, path, f"{schemas.ENRICHMENT}, is_new boolean, batch_id bigint, unit int")
 
 
-def completed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows stored by earlier batches; none if the folder does not exist."""
-    schema = f"{schemas.ENRICHMENT}, is_new boolean, batch_id bigint"
+def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -218,6 +242,12 @@ def completed_rows(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    (df.repartition(by).write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def enrich_incremental(
     spark: SparkSession,
     work: DataFrame,
@@ -226,14 +256,72 @@ def enrich_incremental(
     images: DataFrame,
     progress: str,
     batch_rows: int = BATCH_ROWS,
+    unit_batches: int = UNIT_BATCHES,
 ) -> DataFrame:
     """Resolve the work that is not in the progress folder yet, add it there, and return all completed rows.
 
-    All batches run as one job that writes one folder per batch; a run that was cut short picks up the rest.
+    Batches are resolved in units of at least ``unit_batches``, at most ``MOST_UNITS`` units. Each unit is one job that
+    commits its own folder of at most ``UNIT_FILES`` files: units that are done stay when a later one fails, and the
+    next run resolves the rest. Work and replies are stored by unit, so a unit reads its share of them only.
     """
-    todo = remaining(work, completed_rows(spark, progress))
-    resolved = resolve_enrichment(todo, names, summaries, images)
-    batched = assign_batches(resolved, batch_rows, total=todo.count())
-    first_free = completed_rows(spark, progress).agg(F.coalesce(F.max("batch_id") + 1, F.lit(0))).first()[0]
-    save_batches(batched.withColumn("batch_id", F.col("batch_id") + first_free), progress)
+    done = completed_rows(spark, progress)
+    last = done.agg(F.max("batch_id").alias("batch"), F.max("unit").alias("unit")).first()
+    first_batch, first_unit = (0 if x is None else x + 1 for x in (last.batch, last.unit))
+    todo = _stored(remaining(work, done), "todo")
+    total = todo.count()
+    if not total:
+        return completed_rows(spark, progress)
+    batches = math.ceil(total / batch_rows)
+    per_unit = max(unit_batches, math.ceil(batches / MOST_UNITS))
+    batch = _batch(batches)
+
+    def by_unit(df: DataFrame, name: str) -> DataFrame:
+        return _stored(df.withColumn("unit", F.floor(batch / per_unit).cast("int")), name, by="unit")
+
+    todo = by_unit(todo, "work_by_unit")
+    replies = [by_unit(x, "replies_by_unit") for x in (names, summaries, images)]
+    for unit in range(math.ceil(batches / per_unit)):
+        own = [x.where(F.col("unit") == unit).drop("unit") for x in (todo, *replies)]
+        resolved = resolve_enrichment(*own).withColumn("batch_id", batch + first_batch)
+        resolved.repartition(UNIT_FILES).write.mode("overwrite").parquet(f"{progress}/unit={first_unit + unit}")
     return completed_rows(spark, progress)
+
+
+def current_version(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The newest complete version of the enrichment table and its number; 0 and no rows before the first."""
+    every = _read_or_empty(spark, folder, f"{schemas.ENRICHMENT}, version int")
+    number = every.agg(F.max("version")).first()[0] or 0
+    return every.where(F.col("version") == number).drop("version"), number
+
+
+def write_version(table: DataFrame, folder: str, number: int) -> None:
+    """Store a version beside the others; a write that fails leaves no part of it, so the one before stays current."""
+    table.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+
+def run_enrichment(
+    spark: SparkSession,
+    species_table: DataFrame,
+    folder: str,
+    progress: str,
+    replies: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    new_only: bool = False,
+    batch_rows: int = BATCH_ROWS,
+) -> DataFrame:
+    """One enrichment run: work list, resolved units, upsert as a new version. Returns coverage before and after.
+
+    ``replies`` are landed name, summary and image replies; without them only the progress of earlier runs is put into
+    the table. Progress belongs to the version it builds on, so what is in the table is never read as progress again.
+    Without any progress no version is written.
+    """
+    target, number = current_version(spark, folder)
+    units = f"{progress}/onto={number}"
+    before = coverage_counts(species_table, target).withColumn("moment", F.lit("before"))
+    if replies is not None:
+        found = (extract_common_name(replies[0]), extract_summary(replies[1]), extract_fallback_image(replies[2]))
+        enrich_incremental(spark, work_list(species_table, target, new_only), *found, units, batch_rows)
+    staged = completed_rows(spark, units).select("species", *FIELDS)
+    if not staged.isEmpty():
+        write_version(merge_enrichment(target, staged), folder, number + 1)
+    after = coverage_counts(species_table, current_version(spark, folder)[0]).withColumn("moment", F.lit("after"))
+    return before.unionByName(after)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.sampling import hash_sample
 from tidewatch.operators.joins import lookup_join
 from tidewatch.operators.ranking import rank_by_count
-from tidewatch.operators.spatial import RADIUS_M, closest_per_key, nearest_site, within_distance
+from tidewatch.operators.spatial import RADIUS_M, closest_per_key, nearest_among, nearest_site, within_distance
 from tidewatch.operators.taxa import classify_species, validate_taxa
 from tidewatch.plans.staging import standardize
 
@@ -57,10 +57,11 @@ def near_dive_site_occurrences(
         return within_distance(records, sites, radius_m).select(*shape)
     if rank_by not in ("event_date", "occurrence"):
         raise ValueError(f"rank_by must be 'event_date', 'occurrence' or None, not {rank_by!r}")
-    best = nearest_site(records, sites, radius_m).select(*shape)
     if rank_by == "event_date":
-        # The closest pair of a timestamp is some occurrence with its nearest site, so no other pair is needed.
-        best = closest_per_key(best, ["event_date"], NEAR_TIE_BREAK)
+        pairs = nearest_among(records, sites, radius_m).select(*shape)
+        best = closest_per_key(pairs, ["event_date"], NEAR_TIE_BREAK)
+    else:
+        best = nearest_site(records, sites, radius_m).select(*shape)
     return best.withColumn("proximity_rank", F.lit(1).cast("bigint"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,11 +40,14 @@ def local_session(app: str = "tidewatch", cpus: int | str = "*", shuffle_partiti
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a fresh local folder made and remembered.
+    Only where the setting is absent and all tasks run on this machine (tests, a laptop) is a fresh local folder made
+    and remembered. On a cluster the setting must be there: part files in a local folder would be on many machines.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
         _own_folders[application] = tempfile.mkdtemp(prefix="run-", dir="/tmp")

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.geo import Grid
+from tidewatch.operators.joins import measure
 from tidewatch.operators.spatial import RADIUS_M
+from tidewatch.session import new_table_path
 
 # Side of the square, in degrees, whose points are written together in a table clustered by geography.
 TILE_DEGREES = 5.0
 
 
-def _clustered(df: DataFrame, month: str | None, cluster_by: list[str], splits_per_month: int) -> DataFrame:
-    """Rows of one month, or of one first cluster key, together and sorted.
+# Bytes of data, before encoding, that a file of a clustered table holds.
+FILE_BYTES = 256 * 1024 * 1024
+
+
+def _clustered(df: DataFrame, month: str | None, cluster_by: list[str], files: int | None) -> DataFrame:
+    """Rows in the order of the month and the cluster keys, cut into ranges, one file each.
 
-    The REBALANCE hint lets adaptive execution choose the number of files: small partitions are merged and a
-    partition blown up by one hot key, or by copies of one row, is split by map output. Unlike a range
-    partitioning it needs no sampling pass, so the input is computed once.
+    Neighbouring keys lie in one file, so its statistics name a narrow range and a filter on a key skips the others. A
+    hash of the row is the last part of the order: a key that holds a third of the rows spans several neighbouring
+    files. The rows are stored first, so that counting and sampling them computes nothing again.
     """
-    out, order = df, []
+    stored = new_table_path(df.sparkSession, "unordered")
+    df.write.parquet(stored)
+    rows = df.sparkSession.read.schema(df.schema).parquet(stored)
+    if files is None:
+        files = max(1, math.ceil(measure(rows).bytes / FILE_BYTES))
+    order, out = [month] if month else [], rows.withColumn("_row", F.xxhash64(*rows.columns))
     for name in cluster_by:
         if name == "geography":
             tile = F.floor(F.col("lat") / TILE_DEGREES) * 1000 + F.floor(F.col("lon") / TILE_DEGREES)
@@ -27,16 +40,7 @@ def _clustered(df: DataFrame, month: str | None, cluster_by: list[str], splits_p
             order += ["_tile", "_cell"]
         else:
             order.append(name)
-    if not month:
-        together = [F.col(order[0])]
-    elif order and splits_per_month > 1:
-        together = [F.col(month), F.pmod(F.xxhash64(order[0]), F.lit(splits_per_month))]
-    else:
-        together = [F.col(month)]
-    if len(together) > 1:
-        out, together = out.withColumn("_split", together[1]), [F.col(month), F.col("_split")]
-    sorting = ([month] if month else []) + order
-    return out.hint("rebalance", *together).sortWithinPartitions(*sorting).drop("_tile", "_cell", "_split")
+    return out.repartitionByRange(files, *order, "_row").sortWithinPartitions(*order).drop("_tile", "_cell", "_row")
 
 
 def write_table(
@@ -48,22 +52,21 @@ def write_table(
     mode: str = "overwrite",
     partitions: int | None = None,
     keep_other_months: bool = False,
-    splits_per_month: int = 1,
 ) -> None:
     """Write parquet.
 
     ``partition_month`` adds an ``event_month`` folder per month of that column; with ``keep_other_months`` an
-    overwrite replaces only the months it writes. ``cluster_by`` writes equal keys together and sorted, so that
-    a filter on them skips row groups; ``"geography"`` stands for the position (lon, lat). Where a month is many
-    files long, ``splits_per_month`` gives each file a share of the first cluster key instead of a bit of all.
-    ``partitions`` asks for about that many files of an unclustered table; a table stays a folder of part files.
+    overwrite replaces only the months it writes. ``cluster_by`` writes ranges of those columns to files of their own,
+    sorted, so that a filter on them skips files and row groups; ``"geography"`` stands for the position (lon, lat).
+    ``partitions`` asks for about that many files; without it a clustered table has one per ``FILE_BYTES``, and one
+    more where a month begins. A table stays a folder of part files.
     """
     out, month = df, None
     if partition_month:
         month = "event_month"
         out = out.withColumn(month, F.date_trunc("month", F.col(partition_month)).cast("date"))
     if month or cluster_by:
-        out = _clustered(out, month, cluster_by or [], splits_per_month)
+        out = _clustered(out, month, cluster_by or [], partitions)
     elif partitions:
         out = out.repartition(partitions)
     writer = out.write.mode(mode).option("compression", codec)
