@@ -16,11 +16,16 @@ import time
 from pyspark.sql import functions as F
 
 from checks.inputs import VIEWS, Tables
-from checks.registry import QUERIES, model_build
+from checks.registry import QUERIES, SPECIES, model_build
+from tidewatch.operators import joins
 from tidewatch.session import local_session, new_table_path
+from tidewatch.sources import schemas
 from tidewatch.sources.readers import read_observations
 from tidewatch.sources.writers import write_table
 
+# How often the ingest of many records reads the landed files.
+INGEST_COPIES = 100
+
 FROM_RAW = (
     "s1_read_observations",
     "s7_stage_gbif",
@@ -84,6 +89,12 @@ def main() -> None:
         write_table(read_observations(spark, f"{landing}/nested"), f"{landing}/ingested", codec="zstd")
 
     timed("ingest_observations", ingest)
+
+    # Fixed costs hide the rate of a small ingest, so the same files are read many times over.
+    copies = [f"{landing}/nested"] * INGEST_COPIES
+    nested_files = spark.read.schema(schemas.OBSERVATION_FILE).parquet(*copies)
+    many = nested_files.where("interpreted.species IS NOT NULL").select("interpreted.*")
+    timed("ingest_many", lambda: write_table(many, f"{landing}/ingested_many", codec="zstd"))
     for name in FROM_RAW:
         timed(name, lambda name=name: run(name, inputs))
     built = {}
@@ -96,6 +107,14 @@ def main() -> None:
     for name in FROM_TABLES:
         timed(name, lambda name=name: run(name, tables))
 
+    # The ways beyond what counting proves small, and a key read from a table of many files.
+    limit, joins.BROADCAST_MAX_ROWS = joins.BROADCAST_MAX_ROWS, -1
+    timed("shuffle_w1_nearest_per_event_date", lambda: run("w1_nearest_per_event_date", inputs))
+    joins.BROADCAST_MAX_ROWS = limit
+    files = f"{landing}/many_files"
+    write_table(built["clustered_occurrences"], files, cluster_by=["species"], partitions=64)
+    timed("read_one_key_of_many_files", lambda: spark.read.parquet(files).where(F.col("species") == SPECIES).count())
+
     records = inputs["gbif_raw"].count() + inputs["obis_raw"].count()
     landed = seconds.pop("land_inputs")
     print(json.dumps({
@@ -107,6 +126,8 @@ def main() -> None:
         "land_inputs_sec": landed,
         "raw_records": records,
         "ingest_records_per_sec": round(inputs["obis_raw"].count() / seconds["ingest_observations"]),
+        "ingest_many_records_per_sec_and_thread": round(
+            INGEST_COPIES * inputs["obis_raw"].count() / seconds["ingest_many"] / int(cpus)),
         "staging_records_per_sec": round(records / (seconds["p3_stage_obis"] + seconds["s7_stage_gbif"])),
         "build_records_per_sec": round(records / seconds["build_all_tables"]),
     }))

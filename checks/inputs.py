@@ -98,15 +98,17 @@ SELECT '{{"results":{{"bindings":[{{"scientificName":{{"value":"' || species ||
   CASE WHEN k % 2 = 0 THEN ',{{"scientificName":{{"value":"' || species ||
     '"}},"image":{{"value":"{_FILE}Other+' || CAST(k AS VARCHAR(20)) || '.jpg"}}}}' ELSE '' END || ']}}}}' AS json
 FROM taxon_key WHERE size <= 30""",
-    # Some sites are missing from the guide, some from the map; map cells overlap.
+    # Some sites are missing from the guide, some from the map; map cells overlap. A page has the sites of one region.
     "guide_pages": """
-SELECT '{"results":[{"id":' || CAST(id AS VARCHAR(20)) || ',"title":"' || title || '","images":["x.jpg"]}]}' AS body
-FROM divesites_raw WHERE region <> 5 AND title IS NOT NULL""",
+SELECT '{"results":[' || string_agg('{"id":' || CAST(id AS VARCHAR(20)) || ',"title":"' || title || '","images":["x.jpg"]}', ',')
+  || ']}' AS body
+FROM divesites_raw WHERE region <> 5 AND title IS NOT NULL GROUP BY region""",
     "map_pages": """
-SELECT '[{"id":' || CAST(id AS VARCHAR(20)) || ',"latitude":' || CAST(((id * 37) % 121) - 60 AS VARCHAR(20))
-  || ',"longitude":' || CAST(((id * 73) % 361) - 180 AS VARCHAR(20)) || '}]' AS body
-FROM (SELECT id FROM divesites_raw WHERE region <> 7
-      UNION ALL SELECT id FROM divesites_raw WHERE region < 9 AND region <> 7) cells""",
+SELECT '[' || string_agg('{"id":' || CAST(id AS VARCHAR(20)) || ',"latitude":' || CAST(((id * 37) % 121) - 60 AS VARCHAR(20))
+  || ',"longitude":' || CAST(((id * 73) % 361) - 180 AS VARCHAR(20)) || '}', ',') || ']' AS body
+FROM (SELECT id, region FROM divesites_raw WHERE region <> 7
+      UNION ALL SELECT id, region + 100 AS region FROM divesites_raw WHERE region < 9 AND region <> 7) cells
+GROUP BY region""",
 }
 
 

@@ -86,9 +86,9 @@ _SITES_SQL = """
 SELECT {0} coalesce(g.id, m.id) AS id, g.title, m.latitude, m.longitude
 FROM (SELECT id, title FROM divesites_raw WHERE region <> 5 AND title IS NOT NULL) g
 FULL OUTER JOIN (
-  SELECT CAST(json_extract_string(body, '$[0].id') AS BIGINT) AS id,
-    CAST(json_extract_string(body, '$[0].latitude') AS DOUBLE) AS latitude,
-    CAST(json_extract_string(body, '$[0].longitude') AS DOUBLE) AS longitude FROM map_pages) m ON g.id = m.id
+  SELECT id, CAST(((id * 37) % 121) - 60 AS DOUBLE) AS latitude, CAST(((id * 73) % 361) - 180 AS DOUBLE) AS longitude
+  FROM (SELECT id FROM divesites_raw WHERE region <> 7
+        UNION ALL SELECT id FROM divesites_raw WHERE region < 9 AND region <> 7) cells) m ON g.id = m.id
 WHERE g.title IS NOT NULL AND m.latitude IS NOT NULL AND m.longitude IS NOT NULL"""
 
 
@@ -103,21 +103,30 @@ def _(t):
 
 
 @query("s6_load_stored_inputs", """
-SELECT 'worms_table' AS name, count(*) AS row_count, count(scientificName) AS known FROM worms
-UNION ALL SELECT 'divesites_table', count(*), count(title) FROM divesites_raw
-UNION ALL SELECT 'species_enrichment', count(*), count(common_name) FROM species_enrichment
-UNION ALL SELECT 'obis_table', count(*), count(species) FROM obis_raw
-UNION ALL SELECT 'gbif_table', count(*), count(species) FROM gbif_raw""")
+SELECT 'worms_table' AS name, count(*) AS row_count, count(scientificName) AS known,
+  CAST(sum(length(scientificName)) AS BIGINT) AS content FROM worms
+UNION ALL SELECT 'divesites_table', count(*), count(title), CAST(sum(length(title) * id) AS BIGINT) FROM divesites_raw
+UNION ALL SELECT 'species_enrichment', count(*), count(common_name),
+  CAST(sum(length(common_name) + length(description)) AS BIGINT) FROM species_enrichment
+UNION ALL SELECT 'obis_table', count(*), count(species), CAST(sum(length(species) * length(eventDate)) AS BIGINT) FROM obis_raw
+UNION ALL SELECT 'gbif_table', count(*), count(species), CAST(sum(length(species) * individualcount) AS BIGINT)
+FROM gbif_raw""")
 def _(t):
     folder = new_table_path(t.spark, "inputs")
-    stored = {"worms_table": (t.worms, "scientificName"), "divesites_table": (t.divesites_raw, "title"),
-              "species_enrichment": (t.species_enrichment, "common_name"), "obis_table": (t.obis_raw, "species"),
-              "gbif_table": (t.gbif_raw, "species")}
+    size = {name: F.length(name) for name in ("scientificName", "title", "common_name", "description", "species", "eventDate")}
+    stored = {
+        "worms_table": (t.worms, "scientificName", size["scientificName"]),
+        "divesites_table": (t.divesites_raw, "title", size["title"] * F.col("id")),
+        "species_enrichment": (t.species_enrichment, "common_name", size["common_name"] + size["description"]),
+        "obis_table": (t.obis_raw, "species", size["species"] * size["eventDate"]),
+        "gbif_table": (t.gbif_raw, "species", size["species"] * F.col("individualcount")),
+    }
     result = None
-    for name, (table, column) in stored.items():
+    for name, (table, column, content) in stored.items():
         writers.write_table(table, f"{folder}/{name}")
         counted = readers.load(t.spark, folder, name).agg(
-            F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"), F.count(column).alias("known")
+            F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"), F.count(column).alias("known"),
+            F.sum(content).cast("bigint").alias("content")
         )
         result = counted if result is None else result.unionByName(counted)
     return result
@@ -133,13 +142,16 @@ def _(t):
     scan = _stored(t, t.gbif_raw)
     sample = _stored(t, sample_scan(scan, 5.0, seed=7))
     again = sample_scan(scan, 5.0, seed=7)
-    foreign = sample.exceptAll(scan).agg((F.count(F.lit(1)) == 0).alias("only_given_rows"))
-    share = sample.agg(F.count(F.lit(1)).alias("n")).join(
-        scan.agg(F.count(F.lit(1)).alias("all")), how="cross").select(
-        F.col("n").between(F.col("all") * 0.04, F.col("all") * 0.06).alias("share_within_bounds"))
-    differ = sample.exceptAll(again).unionByName(again.exceptAll(sample)).agg(
-        (F.count(F.lit(1)) == 0).alias("same_for_the_seed"))
-    return foreign.join(share, how="cross").join(differ, how="cross")
+    none = (F.count(F.lit(1)) == 0).alias("holds")
+    share = sample.select(F.lit(1).alias("drawn")).unionByName(scan.select(F.lit(0).alias("drawn")))
+    facts = (
+        ("only_given_rows", sample.exceptAll(scan).agg(none)),
+        ("share_within_bounds", share.agg(F.avg("drawn").between(0.04 / 1.04, 0.06 / 1.06).alias("holds"))),
+        ("same_for_the_seed", sample.exceptAll(again).unionByName(again.exceptAll(sample)).agg(none)),
+    )
+    rows = [df.select(*(F.col("holds").alias(n) if n == name else F.lit(None).cast("boolean").alias(n)
+                        for n, _ in facts)) for name, df in facts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(*(F.bool_and(n).alias(n) for n, _ in facts))
 
 
 @query("k1_write_snappy", "SELECT scientificName FROM worms")
@@ -215,10 +227,14 @@ def _(t):
 
 
 @query("k6_export_and_s9_open_serving", """
-SELECT 'divesite_summary' AS name, count(*) AS row_count, CAST(sum(total_sightings) AS BIGINT) AS sightings
+SELECT 'divesite_summary' AS name, count(*) AS row_count, CAST(sum(total_sightings) AS BIGINT) AS sightings,
+  CAST(sum(length(dive_site) * (total_species + 10 * endangered_count + 100 * invasive_count)) AS BIGINT) AS content
 FROM m_site_summary
-UNION ALL SELECT 'species_divesite_summary', count(*), CAST(sum(sighting_count) AS BIGINT) FROM m_summary
-UNION ALL SELECT 'divesite_species_detail', count(*), CAST(sum(sighting_count) AS BIGINT) FROM m_detail""")
+UNION ALL SELECT 'species_divesite_summary', count(*), CAST(sum(sighting_count) AS BIGINT),
+  CAST(sum(length(dive_site) * length(species) * frequency_rank) AS BIGINT) FROM m_summary
+UNION ALL SELECT 'divesite_species_detail', count(*), CAST(sum(sighting_count) AS BIGINT),
+  CAST(sum(length(dive_site) * length(species) * frequency_rank + length(coalesce(description, ''))) AS BIGINT)
+FROM m_detail""")
 def _(t):
     folder = new_table_path(t.spark, "serving")
     writers.export_serving(
@@ -226,10 +242,17 @@ def _(t):
          "divesite_species_detail": t.detail}, folder)
     opened = readers.open_serving(t.spark, folder, cache=False)
     result = None
+    place = F.length("dive_site")
     for name, table in opened.items():
         column = "total_sightings" if name == "divesite_summary" else "sighting_count"
+        if name == "divesite_summary":
+            content = place * (F.col("total_species") + 10 * F.col("endangered_count") + 100 * F.col("invasive_count"))
+        else:
+            content = place * F.length("species") * F.col("frequency_rank")
+            if name == "divesite_species_detail":
+                content = content + F.length(F.coalesce("description", F.lit("")))
         counted = table.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"),
-                            F.sum(column).alias("sightings"))
+                            F.sum(column).alias("sightings"), F.sum(content).cast("bigint").alias("content"))
         result = counted if result is None else result.unionByName(counted)
     return result
 
@@ -735,7 +758,7 @@ def _(t):
     for share in (work.where("NOT is_new"), work):
         done = enrichment.enrich_incremental(t.spark, share, *_replies(t), progress=progress, batch_rows=100)
     work.unpersist()
-    return done.drop("batch_id")
+    return done.drop("batch_id", "unit")
 
 
 @query("e7_run_enrichment", "SELECT * FROM m_merged")

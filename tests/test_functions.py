@@ -20,6 +20,11 @@ def test_timestamps_are_read_as_utc_in_any_session_zone(spark, zone):
         "2024-03-05T10:00:00Z": "2024-03-05 10:00:00",
         "2024-03-05T10:00:00+02:00": "2024-03-05 08:00:00",
         "2024-03-05T23:30:00-05:30": "2024-03-06 05:00:00",
+        "2024-03-05 10:00:00+02": "2024-03-05 08:00:00", "2024-03-05 10:00:00-5:30": "2024-03-05 15:30:00",
+        "2024-03-05t10:00:00z": "2024-03-05 10:00:00", "2024-03-05 10:00:00 UTC": "2024-03-05 10:00:00",
+        "2024-07-05 10:00:00 America/New_York": "2024-07-05 14:00:00", "2024-03-05 10:00:00 No/Where": None,
+        "2024-03-05+3": "2024-03-04 21:00:00", "2024-03-05Z": "2024-03-05 00:00:00",
+        "2024-03-05 10:00:00 -08:00": "2024-03-05 18:00:00", "2024-11-03 01:30:00-05:00": "2024-11-03 06:30:00",
         "2024-02-30": None, "2024": None, "2024-05": None, "": None, "unknown": None, None: None,
         "2024-03-05/2024-03-07": None, "2024-03-05T25:00:00": None,
     }

@@ -36,6 +36,24 @@ def test_unreadable_files_fail_or_are_skipped(spark, observations):
         readers.read_observations(spark, str(observations), on_error="warn")
 
 
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tidewatch import session
+
+    class Elsewhere:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        sparkContext = Elsewhere()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+
+
 def test_checklist_text(spark, tmp_path):
     core = tmp_path / "core.txt"
     core.write_text('taxonID\tscientificName\tremark\n1\tA "b" c\tx\n2\tÉ d\t\n3\t\ty\n', encoding="utf-8")

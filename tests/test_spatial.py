@@ -147,6 +147,34 @@ def test_no_cross_join_in_the_plan(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_the_plan_grows_in_step_with_the_radii(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    sites = rng.normal(0, 0.0005, (60, 2))
+    points = np.vstack([rng.normal(0, 0.01, (100, 2)), rng.uniform(-0.05, 0.05, (100, 2))])
+    occurrences, places = frames(spark, points, sites)
+    places = places.selectExpr("LPAD(title, 4, '0') AS title", "lon", "lat")
+    from tidewatch.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", -1)
+    monkeypatch.setattr(spatial, "CROWDED", 4)
+    radii, _ = spatial.search_radii(spatial.one_title_per_spot(places), 3000.0)
+    assert len(radii) >= 4
+    found = spatial.nearest_site(occurrences, places)
+    assert found._jdf.queryExecution().analyzed().toString().count("Relation") <= 2 * len(radii) + 2
+    # Sites far from the crowd's cell are found too.
+    assert {r.id: int(r.dive_site) for r in found.collect()} == nearest_by_hand(points, sites, 3000.0)
+
+
+def test_all_pairs_are_aggregated_by_hash(spark):
+    occurrences = spark.sql("""
+        SELECT TIMESTAMP_NTZ'2020-01-01' AS event_date, 'a' AS species, 1L AS individual_count, id / 1000.0D AS lon,
+          0.0D AS lat, 'GBIF' AS source FROM range(50)""")
+    places = spark.createDataFrame([("a", 0.0, 0.0)], "title string, lon double, lat double")
+    text = plan(models.near_dive_site_occurrences(occurrences, places))
+    assert "HashAggregate(keys=[event_date" in text.replace("key=", "keys=").replace("(keys=[_event_date", "(keys=[event_date")
+    assert "partial_min(distance_to_dive_site" in text
+
+
 def test_closest_per_key_keeps_one_candidate_per_task(spark):
     pairs = spark.range(1000, numPartitions=4).selectExpr(
         "id % 3 AS event_date", "CAST(id AS DOUBLE) AS distance_to_dive_site", "CAST(id AS STRING) AS dive_site")

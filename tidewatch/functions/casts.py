@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 # Accepted forms (fixed values): whole numbers; dates with an optional time, each with an optional zone: Z, an offset
 # +H, +HH or +HH:MM, or a zone name after a space. Partial dates such as 2001-05 and counts such as 3.0 are not accepted.
 WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
-TIMESTAMP = (
-    r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[ Tt]([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]{1,6})?))?"
-    r"(?:([Zz])| ?([+-])([0-9]{1,2})(?::([0-9]{1,2}))?| ([A-Za-z][A-Za-z0-9_+/-]*))?$"
-)
+_DATE = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+_CLOCK = r"([ Tt][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(\.[0-9]{1,6})?)?"
+_ZONE = r"([Zz]| ?[+-][0-9]{1,2}(:[0-9]{1,2})?| [A-Za-z][A-Za-z0-9_+/-]*)"
+LOCAL_TIMESTAMP = f"^{_DATE}{_CLOCK}$"
+ZONED_TIMESTAMP = f"^{_DATE}{_CLOCK}{_ZONE}$"
 
 
 def safe_long(value: Column) -> Column:
@@ -21,14 +22,11 @@ def safe_long(value: Column) -> Column:
 def safe_timestamp(value: Column) -> Column:
     """String to TIMESTAMP_NTZ in UTC; text without a zone is taken as UTC, whatever the session zone is."""
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(value, TIMESTAMP, group)
-
-    clock = F.concat(part(1), F.lit(" "), F.when(part(2) != "", part(2)).otherwise("00:00:00"))
-    offset = F.concat(part(4), F.lpad(part(5), 2, "0"), F.lit(":"), F.lpad(F.when(part(6) != "", part(6)).otherwise("0"), 2, "0"))
-    zone = F.when(part(3) != "", "Z").when(part(4) != "", offset).when(part(7) != "", F.concat(F.lit(" "), part(7)))
-    return F.when(value.rlike(TIMESTAMP), F.when(zone.isNull(), clock.try_cast("timestamp_ntz")).otherwise(
-        _utc_clock(F.concat(clock, zone).try_cast("timestamp"))))
+    # A date before a zone gets a clock, and what the cast wants in capitals or as a space is written so.
+    timed = F.regexp_replace(value, f"^({_DATE})(?={_ZONE}$)", "$1 00:00:00")
+    spelled = F.regexp_replace(F.regexp_replace(timed, r"(?<=[0-9])[Tt](?=[0-9])", " "), "(?<=[0-9])z$", "Z")
+    return F.when(value.rlike(LOCAL_TIMESTAMP), spelled.try_cast("timestamp_ntz")).when(
+        value.rlike(ZONED_TIMESTAMP), _utc_clock(spelled.try_cast("timestamp")))
 
 
 def _utc_clock(instant: Column) -> Column:
