@@ -18,18 +18,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored, text_of
+from tidewatch.llm.common import ship, stored, text_of
+from tidewatch.operators.joins import lookup_join
 
 # A link: 100 * intersection >= PERCENT * union, on sets of shingles of so many words.
 PERCENT, WORDS = 85, 5
 # Independent trees; a pair at the threshold stays together in one of them with 0.82, in none of six with 0.00004.
 TREES = 6
 # Minwise tokens of a document; the first TREES make the roots' children, nodes further down choose among all.
-COORDINATES = 48
-# Nodes of up to SMALL sets are compared exhaustively; larger ones are dealt in blocks of as many.
-SMALL = 128
+COORDINATES = 32
+# Nodes of up to SMALL sets are compared exhaustively by one task; larger ones are dealt in blocks of as many. With more
+# shingles per set on average a node counts as larger, which bounds what a task holds; up to FEW sets are never dealt.
+SMALL, SHINGLES_PER_SET, FEW = 2048, 1024, 16
 # A large node with up to so many members outside its main component compares those with all members.
-STRAYS = 64
+STRAYS = 128
 # Every node branches twice on the first levels, then 1 + MORE times on average (1 / 0.85, what keeps a pair at the
 # threshold together without multiplying the rest); at DEPTH all pairs of blocks are compared.
 TWICE, MORE, DEPTH = 4, 0.18, 24
@@ -110,35 +112,32 @@ def _common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     counts = np.diff(np.r_[first, len(flat)])
     shared = np.repeat(counts > 1, counts)
     owner, column = owner[shared], np.repeat(np.arange(int((counts > 1).sum())), counts[counts > 1])
-    out, width = np.zeros((len(rows), len(sets))), max(64, 2_000_000 // len(sets))
+    out, width = np.zeros((len(rows), len(sets)), dtype=np.float32), max(64, 2_000_000 // len(sets))
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (start, start + width))
         part = np.zeros((len(sets), min(width, int(column[b - 1]) + 1 - start)), dtype=np.float32)
         part[owner[a:b], column[a:b] - start] = 1
         out += part[rows] @ part.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _links(ids: list[int], sets: list[np.ndarray], pivots: list[bool]) -> list[tuple[int, int]]:
-    """Links between pivots and all members, or without pivots a spanning forest of all links."""
-    n = np.array([len(s) for s in sets])
+    """Links that connect the components of all links, or with pivots of those of the pivots; ``ids`` ascend."""
+    n = np.array([len(s) for s in sets], dtype=np.int32)
     rows = np.flatnonzero(pivots) if any(pivots) else np.arange(len(sets))
     common = _common(sets, rows)
-    union = n[rows][:, None] + n[None, :] - common
-    at, other = np.nonzero(100 * common >= PERCENT * union)
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(rows[at].tolist(), other.tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
-    return [(ids[r], ids[i]) for i in range(len(ids)) if ids[r := root(i)] != ids[i]]
+    linked = 100 * common.astype(np.int64) >= PERCENT * (n[rows][:, None] + n[None, :] - common)
+    del common
+    label, none = np.arange(len(ids), dtype=np.int32), np.int32(len(ids))
+    while True:
+        before = label
+        least = np.where(linked, label[None, :], none).min(axis=1)
+        label = np.minimum(label, np.where(linked, least[:, None], none).min(axis=0))
+        label[rows] = np.minimum(label[rows], least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return [(ids[r], ids[i]) for i, r in enumerate(label.tolist()) if ids[r] != ids[i]]
 
 
 def _compare(block: pa.Table) -> pa.Table:
@@ -154,63 +153,69 @@ def _compare(block: pa.Table) -> pa.Table:
 
 
 def _verified(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a`` < ``b`` between the members of each block, on their full sets."""
+    """Links ``a`` < ``b`` between the members of each block, on their full sets.
+
+    Only texts of members are shuffled where counting proves the blocks small enough to be sent to the texts.
+    """
+    blocks = stored(blocks, "blocks")
     return (
-        blocks.join(texts, ["rep", "text_key"])
+        lookup_join(texts, blocks, ["rep", "text_key"], hot_keys=False)
         .groupBy("block").applyInArrow(_compare, "a long, b long")
     )
 
 
 def _nodes(members: DataFrame) -> DataFrame:
-    """Every node with several sets: how many, a digest of which, and two of them."""
+    """Every node with several sets: how many, how many blocks they fill, a digest of which, and two of them."""
     one = F.struct("rep", "text_key")
     return members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep", "text_key")).alias("which"),
+        F.count(F.lit(1)).alias("size"), _bulk(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"),
+        F.bit_xor(F.xxhash64("rep", "text_key")).alias("which"),
         F.min(one).alias("low"), F.max(one).alias("high"), F.min("tree").alias("tree"),
     ).where(F.col("size") > 1)
 
 
+def _bulk(size: Column, shingles: Column) -> Column:
+    """Blocks that so many sets with so many shingles fill."""
+    full = F.ceil(F.greatest(size, shingles / SHINGLES_PER_SET) / SMALL)
+    return F.when(size <= min(FEW, SMALL), 1).otherwise(full).cast("int")
+
+
 def _once(nodes: DataFrame) -> DataFrame:
     """One node of those with the same members."""
     return nodes.groupBy("size", "which", "low", "high").agg(F.min("node").alias("node"))
 
 
-def _dealt(size: Column) -> Column:
-    """In how many blocks a large node is dealt."""
-    return F.ceil(size / SMALL).cast("int")
-
+def _block_of(node: Column, blocks: Column) -> Column:
+    return F.xxhash64(node, F.pmod(F.xxhash64("rep", "text_key"), blocks))
 
-def _block_of(node: Column, size: Column) -> Column:
-    return F.xxhash64(node, F.pmod(F.xxhash64("rep", "text_key"), _dealt(size)))
 
-
-def _every_block(node: str, size: str) -> Column:
+def _every_block() -> Column:
     """The blocks of a large node, one row each."""
-    return F.explode(F.transform(F.sequence(F.lit(0), _dealt(F.col(size)) - 1),
-                                 lambda i: F.xxhash64(F.col(node), i.cast("long"))))
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                                 lambda i: F.xxhash64(F.col("node"), i.cast("long"))))
 
 
 def _small_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    chosen = _once(nodes.where(F.col("size") <= SMALL)).select("node")
+    chosen = _once(nodes.where(F.col("blocks") == 1)).select("node")
     return members.join(chosen, "node").select(
         F.col("node").alias("block"), "rep", "text_key", F.lit(False).alias("pivot"))
 
 
 def _against(members: DataFrame, nodes: DataFrame, few: DataFrame) -> DataFrame:
     """Blocks that compare the few members of a large node with all: (node, rep, text_key) of both."""
-    sized = nodes.select("node", "size")
+    sized = nodes.select("node", "blocks")
     dealt = members.join(sized, "node").select(
-        _block_of(F.col("node"), F.col("size")).alias("block"), "rep", "text_key", F.lit(False).alias("pivot"))
+        _block_of(F.col("node"), F.col("blocks")).alias("block"), "rep", "text_key", F.lit(False).alias("pivot"))
     everywhere = few.join(sized, "node").select(
-        _every_block("node", "size").alias("block"), "rep", "text_key", F.lit(True).alias("pivot"))
+        _every_block().alias("block"), "rep", "text_key", F.lit(True).alias("pivot"))
     return dealt.unionByName(everywhere)
 
 
 def _all_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every pair of blocks of a large node; the exact way for what doesn't branch."""
-    mine = members.join(nodes.select("node", "size"), "node").withColumn(
-        "i", F.pmod(F.xxhash64("rep", "text_key"), _dealt(F.col("size"))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), _dealt(F.col("size")) - 1))
+    mine = members.join(nodes.select("node", "blocks"), "node").withColumn(
+        "i", F.pmod(F.xxhash64("rep", "text_key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return mine.withColumn("j", other).select(
         F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "rep", "text_key",
         F.lit(False).alias("pivot"))
@@ -230,20 +235,21 @@ def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = stored(members.join(_near_labels(links), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep")), "labelled")
     parts = labelled.groupBy("node", "label").agg(
-        F.count(F.lit(1)).alias("part"), F.bit_xor(F.xxhash64("rep", "text_key")).alias("which"),
+        F.count(F.lit(1)).alias("part"), F.sum("n_shingles").alias("shingles"), F.bit_xor(F.xxhash64("rep", "text_key")).alias("which"),
         F.min(F.struct("rep", "text_key")).alias("low"), F.max(F.struct("rep", "text_key")).alias("high"))
     nodes = parts.groupBy("node").agg(
-        F.sum("part").alias("size"), F.max(F.struct("part", "label")).alias("main"),
+        F.sum("part").alias("size"), _bulk(F.sum("part"), F.sum("shingles")).alias("blocks"),
+        F.max(F.struct("part", "label")).alias("main"),
         F.bit_xor("which").alias("which"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.count(F.lit(1)).alias("labels"),
     ).where(F.col("labels") > 1).withColumn("strays", F.col("size") - F.col("main.part"))
-    once = nodes.groupBy("size", "which", "low", "high").agg(
+    once = nodes.groupBy("size", "blocks", "which", "low", "high").agg(
         F.min("node").alias("node"), F.min_by("main", "node").alias("main"), F.min_by("strays", "node").alias("strays"))
     return labelled, once
 
 
 def _branches(members: DataFrame, hot: DataFrame, level: int) -> DataFrame:
-    """The children's members: (node, rep, text_key, tree)."""
+    """The children's members: (node, rep, text_key, n_shingles, tree)."""
     seeds = [F.lit(0), F.lit(1)]
     chance = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(10_000)) < int(MORE * 10_000)
     turns = F.array(*seeds) if level <= TWICE else F.when(chance, F.array(*seeds)).otherwise(F.array(seeds[0]))
@@ -251,17 +257,18 @@ def _branches(members: DataFrame, hot: DataFrame, level: int) -> DataFrame:
     return (
         members.join(hot.select("rep", "text_key", "minwise"), ["rep", "text_key"])
         .withColumn("turn", F.explode(turns)).withColumn("at", at)
-        .select(F.xxhash64("node", "at", F.col("minwise")[F.col("at")]).alias("node"), "rep", "text_key", "tree")
+        .select(F.xxhash64("node", "at", F.col("minwise")[F.col("at")]).alias("node"), "rep", "text_key", "n_shingles", "tree")
     )
 
 
 def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links that connect every component of linked sets, as (a, b) of their first documents."""
     texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("text_key"), "text")
-    roots = reps.select("rep", "text_key", "minwise", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    members = roots.select(F.xxhash64("tree", F.col("minwise")[F.col("tree")]).alias("node"), "rep", "text_key", "tree")
+    roots = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    members = roots.select(F.xxhash64("tree", F.col("minwise")[F.col("tree")]).alias("node"), "rep", "text_key",
+                           "n_shingles", "tree")
     nodes = stored(_nodes(members), "nodes")
-    large = nodes.where(F.col("size") > SMALL)
+    large = nodes.where(F.col("blocks") > 1)
     stars = large.where(F.col("tree") < STAR_TREES)
     few = stars.select("node", "low.*").unionByName(stars.select("node", "high.*"))
     blocks = _small_blocks(members, nodes).unionByName(_against(members, stars, few))
@@ -270,9 +277,10 @@ def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFra
         return found[0]
 
     members = stored(members.join(large.select("node"), "node"), "members")
-    hot = stored(
-        members.select("rep", "text_key").distinct().join(reps.select("rep", "text_key", "minwise"), ["rep", "text_key"])
-        .join(texts, ["rep", "text_key"]).dropDuplicates(["rep", "text_key"]), "hot_texts")
+    hot = stored(members.select("rep", "text_key").distinct().join(
+        reps.select("rep", "text_key", "minwise"), ["rep", "text_key"]), "hot_sets")
+    hot_texts = stored(lookup_join(texts, hot.select("rep", "text_key"), ["rep", "text_key"], "left_semi", hot_keys=False),
+                       "hot_texts")
     for level in range(1, DEPTH + 1):
         labelled, nodes = _open(members, reduce(DataFrame.unionByName, found))
         nodes = stored(nodes, "open_nodes")
@@ -287,8 +295,8 @@ def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFra
             children = stored(_branches(labelled.join(going.select("node"), "node"), hot, level), "children")
             more = stored(_nodes(children), "nodes")
             blocks = blocks.unionByName(_small_blocks(children, more))
-            more = more.where(F.col("size") > SMALL)
-        found.append(stored(_verified(blocks, hot.select("rep", "text_key", "text")), "links"))
+            more = more.where(F.col("blocks") > 1)
+        found.append(stored(_verified(blocks, hot_texts), "links"))
         if more is None or more.isEmpty():
             break
         members = stored(children.join(more.select("node"), "node"), "members")
@@ -311,9 +319,8 @@ def connected(links: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = stored(
-            both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b")
-            .where(F.col("a") != F.col("b")).distinct(), "edges")
+        edges = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where(
+            F.col("a") != F.col("b")).distinct()
         least = edges.groupBy("b").agg(F.min("a").alias("m"))
         joined = edges.join(least, "b")
         edges = stored(
@@ -332,6 +339,7 @@ def components(docs: DataFrame) -> DataFrame:
     An empty table has no components. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     sets = stored(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
@@ -339,8 +347,9 @@ def components(docs: DataFrame) -> DataFrame:
     real = sets.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     reps = stored(
         real.groupBy("set_key").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("minwise").alias("minwise"))
-        .select("set_key", F.col("one.doc_id").alias("rep"), F.col("one.text_key").alias("text_key"), "minwise"),
+            F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("minwise").alias("minwise"),
+            F.first("n_shingles").alias("n_shingles"))
+        .select("set_key", F.col("one.doc_id").alias("rep"), F.col("one.text_key").alias("text_key"), "minwise", "n_shingles"),
         "distinct_sets")
     owners = real.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key")
     # Rows of one doc_id with different texts: that id connects what each of them is linked with.
