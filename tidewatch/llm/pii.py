@@ -24,8 +24,8 @@ KINDS = tuple(PATTERNS)
 # What may be an identifier: two names around a written-out or real at sign, or a number of four digits and more, with
 # the separators that people write.
 INSTANCE = (
-    r"[^\s@,;:<>\x22()\[\]]++(?:@|[(\[]at[)\]])[^\s@,;<>\x22()\[\]]++"
-    r"|(?<![\w.])[+(]?[0-9][0-9().\x20-]*[0-9][0-9().\x20-]*[0-9][0-9().\x20-]*[0-9]"
+    r"(?:(?<![^\s@,;:<>\x22()\[\]])|\G)[^\s@,;:<>\x22()\[\]]++(?:@|[(\[]at[)\]])[^\s@,;<>\x22()\[\]]++"
+    r"|(?<![\w.])[+(]?[0-9](?:[().\x20-]*+[0-9]){3,}+"
 )
 # The words before an instance are sought among so many code points; of two patterns, one has one word, one has two.
 CONTEXT_CHARS = 60
