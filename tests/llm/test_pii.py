@@ -75,8 +75,8 @@ def test_random_texts(spark):
 
 
 def test_runs_without_breaks(spark):
-    rows = [(1, "a" * 200_000), (2, "1" * 200_000), (3, "1-" * 100_000 + "2"), (4, "a@" * 50_000), (5, "+1 " * 50_000),
-            (6, "1.2." * 50_000), (7, "a@b.c_" * 20_000), (8, "4111 1111 1111 1111 x " * 400)]
+    rows = [(1, "a" * 20_000), (2, "1" * 20_000), (3, "1-" * 10_000 + "2"), (4, "a@" * 5_000), (5, "+1 " * 5_000),
+            (6, "1.2." * 5_000), (7, "a@b.c_" * 2_000), (8, "4111 1111 1111 1111 x " * 400)]
     same(rows, digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
 
 
