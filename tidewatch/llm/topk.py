@@ -80,7 +80,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             "query", "segment", F.explode(_masks(radii)).alias("mask"), "own").select(
             "query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         # A pair of codes is verified once, in the first segment that brings it together.
-        met = probes.join(index, ["segment", "value"])
+        # Probes outnumber any estimate made before they are exploded, so they must not be broadcast.
+        met = probes.join(index.hint("merge"), ["segment", "value"])
         near = F.transform(F.zip_with("query", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), lambda d: d.cast("int"))
         found = met.withColumn("apart", near).where(
             F.array_position(F.transform("apart", lambda d: (d <= radius).cast("int")), 1) == F.col("segment") + 1)
