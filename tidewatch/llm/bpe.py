@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import own_name, text_of
+from tidewatch.llm.common import own_name, ship, text_of
 
 # The word pattern of byte-level vocabularies (fixed value); white space is the Unicode property.
 WORD_PATTERN = (
@@ -31,9 +31,9 @@ WORD_PATTERN = (
 )
 # Words up to this many code points are remembered, so many at most; longer ones are encoded each time.
 REMEMBER_CHARS = 64
-REMEMBER_WORDS = 400_000
+REMEMBER_WORDS = 200_000
 # Texts are encoded together up to this many code points.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
 
 # Words up to this many bytes are merged by scanning their ranks, longer ones with a heap.
 SCAN_BYTES = 64
@@ -249,6 +249,7 @@ class Tokenizer:
     """
 
     def __init__(self, spark: SparkSession, vocabulary: str):
+        ship(spark)
         with open(vocabulary, "rb") as file:
             self._raw = spark.sparkContext.broadcast(file.read())
 
