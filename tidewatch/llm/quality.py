@@ -180,6 +180,8 @@ def held_out(doc_id):
 def train(views: DataFrame, labels: DataFrame) -> Model | None:
     """The model of a bounded sample of ``described`` documents; an id labelled both ways counts as bad.
 
+    None where labels of one kind have no document.
+
     Held-out ids are neither labelled nor unlabelled rows here.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -195,6 +197,8 @@ def train(views: DataFrame, labels: DataFrame) -> Model | None:
     ids = views.sparkSession.createDataFrame(wanted, "doc_id long, label int")
     found = views.where(F.col("n") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").limit(
         2 * (LABELLED + UNLABELLED)).collect()
+    if not found:
+        return None
     found.sort(key=lambda r: (r.doc_id, tuple(r.features)))
     text = np.array([r.features for r in found]).reshape(len(found), -1)
     meta = np.array([meta_features(r.meta) for r in found]).reshape(len(found), -1)
