@@ -8,7 +8,7 @@ forward-backward gives each token's marginal in any text. Marginals are summed p
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,7 +21,7 @@ from tidewatch.llm.common import own_name, ship, table, text_of
 
 # The bounded sample that the field is fitted on: documents per label, and code points of a document in it.
 SAMPLE_DOCUMENTS = 1000
-SAMPLE_CHARS = 10_000
+SAMPLE_CHARS = 5_000
 # A feature marks toxic tokens at this evidence (likelihood ratio statistic) and share of toxic documents.
 LEAST_EVIDENCE, LEAST_SHARE = 20.0, 0.7
 PREFIXES = (4, 5, 6, 7)
@@ -38,9 +38,10 @@ _TOKEN = re.compile(r"\w+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
 
 
-def _features(word: str) -> list[str]:
+def _features(word: str) -> list[int]:
+    """Hashes of the word and of its prefixes, in lower case."""
     low = word.lower()
-    return [low, *(f"{low[:k]}*" for k in PREFIXES if len(low) > k)]
+    return [zlib.crc32(x.encode()) for x in (low, *(f"{low[:k]}*" for k in PREFIXES if len(low) > k))]
 
 
 class Chains(NamedTuple):
@@ -74,7 +75,7 @@ def _chains(texts: list[str], numbers: dict[str, int], learn) -> Chains:
 class Field(NamedTuple):
     """Log weights: each feature on its token, its right and its left neighbour; the four transitions; the start."""
 
-    weights: dict[str, tuple[float, float, float]]
+    weights: dict[int, tuple[float, float, float]]
     bias: float
     transitions: np.ndarray
     calibration: np.ndarray
@@ -149,19 +150,32 @@ def fit(texts: list[str], labels: list[int], priors: tuple[int, int]) -> Field |
         numbers[word] = words.setdefault(word.lower(), len(words))
 
     c = _chains(texts, numbers, learn)
-    toxic_docs, other_docs = Counter(), Counter()
-    feature_of = [_features(w) for w in words]
+    found = [_features(w) for w in words]
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    feature = np.fromiter((f for x in found for f in x), dtype=np.int64, count=len(row))
+    first = np.searchsorted(row, np.arange(len(found) + 1))
+    del found
+    # How many toxic and other documents have each feature; features of one or two documents say nothing about others.
+    seen: tuple[list, list] = ([], [])
     for doc, own in enumerate(np.split(c.word, np.searchsorted(c.text, np.arange(1, len(texts))))):
-        seen = {f for w in np.unique(own).tolist() for f in feature_of[w]}
-        (toxic_docs if y[doc] else other_docs).update(seen)
-    # Features of a single document say nothing about others.
-    names = [f for f in {**toxic_docs, **other_docs} if toxic_docs[f] + other_docs[f] > 2]
-    a, b = (np.array([k[f] for f in names], dtype=float) for k in (toxic_docs, other_docs))
+        parts = [feature[first[w]:first[w + 1]] for w in np.unique(own).tolist()]
+        if parts:
+            seen[int(y[doc])].append(np.unique(np.concatenate(parts)))
+    names, counts = np.unique(np.concatenate([*seen[0], *seen[1]] or [feature[:0]]), return_counts=True)
+    names = names[counts > 2]
+    a, b = (np.zeros(len(names)), np.zeros(len(names)))
+    for into, parts in ((a, seen[1]), (b, seen[0])):
+        for part in parts:
+            at = np.searchsorted(names, part)
+            at[at == len(names)] = 0
+            into[at[names[at] == part] if len(names) else at[:0]] += 1
+    del seen
     marks = (_evidence(a, b, n1, n0) >= LEAST_EVIDENCE) & (a / n1 >= LEAST_SHARE * (a / n1 + b / n0)) & (
         a / n1 > 5 * b / n0)
-    place = {f: i for i, f in enumerate(names)}
-    pairs = [(w, place[f]) for w, found in enumerate(feature_of) for f in found if f in place]
-    row, col = (np.array(x, dtype=np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    col = np.searchsorted(names, feature)
+    col[col == len(names)] = 0
+    known = names[col] == feature if len(names) else np.zeros(len(feature), dtype=bool)
+    row, col = row[known], col[known]
     marked = np.zeros(len(words), dtype=bool)
     marked[row[marks[col]]] = True
     target = (marked[c.word] & y[c.text]).astype(float)
@@ -191,7 +205,7 @@ def fit(texts: list[str], labels: list[int], priors: tuple[int, int]) -> Field |
         weights += STEP * grads[0] / np.sqrt(squares[0])
         transitions += STEP * grads[1] / np.sqrt(squares[1])
         bias += STEP * grads[2] / np.sqrt(squares[2])
-    kept = {f: tuple(weights[:, i].tolist()) for i, f in enumerate(names) if np.abs(weights[:, i]).max() > 1e-4}
+    kept = {f: tuple(weights[:, i].tolist()) for i, f in enumerate(names.tolist()) if np.abs(weights[:, i]).max() > 1e-4}
     raw = Field(kept, float(bias), transitions, np.zeros(4))
     return raw._replace(calibration=_calibrate(Tagger(raw).sums(texts), y, priors))
 
