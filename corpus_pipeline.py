@@ -15,6 +15,9 @@ from tidewatch.llm.common import table
 from tidewatch.llm.queries import vocabulary_path
 from tidewatch.session import new_table_path
 
+# Documents are near-duplicates from this similarity in per cent on.
+NEAR_PERCENT = 80
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity tagger, fitted to the given labels, doesn't reject."""
@@ -29,8 +32,8 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, linked at 0.8 Jaccard similarity of their five-word shingles."""
+    return neardup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,16 @@ def test_common_counts(sizes):
     expected = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
     np.fill_diagonal(expected, 0)
     assert (got == expected).all()
+
+
+def test_the_percentage_is_a_parameter(spark, monkeypatch):
+    assert (neardup._trees(85), neardup._more(85)) == (6, 0.18)
+    assert neardup._trees(80) > 6 and 1 + neardup._more(80) > 1 / 0.8
+    monkeypatch.setattr(neardup, "SMALL", 16)
+    monkeypatch.setattr(neardup, "STRAYS", 5)
+    rows = families(4, [40, 25, 6, 4, 2, 2, 1], edits=3, passage=30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = brute.shingle_sets(rows)
+    expected = brute.components(sets, 80)
+    assert expected != brute.components(sets)
+    assert {r.doc_id: r.component_id for r in components(docs, 80).collect()} == expected

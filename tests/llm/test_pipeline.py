@@ -65,3 +65,15 @@ def test_nulls_and_empty_tables_pass(spark, stages):
         for _, stage in corpus_pipeline.STAGES:
             some = stage(spark, some, FOLDER)
             some.count()
+
+
+def test_near_duplicates_are_linked_at_four_fifths(spark, stages):
+    # 100 shingles each: 91 common of 109 is 0.8348, 89 common of 111 is 0.8018, 88 common of 112 is 0.7857.
+    a = [f"a{i}" for i in range(104)]
+    texts = [a, a[:95] + [f"x{i}" for i in range(9)], a[11:] + [f"y{i}" for i in range(11)],
+             [f"z{i}" for i in range(12)] + a[:92]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for some in (docs, stages[2]):
+        expected = brute.components(brute.shingle_sets([(r.doc_id, r.text) for r in some.collect()]), 80)
+        out = corpus_pipeline.without_near_duplicates(spark, some, FOLDER)
+        assert sorted(r.doc_id for r in out.collect()) == sorted(set(expected.values()))

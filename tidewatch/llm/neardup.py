@@ -9,6 +9,7 @@ members are connected by then, or all but a few, which are compared with every m
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,20 +22,22 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import ship, stored, text_of
 from tidewatch.operators.joins import lookup_join
 
-# A link: 100 * intersection >= PERCENT * union, on sets of shingles of so many words.
+# A link where the caller names no other percentage: 100 * intersection >= PERCENT * union, on sets of shingles of so
+# many words.
 PERCENT, WORDS = 85, 5
-# Independent trees; a pair at the threshold stays together in one of them with 0.82, in none of six with 0.00004.
-TREES = 6
-# Minwise tokens of a document; the first TREES make the roots' children, nodes further down choose among all.
+# There are as many trees as keep a pair at the threshold apart in all of them, were they independent and all nodes large
+# on all levels, with this probability at most: 6 at 85 per cent, 9 at 80.
+MISSED = 0.0004
+# Minwise tokens of a document; the first ones make the roots' children, nodes further down choose among all.
 COORDINATES = 32
 # Nodes of up to SMALL sets are compared exhaustively by one task; larger ones are dealt in blocks of as many. With more
 # shingles per set on average a node counts as larger, which bounds what a task holds; up to FEW sets are never dealt.
 SMALL, SHINGLES_PER_SET, FEW = 2048, 1024, 16
 # A large node with up to so many members outside its main component compares those with all members.
 STRAYS = 128
-# Every node branches twice on the first levels, then 1 + MORE times on average (1 / 0.85, what keeps a pair at the
-# threshold together without multiplying the rest); at DEPTH all pairs of blocks are compared.
-TWICE, MORE, DEPTH = 4, 0.18, 24
+# Every node branches twice on the first levels, then 1 + _more(percent) times on average; at DEPTH all pairs of blocks
+# are compared.
+TWICE, DEPTH = 4, 24
 # Trees in which a large child of the root links its members to two of them.
 STAR_TREES = 2
 REMEMBER_WORDS = 400_000
@@ -43,6 +46,22 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _more(percent: int) -> float:
+    """The first hundredth by which 1 + it is over 100 / percent, what keeps a pair at the threshold together without
+    multiplying the rest."""
+    return (10_000 // percent - 99) / 100
+
+
+def _trees(percent: int) -> int:
+    """How many trees there are: each may part a pair at the threshold, all of them do with ``MISSED`` at most."""
+    same, more, apart = percent / 100, _more(percent), 0.0
+    for level in range(DEPTH - 1, 0, -1):
+        once = 1 - same + same * apart
+        apart = once**2 if level <= TWICE else once * (1 - more + more * once)
+    apart = 1 - same + same * apart
+    return min(COORDINATES, max(STAR_TREES, math.ceil(math.log(MISSED) / math.log(apart)))) if apart > 0 else STAR_TREES
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
@@ -121,12 +140,12 @@ def _common(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def _links(ids: list[int], sets: list[np.ndarray], pivots: list[bool]) -> list[tuple[int, int]]:
+def _links(ids: list[int], sets: list[np.ndarray], pivots: list[bool], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect the components of all links, or with pivots of those of the pivots; ``ids`` ascend."""
     n = np.array([len(s) for s in sets], dtype=np.int32)
     rows = np.flatnonzero(pivots) if any(pivots) else np.arange(len(sets))
     common = _common(sets, rows)
-    linked = 100 * common.astype(np.int64) >= PERCENT * (n[rows][:, None] + n[None, :] - common)
+    linked = 100 * common.astype(np.int64) >= percent * (n[rows][:, None] + n[None, :] - common)
     del common
     label, none = np.arange(len(ids), dtype=np.int32), np.int32(len(ids))
     while True:
@@ -140,7 +159,7 @@ def _links(ids: list[int], sets: list[np.ndarray], pivots: list[bool]) -> list[t
     return [(ids[r], ids[i]) for i, r in enumerate(label.tolist()) if ids[r] != ids[i]]
 
 
-def _compare(block: pa.Table) -> pa.Table:
+def _compare(block: pa.Table, percent: int) -> pa.Table:
     """The links within one block."""
     shingler, found = Shingler(), {}
     for rep, key, pivot, text in zip(*(block.column(c).to_pylist() for c in ("rep", "text_key", "pivot", "text")),
@@ -148,11 +167,11 @@ def _compare(block: pa.Table) -> pa.Table:
         old = found.get((rep, key))
         found[rep, key] = (old[0] if old else shingler.shingles(text), pivot or bool(old and old[1]))
     order = sorted(found)
-    links = _links([rep for rep, _ in order], [found[x][0] for x in order], [found[x][1] for x in order])
+    links = _links([rep for rep, _ in order], [found[x][0] for x in order], [found[x][1] for x in order], percent)
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _verified(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links ``a`` < ``b`` between the members of each block, on their full sets.
 
     Only texts of members are shuffled where counting proves the blocks small enough to be sent to the texts.
@@ -160,7 +179,7 @@ def _verified(blocks: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = stored(blocks, "blocks")
     return (
         lookup_join(texts, blocks, ["rep", "text_key"], hot_keys=False)
-        .groupBy("block").applyInArrow(_compare, "a long, b long")
+        .groupBy("block").applyInArrow(lambda block: _compare(block, percent), "a long, b long")
     )
 
 
@@ -248,10 +267,10 @@ def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labelled, once
 
 
-def _branches(members: DataFrame, hot: DataFrame, level: int) -> DataFrame:
+def _branches(members: DataFrame, hot: DataFrame, level: int, more: float) -> DataFrame:
     """The children's members: (node, rep, text_key, n_shingles, tree)."""
     seeds = [F.lit(0), F.lit(1)]
-    chance = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(10_000)) < int(MORE * 10_000)
+    chance = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(10_000)) < round(more * 10_000)
     turns = F.array(*seeds) if level <= TWICE else F.when(chance, F.array(*seeds)).otherwise(F.array(seeds[0]))
     at = F.pmod(F.xxhash64("node", "turn"), F.lit(COORDINATES)).cast("int")
     return (
@@ -261,10 +280,10 @@ def _branches(members: DataFrame, hot: DataFrame, level: int) -> DataFrame:
     )
 
 
-def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links that connect every component of linked sets, as (a, b) of their first documents."""
     texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("text_key"), "text")
-    roots = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    roots = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(_trees(percent) - 1))))
     members = roots.select(F.xxhash64("tree", F.col("minwise")[F.col("tree")]).alias("node"), "rep", "text_key",
                            "n_shingles", "tree")
     nodes = stored(_nodes(members), "nodes")
@@ -272,7 +291,7 @@ def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFra
     stars = large.where(F.col("tree") < STAR_TREES)
     few = stars.select("node", "low.*").unionByName(stars.select("node", "high.*"))
     blocks = _small_blocks(members, nodes).unionByName(_against(members, stars, few))
-    found = [stored(_verified(blocks, texts), "links")]
+    found = [stored(_verified(blocks, texts, percent), "links")]
     if large.isEmpty():
         return found[0]
 
@@ -292,11 +311,11 @@ def _all_links(spark: SparkSession, docs: DataFrame, reps: DataFrame) -> DataFra
         if level == DEPTH:
             blocks, more = blocks.unionByName(_all_pairs(labelled, going)), None
         else:
-            children = stored(_branches(labelled.join(going.select("node"), "node"), hot, level), "children")
+            children = stored(_branches(labelled.join(going.select("node"), "node"), hot, level, _more(percent)), "children")
             more = stored(_nodes(children), "nodes")
             blocks = blocks.unionByName(_small_blocks(children, more))
             more = more.where(F.col("blocks") > 1)
-        found.append(stored(_verified(blocks, hot_texts), "links"))
+        found.append(stored(_verified(blocks, hot_texts, percent), "links"))
         if more is None or more.isEmpty():
             break
         members = stored(children.join(more.select("node"), "node"), "members")
@@ -328,11 +347,11 @@ def connected(links: DataFrame) -> DataFrame:
             .unionByName(joined.select(F.col("m").alias("a"), "b")).distinct(), "edges")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``.
 
     Words are split at space and tab to carriage return, A-Z lower-cased. A document's set are its distinct shingles of
-    ``WORDS`` words, or its whole sequence where it has fewer. Documents are linked at ``PERCENT`` / 100 Jaccard
+    ``WORDS`` words, or its whole sequence where it has fewer. Documents are linked at ``percent`` / 100 Jaccard
     similarity, confirmed on full sets; ``component_id`` is the smallest doc_id reachable, ``kept`` marks that one.
     NULL and empty texts have no shingle and are linked with nothing. Rows of one doc_id are one document, which is
     linked with all that any of its texts is linked with; rows with a NULL doc_id have a NULL component and are kept.
@@ -356,7 +375,7 @@ def components(docs: DataFrame) -> DataFrame:
     several = owners.groupBy(F.col("doc_id").alias("b")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where(
         "low != high").select("b")
     own = owners.join(several, owners["doc_id"] == several["b"]).select(F.col("rep").alias("a"), "b")
-    labels = connected(_all_links(spark, docs, reps).unionByName(own))
+    labels = connected(_all_links(spark, docs, reps, percent).unionByName(own))
     known = reps.join(labels, reps["rep"] == labels["id"], "left").select(
         "set_key", F.coalesce("label", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")
@@ -366,7 +385,7 @@ def components(docs: DataFrame) -> DataFrame:
         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; rows of one doc_id go or stay together."""
-    gone = components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = components(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
