@@ -75,3 +75,24 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     assert out == [(1, "", 0), (2, "", 0), (3, "Hi", 2), (3, "Hi", 2)]
     assert extract(pages).columns == pages.columns
     assert main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", [
+    'class="post has-comments"', 'id="content" class="no-ads"', 'class="page subscribe-enabled"', 'class="login-wall" id=signup'])
+def test_words_on_a_wrapper_do_not_drop_the_article(wrapper):
+    body = f"<p>{ARTICLE}</p><p>{ARTICLE} Again.</p>"
+    comments = '<div class="comments"><p>Reader says, this, that, and more.</p></div>'
+    aside = "<div><p>Short, text.</p></div>"
+    for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>{comments}",
+                  f"<article>{body}</article>{comments}"):
+        for page in (f"<body><div {wrapper}>{inner}</div></body>", f"<body>{aside * ('<article' in inner)}<div {wrapper}>{inner}</div>"):
+            assert main_text(page) == f"{ARTICLE} {ARTICLE} Again."
+
+
+def test_comments_go_though_they_are_articles_or_longer():
+    body, reply = f"<p>{ARTICLE}</p>", f"<p>Reader: {ARTICLE}</p>"
+    for page in (f"<body><article>{body}</article><section class=comments>{reply * 6}</section>",
+                 f"<body><article>{body}</article><ol class=commentlist><li><article class=comment>{reply * 6}</article></ol>",
+                 f"<body><div>{body}{body}</div><section id=comments>{reply * 3}</section>",
+                 f"<body><article>{body}</article><div class=sponsored><article>{reply}</article></div>"):
+        assert main_text(page) in (ARTICLE, f"{ARTICLE} {ARTICLE}")

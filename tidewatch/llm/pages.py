@@ -36,7 +36,10 @@ ENDS = {
 }
 SCOPES = frozenset("table td th ul ol dl body html article section div".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog".split())
-# Words in class and id of what is not the article, whatever it holds.
+# Elements that no word in class or id drops, and those of them that hold an article.
+WHOLE = frozenset("html body article main".split())
+ARTICLES = frozenset("article main".split())
+# Words in class and id of what is not the article, unless the element holds the page's article or nearly all its points.
 NEVER = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos"
     " promotion comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter"
@@ -54,8 +57,9 @@ UNLESS_BEFORE = frozenset("has with no without".split())
 CHARS_PER_POINT, MOST_LENGTH_POINTS = 100, 3
 # A sibling is kept with this share of the best container's points, or as a long paragraph with few links.
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
-# A class that seldom holds the article is overruled by this share of all points.
-MOST = 0.5
+# A class that seldom holds the article is overruled by this share of all points, one that never should by the other: a
+# thread of comments may well be longer than the article.
+MOST, NEARLY_ALL = 0.5, 0.75
 TAG_POINTS = {"article": 10, "main": 10, "div": 5, "section": 3, "td": 3, "pre": 3, "blockquote": 3} | dict.fromkeys(
     ("ul", "ol", "dl", "li", "dd", "dt", "address"), -3) | dict.fromkeys(HEADINGS, -5)
 
@@ -71,13 +75,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "never", "seldom", "points", "own", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "never", "marked", "seldom", "points", "own", "chars", "linked")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
         self.points = self.own = 0.0
         self.chars = self.linked = 0
-        self.never, self.seldom = tag in LEFT_OUT, False
+        self.never, self.marked, self.seldom = tag in LEFT_OUT, False, False
         if attrs and not attrs.isspace():
             self._read(attrs)
 
@@ -87,14 +91,10 @@ class _Node:
                 or found.get("role", "").lower() in LEFT_OUT_ROLES
                 or "display:none" in found.get("style", "").replace(" ", "").lower()):
             self.never = True
-        if self.tag in ("html", "body", "article", "main"):
-            return
         words = [w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")]
-        before = ["", *words]
-        if NEVER.intersection(words):
-            self.never = True
-        elif any(w in SELDOM and b not in UNLESS_BEFORE for b, w in zip(before, words, strict=False)):
-            self.seldom = True
+        said = {w for b, w in zip(["", *words], words, strict=False) if b not in UNLESS_BEFORE}
+        self.marked = not NEVER.isdisjoint(said)
+        self.seldom = self.tag not in WHOLE and not self.marked and not SELDOM.isdisjoint(said)
 
 
 def _tree(page: str) -> _Node:
@@ -226,17 +226,44 @@ def _blocks(nodes: list[_Node]) -> Iterator[str]:
         yield " ".join(words)
 
 
+def _held(nodes: list[_Node], values: list[float]) -> dict[int, float]:
+    """By ``id`` of each node the sum of its own value and those of all it holds."""
+    held = {id(n): x for n, x in zip(nodes, values, strict=True)}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            held[id(n.parent)] += held[id(n)]
+    return held
+
+
+def _drop_marked(nodes: list[_Node]) -> None:
+    """Leave out what a word of ``NEVER`` marks, but not a wrapper of the article.
+
+    That is an element with all articles of the page, or with some and nearly all points; where the page has no article
+    element, one with nearly all points. Articles that are marked themselves, such as single comments, don't count.
+    """
+    points = _held(nodes, [n.own for n in nodes])
+    articles = _held(nodes, [float(n.tag in ARTICLES and not n.marked) for n in nodes])
+    all_points, all_articles = points[id(nodes[0])], articles[id(nodes[0])]
+    for n in nodes:
+        if n.marked and n.tag not in WHOLE:
+            has, own = articles[id(n)], points[id(n)]
+            nearly_all = own > NEARLY_ALL * all_points and bool(has) == bool(all_articles)
+            n.never = not (0 < has == all_articles or nearly_all)
+
+
 def main_text(page: str) -> str:
     """The article of a page: the best container with its siblings, blocks joined by one space."""
     root = _tree(page)
     nodes = _in_order(root)
     _score(nodes)
     total = sum(n.own for n in nodes)
+    if any(n.marked and n.tag not in WHOLE for n in nodes):
+        _drop_marked(nodes)
+        nodes = _in_order(root)
+        _score(nodes)
+        total = sum(n.own for n in nodes)
     if any(n.seldom for n in nodes):
-        held = {id(n): n.own for n in nodes}
-        for n in reversed(nodes):
-            if n.parent is not None:
-                held[id(n.parent)] += held[id(n)]
+        held = _held(nodes, [n.own for n in nodes])
         for n in nodes:
             n.never |= n.seldom and held[id(n)] <= MOST * total
         nodes = _in_order(root)
