@@ -93,3 +93,20 @@ def test_nulls_repeats_long_texts_extra_columns_and_empty(spark, field):
 
 def test_one_label_gives_no_field():
     assert fit(["a b", "c"], [0, 0], (2, 0)) is None
+
+
+def test_long_documents_and_repeated_rows_teach_the_field(spark):
+    # All toxic documents are long, the label rows of one id come many times, and each document twice.
+    filler = "some words of no interest. " * 400
+    rows = [(i, f"{filler}you zorgle, {i}. {filler}" if i % 2 else f"some words of no interest, fine text for you, {i}. " * (1 + i % 5))
+            for i in range(120)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows for _ in range(4)] + [(10**6 + i, 1) for i in range(50)],
+                                   "doc_id long, toxic int")
+    field = toxicity.train(docs, labels)
+    assert field is not None
+    out = tag(spark.createDataFrame([(1, f"{filler}zorgle. {filler}"), (2, filler * 3)], "doc_id long, text string"), field)
+    scores = {r.doc_id: r.score for r in out.collect()}
+    assert scores[1] > 0.5 > scores[2]
+    plain = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels.distinct())
+    assert np.allclose(plain.calibration, field.calibration) and plain.weights == field.weights

@@ -14,14 +14,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import own_name, ship, table, text_of
+from tidewatch.llm.common import own_name, ship, stored, table, text_of
 
-# The bounded sample that the field is fitted on: documents per label, and code points of a document in it.
+# The bounded sample that the field is fitted on: so many documents per label, each whole.
 SAMPLE_DOCUMENTS = 1000
-SAMPLE_CHARS = 5_000
 # A feature marks toxic tokens at this evidence (likelihood ratio statistic) and share of toxic documents.
 LEAST_EVIDENCE, LEAST_SHARE = 20.0, 0.7
 PREFIXES = (4, 5, 6, 7)
@@ -72,6 +72,37 @@ def _chains(texts: list[str], numbers: dict[str, int], learn) -> Chains:
     return Chains(number[real], of[real], starts, np.diff(np.r_[starts, len(chain)]))
 
 
+def _encoded(text: str) -> bytes:
+    """A number of each token of a text, by its word in lower case; 0 where a sentence ends."""
+    words = _TOKEN.findall(text)
+    keys = {w: 0 if w in _ENDS else _key(w) for w in set(words)}
+    return np.fromiter(map(keys.__getitem__, words), dtype=np.int64, count=len(words)).tobytes()
+
+
+def _key(word: str) -> int:
+    return (xxhash.xxh3_64_intdigest(word.lower()) >> 1) | 1
+
+
+def _vocabulary(text: str) -> list[str]:
+    """The distinct words of a text, in lower case."""
+    return list({w.lower() for w in _TOKEN.findall(text) if w not in _ENDS})
+
+
+def _decoded(tokens: list[bytes]) -> tuple[Chains, np.ndarray]:
+    """The chains of encoded texts, and the key of each of their words."""
+    lengths = [len(t) // 8 for t in tokens]
+    flat = np.zeros(sum(lengths) + len(tokens), dtype=np.int64)
+    at = 0
+    for t, n in zip(tokens, lengths, strict=True):
+        flat[at:at + n] = np.frombuffer(t, dtype=np.int64)
+        at += n + 1
+    real = flat != 0
+    chain, of = np.cumsum(~real)[real], np.repeat(np.arange(len(tokens)), [n + 1 for n in lengths])[real]
+    keys, word = np.unique(flat[real], return_inverse=True)
+    starts = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]]) if len(chain) else np.zeros(0, dtype=np.int64)
+    return Chains(word, of, starts, np.diff(np.r_[starts, len(chain)])), keys
+
+
 class Field(NamedTuple):
     """Log weights: each feature on its token, its right and its left neighbour; the four transitions; the start."""
 
@@ -139,25 +170,25 @@ def _evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int], priors: tuple[int, int]) -> Field | None:
     """The field of labelled texts; None where one label is missing. ``priors``: how many rows each label has."""
+    features = {_key(w): _features(w) for w in {w for t in texts for w in _vocabulary(t)}}
+    return fit_encoded([_encoded(t) for t in texts], features, labels, priors)
+
+
+def fit_encoded(tokens: list[bytes], features: dict[int, list[int]], labels: list[int], priors: tuple[int, int]) -> Field | None:
+    """The same from encoded texts and the features of each word."""
     y = np.array(labels, dtype=bool)
     n1, n0 = int(y.sum()), int((~y).sum())
     if not n1 or not n0:
         return None
-    numbers: dict[str, int] = {}
-    words: dict[str, int] = {}
-
-    def learn(word: str) -> None:
-        numbers[word] = words.setdefault(word.lower(), len(words))
-
-    c = _chains(texts, numbers, learn)
-    found = [_features(w) for w in words]
+    c, words = _decoded(tokens)
+    found = [features[k] for k in words.tolist()]
     row = np.repeat(np.arange(len(found)), [len(x) for x in found])
     feature = np.fromiter((f for x in found for f in x), dtype=np.int64, count=len(row))
     first = np.searchsorted(row, np.arange(len(found) + 1))
     del found
     # How many toxic and other documents have each feature; features of one or two documents say nothing about others.
     seen: tuple[list, list] = ([], [])
-    for doc, own in enumerate(np.split(c.word, np.searchsorted(c.text, np.arange(1, len(texts))))):
+    for doc, own in enumerate(np.split(c.word, np.searchsorted(c.text, np.arange(1, len(tokens))))):
         parts = [feature[first[w]:first[w + 1]] for w in np.unique(own).tolist()]
         if parts:
             seen[int(y[doc])].append(np.unique(np.concatenate(parts)))
@@ -206,8 +237,13 @@ def fit(texts: list[str], labels: list[int], priors: tuple[int, int]) -> Field |
         transitions += STEP * grads[1] / np.sqrt(squares[1])
         bias += STEP * grads[2] / np.sqrt(squares[2])
     kept = {f: tuple(weights[:, i].tolist()) for i, f in enumerate(names.tolist()) if np.abs(weights[:, i]).max() > 1e-4}
-    raw = Field(kept, float(bias), transitions, np.zeros(4))
-    return raw._replace(calibration=_calibrate(Tagger(raw).sums(texts), y, priors))
+    per_word = [np.bincount(row, weights=x[col], minlength=size) for x in weights]
+    p = _marginals(c, _neighbours(c, per_word[0] + bias, per_word[1], per_word[2]), transitions)
+    p[p < LEAST_MARGINAL] = 0
+    sums = np.zeros((len(tokens), 2))
+    sums[:, 0] = np.bincount(c.text, weights=p, minlength=len(tokens))
+    np.maximum.at(sums[:, 1], c.text, p)
+    return Field(kept, float(bias), transitions, _calibrate(sums, y, priors))
 
 
 def _inputs(sums: np.ndarray) -> np.ndarray:
@@ -312,26 +348,36 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """The field of a bounded sample of the labelled documents that are not held out.
 
-    ``SAMPLE_DOCUMENTS`` ids of each label, by a hash of the id, are collected and their texts of at most
-    ``SAMPLE_CHARS`` code points; an id labelled both ways counts as toxic. None where a label has no text.
+    ``SAMPLE_DOCUMENTS`` documents of each label, by a hash of the id, are read whole, whatever their length; their
+    tokens reach the driver as numbers. An id labelled both ways counts as toxic, rows of one id are one label, and of
+    several texts of an id the smallest is read. None where a label has no document with a text.
     """
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {bool(r.toxic): r.n for r in usable.groupBy((F.col("toxic") > 0).alias("toxic")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
+    ship(docs.sparkSession)
+    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
+        F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
+    counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    there = usable.join(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")),
+                        "doc_id", "left_semi")
     chosen: dict[int, int] = {}
     for label in (0, 1):
-        rows = usable.where((F.col("toxic") > 0) == bool(label)).select("doc_id")
-        for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect():
-            chosen[r.doc_id] = label
+        rows = there.where(F.col("label") == label).select("doc_id")
+        chosen |= {r.doc_id: label for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()}
     if len(set(chosen.values())) < 2:
         return None
-    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, label int")
-    sample = (
-        docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(ids), "doc_id").limit(4 * SAMPLE_DOCUMENTS).collect()
-    )
-    sample.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in sample], [r.label for r in sample], (counts.get(False, 0), counts.get(True, 0)))
+    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "_id long, label int")
+
+    @F.pandas_udf("tokens binary, words array<string>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"tokens": [_encoded(t) for t in batch], "words": [_vocabulary(t) for t in batch]})
+
+    texts = docs.where(F.col("text").isNotNull()).join(
+        F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
+    sample = stored(texts.withColumn("read", encoded("text")).select("_id", "label", "read.*"), "toxicity_sample")
+    words = sample.select(F.explode("words").alias("word")).distinct()
+    features = {_key(r.word): _features(r.word) for r in words.toLocalIterator()}
+    rows = sorted(((r._id, r.label, bytes(r.tokens)) for r in sample.select("_id", "label", "tokens").toLocalIterator()))
+    return fit_encoded([t for _, _, t in rows], features, [y for _, y, _ in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def tag(docs: DataFrame, field: Field | None, text: str = "text", spans: bool = True) -> DataFrame:
