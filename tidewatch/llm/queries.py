@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, lines, mixing, neardup, pages, pii, quality, syncmers, topk, toxicity
+from tidewatch.llm import bpe, infill, lines, mixing, neardup, pages, pii, quality, syncmers, topk, toxicity
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_topk": op2_topk,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_syncmers": op10_syncmers,
+    "op11_infill": op11_infill,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -93,4 +98,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.key IS NOT NULL) AS
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE r.key IS NULL), '')) AS kept_sha256
 FROM keyed k LEFT JOIN repeated r ON k.key = r.key
 GROUP BY doc_id""",
+    "op11_infill": infill.sql(),
 }
