@@ -1,0 +1,125 @@
+import glob
+import gzip
+import hashlib
+from datetime import datetime
+
+import pytest
+
+from tests.conftest import rows
+from tidewatch.llm import warc
+from tidewatch.session import new_table_path
+
+LONG = "<p>" + "long page. " * 20 + "</p>"
+# Payloads that look like records, or end as records do.
+FALSE = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\nWARC/ {LONG}"
+PAGES = [
+    (5, "http://a/5", LONG), (3, "http://a/3", LONG), (9, None, LONG), (4, "http://a/4", "short"), (2, "", "short"),
+    (1, "http://a b\r\nX: y", FALSE), (7, "u7", FALSE), (6, "u6", None), (8, "u8", ""), (10, "u10", "é" * 50),
+    (11, "u11", "é" * 50), (12, "u12", "x" * 99), (13, "u13", "x" * 99), (14, "u14", LONG + "\r\n\r\n"),
+    (15, "u15", "\r\n" * 60), (16, "u16", "\r\n\r\nWARC/" * 30), (None, "none", LONG), (17, "u17", "z" * 2_000_000),
+    (18, "twice", "t" * 200), (18, "twice", "t" * 200), (19, "u19", "0\r\n\r\n" * 30), (20, "u20", "😀\u0000" * 40),
+]
+
+
+def plain_version(pages):
+    """Records compared one by one."""
+    out = []
+    for page, _, html in pages:
+        body = (html or "").encode()
+        same = [p for p, _, h in pages if (h or "").encode() == body and p is not None]
+        first = min(same, default=None)
+        revisit = len(body) >= 100 and page != first
+        out.append((page, len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response",
+                    first if revisit else None))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame([(p, u, h, 1, "own") for p, u, h in PAGES],
+                                 "page_id long, url string, html string, to_id int, record_type string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def archives(spark, pages):
+    path = new_table_path(spark, "warc")
+    warc.write(warc.deduplicated(warc.described(pages)), path, datetime(2024, 5, 6, 7, 8, 9), archive_records=4)
+    return path
+
+
+def test_digests_against_the_plain_version(pages):
+    assert rows(warc.digests(pages)) == plain_version(PAGES)
+
+
+def test_large_lookups_are_shuffled_alike(pages, shuffle_only):
+    assert rows(warc.digests(pages)) == plain_version(PAGES)
+
+
+def test_payloads_come_back(spark, archives):
+    found = warc.read(spark, archives).where("record_type = 'response'").collect()
+    html = {(p, u or None): (h or "").encode() for p, u, h in PAGES}
+    html[1, "http://a%20b%0D%0AX:%20y"] = html.pop((1, "http://a b\r\nX: y"))
+    assert all(bytes(r.payload) == html[r.page_id, r.url] for r in found)
+    assert all(r.payload_digest == r.stated_digest == hashlib.sha256(bytes(r.payload)).hexdigest() for r in found)
+    assert len(found) == sum(r[3] == "response" for r in plain_version(PAGES))
+
+
+def test_files_are_archives(archives):
+    """Read with the length fields alone, apart from the operator's reader."""
+    ids, revisits, files = [], [], glob.glob(f"{archives}/*.gz")
+    for name in files:
+        data, at, records = gzip.open(name).read(), 0, 0
+        while at < len(data):
+            end = data.index(b"\r\n\r\n", at)
+            lines = data[at:end].decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and fields["WARC-Date"] == "2024-05-06T07:08:09Z"
+            size = int(fields["Content-Length"])
+            assert data[end + 4 + size:end + 8 + size] == b"\r\n\r\n"
+            at, records = end + 8 + size, records + 1
+            ids.append(fields["WARC-Record-ID"])
+            if fields["WARC-Type"] == "revisit":
+                revisits.append(fields)
+        assert records <= 4
+    assert len(files) > 3 and len(ids) == len(PAGES) and len(set(ids)) == len(PAGES) - 1
+    assert all(f["WARC-Refers-To"] in ids and f["WARC-Profile"].endswith("identical-payload-digest") for f in revisits)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Blocks that hold the separator uncut, records without own fields, several members, a revisit of another archive."""
+    def record(kind, uri, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{uri}>", "WARC-Target-URI": uri,
+                  "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)), **more}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body = FALSE.encode() + b"\xff\xfe"
+    digest = hashlib.sha256(body).hexdigest()
+    first = record("response", "u1", http + body) + record(
+        "revisit", "u2", http, **{"WARC-Payload-Digest": f"sha256:{digest}", "WARC-Refers-To": "<urn:u1>"})
+    second = record("revisit", "u3", http, **{"WARC-Payload-Digest": f"sha256:{digest}"}) + record(
+        "revisit", "u4", http, **{"WARC-Payload-Digest": "sha256:feed", "WARC-Refers-To": "<urn:away>"})
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(first) + gzip.compress(record("warcinfo", "info", b"software: x")))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(second + record("response", "u5", http + body)))
+    records = warc.read(spark, str(tmp_path))
+    found = {r.url: r for r in warc.resolved(records).collect()}
+    assert {u: r.record_type for u, r in found.items()} == {
+        "u1": "response", "u2": "revisit", "u3": "revisit", "u4": "revisit", "u5": "response", "info": "warcinfo"}
+    assert found["u2"].payload_bytes == found["u3"].payload_bytes == len(body) and found["u4"].payload_bytes is None
+    path = new_table_path(spark, "rewritten")
+    warc.rewritten(spark, str(tmp_path), path)
+    again = {r.url: r for r in warc.read(spark, path).collect()}
+    assert bytes(again["u1"].payload) == body and again["u5"].record_type == "revisit"
+    assert {again[u].refers_to_id for u in ("u2", "u3", "u5")} == {again["u1"].record_id}
+    assert again["u4"].refers_to_id == "<urn:away>"
+
+
+def test_a_cut_archive_fails(spark, tmp_path):
+    whole = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nonly this"
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(whole))
+    with pytest.raises(Exception, match="not as long"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
+def test_empty_table(pages):
+    assert warc.digests(pages.limit(0)).count() == 0

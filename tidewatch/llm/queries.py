@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, infill, lines, mixing, neardup, pages, pii, quality, syncmers, topk, toxicity
+from tidewatch.llm import bpe, infill, lines, mixing, neardup, pages, pii, quality, syncmers, topk, toxicity, warc
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_topk": op2_topk,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_syncmers": op10_syncmers,
     "op11_infill": op11_infill,
+    "op12_warc": op12_warc,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -99,4 +104,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.key IS NOT NULL) AS
 FROM keyed k LEFT JOIN repeated r ON k.key = r.key
 GROUP BY doc_id""",
     "op11_infill": infill.sql(),
+    "op12_warc": warc.sql(),
 }
