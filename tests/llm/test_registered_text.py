@@ -13,7 +13,7 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 
 def test_every_operator_is_registered():
     names = entries.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 13)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(queries.SQL) <= set(entries.oracle_sql())
 
 
