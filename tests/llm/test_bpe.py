@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -16,7 +17,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def merges():
     with open(PATH, "rb") as file:
-        return Merges(file.read())
+        return Merges(json.loads(file.read()))
 
 
 @pytest.fixture(scope="module")
@@ -62,8 +63,19 @@ def test_speculation_meets_exact_merging(merges):
         assert np.frombuffer(cuts[word], dtype="<u4").tolist() == merges._merged_long(single) == merges.merged(raw)
 
 
+def test_forgetting_words_changes_nothing(merges, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER_BYTES", 5_000)
+    pick = random.Random(7)
+    for _ in range(5):
+        same(merges, library, [" ".join("".join(pick.choices("abcdet", k=pick.randint(1, 99))) for _ in range(60))])
+        assert merges.known_bytes == sum(len(w) + len(x) + bpe._WORD_BYTES for w, x in merges.known.items())
+
+
 def test_unknown_ids_and_broken_utf8(merges, library):
     ids = [220, 447, 50256, 222, 999_999]
+    with open(PATH, "rb") as file:
+        pieces = bpe.Pieces(json.loads(file.read()))
+    assert pieces.bytes == merges.bytes and pieces.size == merges.size
     assert merges.decode(np.array(ids, dtype="<u4").tobytes()) == library.decode(ids[:4], skip_special_tokens=False)
 
 

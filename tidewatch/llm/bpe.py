@@ -9,6 +9,7 @@ Ids are one binary column, each id a little-endian unsigned 32-bit integer.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import json
@@ -29,9 +30,11 @@ WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-# Words up to this many code points are remembered, so many at most; longer ones are encoded each time.
+# Words up to this many code points are remembered, up to this many bytes; longer ones are encoded each time.
 REMEMBER_CHARS = 64
-REMEMBER_WORDS = 200_000
+REMEMBER_BYTES = 32_000_000
+# What a remembered word takes beside its own letters and ids (fixed value: two objects and a place in a table).
+_WORD_BYTES = 200
 # Texts are encoded together up to this many code points.
 BATCH_CHARS = 300_000
 
@@ -50,15 +53,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Merges:
-    """The tables of one vocabulary file: token bytes, merges by rank, and the tests on borders."""
+class Pieces:
+    """The bytes of each token of one vocabulary file: all that decoding needs."""
 
-    def __init__(self, raw: bytes):
-        spec = json.loads(raw)
+    def __init__(self, spec: dict):
         letters = _byte_letters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         added = {a["content"]: a["id"] for a in spec.get("added_tokens") or []}
-        self.added = {k: array("I", [v]).tobytes() for k, v in added.items()}
         size = max([*vocab.values(), *added.values()], default=-1) + 1
         self.bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -66,6 +67,23 @@ class Merges:
         for token, i in added.items():
             self.bytes[i] = token.encode()
         self.size = size
+
+    def decode(self, ids: bytes) -> str:
+        """The text of packed ids; ids outside the vocabulary are left out, broken UTF-8 becomes U+FFFD."""
+        at = np.frombuffer(ids, dtype="<u4")
+        if len(at) and int(at.max()) >= self.size:
+            at = at[at < self.size]
+        return b"".join(map(self.bytes.__getitem__, at.tolist())).decode("utf-8", "replace")
+
+class Merges(Pieces):
+    """The tables of one vocabulary file: token bytes, merges by rank, and the tests on borders."""
+
+    def __init__(self, spec: dict):
+        super().__init__(spec)
+        size, letters = self.size, _byte_letters()
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        added = {a["content"]: a["id"] for a in spec.get("added_tokens") or []}
+        self.added = {k: array("I", [v]).tobytes() for k, v in added.items()}
         self.byte_id = [vocab.get(c) for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         parts = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         left = np.array([vocab[a] for a, _ in parts], dtype=np.int64)
@@ -89,6 +107,7 @@ class Merges:
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in specials) + ")") if specials else None
         self.words = regex.compile(WORD_PATTERN)
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a with b; beyond all ranks where they never merge."""
@@ -198,35 +217,31 @@ class Merges:
             parts = self.specials.split(text) if self.specials else [text]
             pieces.append([p if i % 2 else self.words.findall(p) for i, p in enumerate(parts)])
         new = set().union(*(p for parts in pieces for p in parts[::2])) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBER_WORDS:
+        if self.known_bytes > REMEMBER_BYTES:
             self.known.clear()
+            self.known_bytes = 0
             new = set().union(*(p for parts in pieces for p in parts[::2]))
         if new:
-            self.known.update(self.cut(list(new)))
+            cuts = self.cut(list(new))
+            self.known.update(cuts)
+            self.known_bytes += sum(len(w) + len(x) + _WORD_BYTES for w, x in cuts.items())
         cut = self.known.__getitem__
         out = [b"".join(self.added[p] if i % 2 else b"".join(map(cut, p)) for i, p in enumerate(parts))
                for parts in pieces]
         for word in [w for w in new if len(w) > REMEMBER_CHARS]:
-            del self.known[word]
+            self.known_bytes -= len(word) + len(self.known.pop(word)) + _WORD_BYTES
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of packed ids; ids outside the vocabulary are left out, broken UTF-8 becomes U+FFFD."""
-        at = np.frombuffer(ids, dtype="<u4")
-        if len(at) and int(at.max()) >= self.size:
-            at = at[at < self.size]
-        return b"".join(map(self.bytes.__getitem__, at.tolist())).decode("utf-8", "replace")
-
 
-_loaded: dict[int, Merges] = {}
+_loaded: dict[tuple[type, int], Pieces] = {}
 
 
-def _merges(raw: bytes) -> Merges:
-    """The tables, made once per Python worker and vocabulary."""
-    key = hash(raw)
+def _tables(kind: type, raw: bytes):
+    """The tables of a kind, made once per Python worker and vocabulary."""
+    key = kind, hash(raw)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Merges(raw)
+        _loaded[key] = kind(json.loads(raw))
     return _loaded[key]
 
 
@@ -259,21 +274,41 @@ class Tokenizer:
 
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            merges = _merges(raw.value)
+            merges = _tables(Merges, raw.value)
             for batch in batches:
                 yield pd.Series([x for g in _groups(batch.tolist()) for x in merges.encode(g)], dtype=object)
 
         return encode(F.coalesce(text, F.lit("")))
 
+    def round_trip(self, text: Column) -> Column:
+        """Packed ids of a text, and the SHA-256 of the text decoded from them, both from one Python worker.
+
+        Two functions in one plan would be two workers a core, each with the tables of the vocabulary.
+        """
+        raw = self._raw
+
+        @F.pandas_udf("ids binary, decoded_sha256 string")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            merges = _tables(Merges, raw.value)
+            for batch in batches:
+                ids, digests = [], []
+                for group in _groups(batch.tolist()):
+                    for x in merges.encode(group):
+                        ids.append(x)
+                        digests.append(hashlib.sha256(merges.decode(x).encode()).hexdigest())
+                yield pd.DataFrame({"ids": ids, "decoded_sha256": digests}, dtype=object)
+
+        return both(F.coalesce(text, F.lit("")))
+
     def text(self, ids: Column) -> Column:
         """The text of packed ids; NULL is decoded as no ids."""
         raw = self._raw
 
         @F.pandas_udf("string")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            merges = _merges(raw.value)
+            pieces = _tables(Pieces, raw.value)
             for batch in batches:
-                yield pd.Series([merges.decode(x) for x in batch], dtype=object)
+                yield pd.Series([pieces.decode(x) for x in batch], dtype=object)
 
         return decode(F.coalesce(ids, F.lit(b"")))
 
@@ -294,10 +329,11 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text")
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: number of ids, and SHA-256 of its packed ids and of the text decoded from them."""
-    coder, ids = Tokenizer(docs.sparkSession, vocabulary), own_name(docs, "ids")
-    return docs.select("doc_id", coder.ids(text_of("text")).alias(ids)).select(
+    done = own_name(docs, "done")
+    both = docs.select("doc_id", Tokenizer(docs.sparkSession, vocabulary).round_trip(text_of("text")).alias(done))
+    return both.select(
         "doc_id",
-        (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(coder.text(F.col(ids)).cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length(f"{done}.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(f"{done}.ids", 256).alias("ids_sha256"),
+        F.col(f"{done}.decoded_sha256").alias("decoded_sha256"),
     )
