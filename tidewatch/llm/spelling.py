@@ -27,7 +27,7 @@ from tidewatch.llm.common import own_name, ship, stored, text_of
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_CHARS, LEAST_COUNT, FORM_TIMES = 7, 2, 10
-# The upper trees are fitted to so many words, by a hash. Leaves aim at so many words and bytes.
+# The upper trees are fitted to about so many words, by a hash. Leaves aim at so many words and bytes.
 FIT_WORDS = 50_000
 LEAF_WORDS, LEAF_BYTES = 8_192, 4_000_000
 # Within a leaf: words in a box of the lowest level, and queries or bytes compared with them at once.
@@ -294,8 +294,10 @@ def fitted(words: DataFrame) -> Forest:
     if not many:
         return Forest({}, {})
     of_many = words.where(F.length("word").isin(list(many)))
-    sample = defaultdict(list)
-    for r in of_many.select("word").orderBy(F.xxhash64("word"), "word").limit(FIT_WORDS).collect():
+    share, sample = min(1.0, FIT_WORDS / sum(many.values())), defaultdict(list)
+    # Hashes below a bound: each task sends its share only, about FIT_WORDS in all.
+    chosen = of_many.where(F.xxhash64("word") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
+    for r in chosen.select("word").collect():
         sample[len(r.word)].append(r.word.encode("latin-1"))
     trees = {k: tree(counts_of(letters_of(x, k)), max(4, len(x) * leaf_words(k) // many[k])) for k, x in sample.items()}
     whole = Forest(trees, {})
