@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -91,6 +92,61 @@ def test_nulls_repeats_long_texts_extra_columns_and_empty(spark, field):
     assert {r.score for r in scored(docs, labels).collect()} == {0.0}
 
 
+def test_stored_sample_gives_the_field_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 20_000)
+    labels = {r.doc_id: r.toxic for r in table(spark, FOLDER, "labels").collect()}
+    docs = sorted((r.doc_id, labels[r.doc_id], r.text) for r in table(spark, FOLDER, "documents").collect()
+                  if r.doc_id in labels and r.text)
+    sample = spark.createDataFrame(docs, "_id long, label int, text string").repartition(5, "_id")
+    given = [label for _, label, _ in docs]
+    apart, together = toxicity.fit_stored(sample, given, (70, 30)), fit([t for *_, t in docs], given, (70, 30))
+    assert apart.weights.keys() == together.weights.keys()
+    assert all(np.allclose(apart.weights[f], together.weights[f], atol=1e-6) for f in apart.weights)
+    assert np.allclose(apart.transitions, together.transitions) and np.allclose(apart.calibration, together.calibration)
+
+
+def test_gradient_is_the_slope_of_the_likelihood(monkeypatch):
+    texts, labels = ["one bad bad word. fine words", "fine words one", "bad words. bad one two"], [1, 0, 1]
+    known = toxicity.marks(np.unique([f for t in texts for f in toxicity.document_features(t)]), *np.ones((2, 99)), 9, 9)
+    known = toxicity.Marks(known.names, np.isin(known.names, toxicity._features("bad")))
+    b, size = toxicity.block(texts, labels, known), len(known.names)
+    assert b.target.sum() == 4
+    flat = np.random.default_rng(2).normal(size=3 * size + 5)
+
+    def likelihood(flat):
+        w, total = toxicity.Weights.of(flat), 0.0
+        odds = toxicity._odds(b, w)
+        for s, n in zip(b.chains.starts, b.chains.lengths, strict=True):
+            every = []
+            for code in range(1 << n):
+                y = [(code >> i) & 1 for i in range(n)]
+                every.append(sum(odds[s + i] for i in range(n) if y[i]) + sum(
+                    w.transitions[p, q] for p, q in zip(y, y[1:], strict=False)))
+            total += every[sum(int(b.target[s + i]) << i for i in range(n))] - np.log(np.exp(every).sum())
+        return total
+
+    step = 1e-5 * np.eye(len(flat))
+    slope = [(likelihood(flat + d) - likelihood(flat - d)) / 2e-5 for d in step]
+    assert np.allclose(toxicity.gradient(b, toxicity.Weights.of(flat)), slope, atol=1e-6)
+
+
+def test_score_recomputed_token_by_token(field):
+    text = "It was fine, but the moron said idiot. Nothing more here!\nAn idiot"
+    total = most = 0.0
+    for chain in re.split(r"[.!?\n]", text):
+        words = re.findall(r"\w+", chain)
+        if not words:
+            continue
+        own = [np.sum([field.weights.get(f, (0, 0, 0)) for f in toxicity._features(w)], axis=0) for w in words]
+        odds = [w[0] + field.bias + (own[i - 1][1] if i else 0) + (own[i + 1][2] if i + 1 < len(own) else 0)
+                for i, w in enumerate(own)]
+        p, _ = enumerated(np.array(odds), field.transitions)
+        p = p[p >= toxicity.LEAST_MARGINAL]
+        total, most = total + p.sum(), max([most, *p])
+    x = np.array([1, np.log1p(total), most, min(max(total - 1, 0), 1)])
+    assert np.isclose(Tagger(field).scores([text])[0], 1 / (1 + np.exp(-x @ field.calibration)))
+
+
 def test_one_label_gives_no_field():
     assert fit(["a b", "c"], [0, 0], (2, 0)) is None
 

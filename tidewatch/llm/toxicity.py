@@ -3,18 +3,23 @@
 Tokens are labelled from labelled documents: a token of a toxic document is toxic where its word, or a prefix of it,
 is tied to toxic documents. The field (two states, word and neighbour weights, transitions) is fitted to those tokens;
 forward-backward gives each token's marginal in any text. Marginals are summed per document and calibrated.
+
+The sample stays with the executors: features are counted by an aggregate, and each round of fitting sums gradients
+where the tokens are stored. The driver holds the weights and one pair of sums per sampled document.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,10 @@ from tidewatch.llm.common import own_name, ship, stored, table, text_of
 
 # The bounded sample that the field is fitted on: so many documents per label, each whole.
 SAMPLE_DOCUMENTS = 1000
+# The field has weights for at most so many features: those in at least so many sampled documents, more if they are too many.
+FEATURES, LEAST_DOCUMENTS = 200_000, 3
+# The sample is stored in so many parts, tokenised in blocks of about so many code points.
+FIT_PARTS, BLOCK_CHARS = 16, 500_000
 # A feature marks toxic tokens at this evidence (likelihood ratio statistic) and share of toxic documents.
 LEAST_EVIDENCE, LEAST_SHARE = 20.0, 0.7
 PREFIXES = (4, 5, 6, 7)
@@ -29,7 +38,8 @@ ROUNDS, STEP, PENALTY = 40, 1.0, 0.02
 # Texts are tagged together up to this many tokens; words are remembered up to this many.
 BATCH_TOKENS, REMEMBER_WORDS = 400_000, 500_000
 SPAN_MARGINAL = 0.5
-# Smaller marginals don't count, or the many unknown words of a long text would add up.
+# Smaller marginals count as 0 wherever the method's marginals are used, in fitting the calibration as in scoring: else
+# the many unknown words of a long text would add up. A document whose every token is below has the score of no token.
 LEAST_MARGINAL = 0.1
 # A document scores as toxic from this on.
 THRESHOLD = 0.5
@@ -72,37 +82,6 @@ def _chains(texts: list[str], numbers: dict[str, int], learn) -> Chains:
     return Chains(number[real], of[real], starts, np.diff(np.r_[starts, len(chain)]))
 
 
-def _encoded(text: str) -> bytes:
-    """A number of each token of a text, by its word in lower case; 0 where a sentence ends."""
-    words = _TOKEN.findall(text)
-    keys = {w: 0 if w in _ENDS else _key(w) for w in set(words)}
-    return np.fromiter(map(keys.__getitem__, words), dtype=np.int64, count=len(words)).tobytes()
-
-
-def _key(word: str) -> int:
-    return (xxhash.xxh3_64_intdigest(word.lower()) >> 1) | 1
-
-
-def _vocabulary(text: str) -> list[str]:
-    """The distinct words of a text, in lower case."""
-    return list({w.lower() for w in _TOKEN.findall(text) if w not in _ENDS})
-
-
-def _decoded(tokens: list[bytes]) -> tuple[Chains, np.ndarray]:
-    """The chains of encoded texts, and the key of each of their words."""
-    lengths = [len(t) // 8 for t in tokens]
-    flat = np.zeros(sum(lengths) + len(tokens), dtype=np.int64)
-    at = 0
-    for t, n in zip(tokens, lengths, strict=True):
-        flat[at:at + n] = np.frombuffer(t, dtype=np.int64)
-        at += n + 1
-    real = flat != 0
-    chain, of = np.cumsum(~real)[real], np.repeat(np.arange(len(tokens)), [n + 1 for n in lengths])[real]
-    keys, word = np.unique(flat[real], return_inverse=True)
-    starts = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]]) if len(chain) else np.zeros(0, dtype=np.int64)
-    return Chains(word, of, starts, np.diff(np.r_[starts, len(chain)])), keys
-
-
 class Field(NamedTuple):
     """Log weights: each feature on its token, its right and its left neighbour; the four transitions; the start."""
 
@@ -168,82 +147,159 @@ def _evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return 2 * (part(a, n1 * k / n) + part(b, n0 * k / n) + part(n1 - a, n1 * (n - k) / n) + part(n0 - b, n0 * (n - k) / n))
 
 
-def fit(texts: list[str], labels: list[int], priors: tuple[int, int]) -> Field | None:
-    """The field of labelled texts; None where one label is missing. ``priors``: how many rows each label has."""
-    features = {_key(w): _features(w) for w in {w for t in texts for w in _vocabulary(t)}}
-    return fit_encoded([_encoded(t) for t in texts], features, labels, priors)
+def document_features(text: str) -> list[int]:
+    """The distinct features of a text."""
+    words = {w.lower() for w in _TOKEN.findall(text) if w not in _ENDS}
+    return sorted({f for w in words for f in _features(w)})
 
 
-def fit_encoded(tokens: list[bytes], features: dict[int, list[int]], labels: list[int], priors: tuple[int, int]) -> Field | None:
-    """The same from encoded texts and the features of each word."""
-    y = np.array(labels, dtype=bool)
-    n1, n0 = int(y.sum()), int((~y).sum())
-    if not n1 or not n0:
-        return None
-    c, words = _decoded(tokens)
-    found = [features[k] for k in words.tolist()]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    feature = np.fromiter((f for x in found for f in x), dtype=np.int64, count=len(row))
-    first = np.searchsorted(row, np.arange(len(found) + 1))
-    del found
-    # How many toxic and other documents have each feature; features of one or two documents say nothing about others.
-    seen: tuple[list, list] = ([], [])
-    for doc, own in enumerate(np.split(c.word, np.searchsorted(c.text, np.arange(1, len(tokens))))):
-        parts = [feature[first[w]:first[w + 1]] for w in np.unique(own).tolist()]
-        if parts:
-            seen[int(y[doc])].append(np.unique(np.concatenate(parts)))
-    names, counts = np.unique(np.concatenate([*seen[0], *seen[1]] or [feature[:0]]), return_counts=True)
-    names = names[counts > 2]
-    a, b = (np.zeros(len(names)), np.zeros(len(names)))
-    for into, parts in ((a, seen[1]), (b, seen[0])):
-        for part in parts:
-            at = np.searchsorted(names, part)
-            at[at == len(names)] = 0
-            into[at[names[at] == part] if len(names) else at[:0]] += 1
-    del seen
-    marks = (_evidence(a, b, n1, n0) >= LEAST_EVIDENCE) & (a / n1 >= LEAST_SHARE * (a / n1 + b / n0)) & (
-        a / n1 > 5 * b / n0)
-    col = np.searchsorted(names, feature)
-    col[col == len(names)] = 0
-    known = names[col] == feature if len(names) else np.zeros(len(feature), dtype=bool)
-    row, col = row[known], col[known]
-    marked = np.zeros(len(words), dtype=bool)
-    marked[row[marks[col]]] = True
-    target = (marked[c.word] & y[c.text]).astype(float)
-
-    weights, transitions, bias = np.zeros((3, len(names))), np.zeros((2, 2)), -3.0
+class Marks(NamedTuple):
+    """Features that have weights, in ascending order, and which of them mark toxic tokens."""
+
+    names: np.ndarray
+    marking: np.ndarray
+
+
+def marks(names: np.ndarray, toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> Marks:
+    """From the numbers of toxic and other documents that have each feature, of n1 and n0."""
+    order = np.argsort(names)
+    a, b = toxic[order].astype(float), other[order].astype(float)
+    marking = (_evidence(a, b, n1, n0) >= LEAST_EVIDENCE) & (a / n1 >= LEAST_SHARE * (a / n1 + b / n0)) & (a / n1 > 5 * b / n0)
+    return Marks(names[order], marking)
+
+
+class Block(NamedTuple):
+    """Tokens of some sampled documents, and the features of each distinct word as pairs (word, place in the names)."""
+
+    chains: Chains
+    word: np.ndarray
+    feature: np.ndarray
+    target: np.ndarray
+
+
+def block(texts: list[str], labels: list[int], known: Marks) -> Block:
+    """A token is a target where its document is toxic and its word has a marking feature."""
+    numbers: dict[str, int] = {}
+    rows, features = [], []
+
+    def learn(word: str) -> None:
+        numbers[word] = len(rows)
+        rows.append(len(features))
+        features.extend(_features(word))
+
+    chains = _chains(texts, numbers, learn)
+    found = np.array(features, dtype=np.int64)
+    word = np.repeat(np.arange(len(rows)), np.diff([*rows, len(features)]))
+    at = np.minimum(np.searchsorted(known.names, found), max(0, len(known.names) - 1))
+    has = known.names[at] == found if len(known.names) else np.zeros(len(found), dtype=bool)
+    word, at = word[has], at[has]
+    marked = np.zeros(len(rows), dtype=bool)
+    marked[word[known.marking[at]]] = True
+    toxic = np.array(labels, dtype=bool)
+    return Block(chains, word, at, marked[chains.word] & toxic[chains.text])
+
+
+_BLOCK_TYPES = [np.int32, np.int32, np.int64, np.int64, np.int32, np.int32, np.bool_]
+
+
+def _packed(b: Block) -> list[bytes]:
+    arrays = [*b.chains, b.word, b.feature, b.target]
+    return [np.ascontiguousarray(x, dtype=t).tobytes() for x, t in zip(arrays, _BLOCK_TYPES, strict=True)]
+
+
+def _unpacked(row: list[bytes]) -> Block:
+    word, text, starts, lengths, *rest = (np.frombuffer(x, dtype=t) for x, t in zip(row, _BLOCK_TYPES, strict=True))
+    return Block(Chains(word, text, starts, lengths), *rest)
+
+
+_BLOCK_SCHEMA = pa.schema([
+    ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int32())),
+    *((x, pa.binary()) for x in ("word", "text", "starts", "lengths", "of_word", "feature", "target"))])
+_BLOCK_SQL = ("ids array<long>, labels array<int>, word binary, text binary, starts binary, lengths binary, "
+              "of_word binary, feature binary, target binary")
+
+
+class Weights(NamedTuple):
+    """Of each feature on its token, its right and its left neighbour; the four transitions; the start."""
+
+    features: np.ndarray
+    transitions: np.ndarray
+    bias: float
+
+    @staticmethod
+    def of(flat: np.ndarray) -> Weights:
+        return Weights(flat[:-5].reshape(3, -1), flat[-5:-1].reshape(2, 2), float(flat[-1]))
+
+
+def _odds(b: Block, w: Weights) -> np.ndarray:
+    size = int(b.chains.word.max()) + 1 if len(b.chains.word) else 0
+    own, right, left = (np.bincount(b.word, weights=x[b.feature], minlength=size) for x in w.features)
+    return _neighbours(b.chains, own + w.bias, right, left)
+
+
+def gradient(b: Block, w: Weights) -> np.ndarray:
+    """The gradient of the block's likelihood, flat: features, transitions, start."""
+    c, size = b.chains, w.features.shape[1]
+    words = int(c.word.max()) + 1 if len(c.word) else 0
+    p, expected = _marginals(c, _odds(b, w), w.transitions, pairs=True)
     inner = np.ones(len(c.word), dtype=bool)
     inner[c.starts] = False
     right = np.flatnonzero(inner)
-    now, was = target[right].astype(int), target[right - 1].astype(int)
-    seen_pairs = np.array([[((was == i) & (now == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
-    # Steps shrink with the gradients met so far.
-    squares = [np.full_like(weights, 1e-3), np.full((2, 2), 1e-3), 1e-3]
-    size = len(words)
-    for _ in range(ROUNDS):
-        per_word = [np.bincount(row, weights=x[col], minlength=size) for x in weights]
-        odds = _neighbours(c, per_word[0] + bias, per_word[1], per_word[2])
-        p, expected = _marginals(c, odds, transitions, pairs=True)
-        wrong = target - p
-        by_word = [np.bincount(c.word, weights=wrong, minlength=size),
-                   np.bincount(c.word[right - 1], weights=wrong[right], minlength=size),
-                   np.bincount(c.word[right], weights=wrong[right - 1], minlength=size)]
-        grads = [np.array([np.bincount(col, weights=x[row], minlength=len(names)) for x in by_word]) - PENALTY * weights,
-                 seen_pairs - expected - PENALTY * transitions, wrong.sum()]
-        for square, grad in zip(squares[:2], grads[:2], strict=True):
-            square += grad**2
-        squares[2] += grads[2] ** 2
-        weights += STEP * grads[0] / np.sqrt(squares[0])
-        transitions += STEP * grads[1] / np.sqrt(squares[1])
-        bias += STEP * grads[2] / np.sqrt(squares[2])
-    kept = {f: tuple(weights[:, i].tolist()) for i, f in enumerate(names.tolist()) if np.abs(weights[:, i]).max() > 1e-4}
-    per_word = [np.bincount(row, weights=x[col], minlength=size) for x in weights]
-    p = _marginals(c, _neighbours(c, per_word[0] + bias, per_word[1], per_word[2]), transitions)
+    now, was = b.target[right].astype(int), b.target[right - 1].astype(int)
+    seen = np.bincount(2 * was + now, minlength=4).reshape(2, 2)
+    wrong = b.target - p
+    by_word = (np.bincount(c.word, weights=wrong, minlength=words),
+               np.bincount(c.word[right - 1], weights=wrong[right], minlength=words),
+               np.bincount(c.word[right], weights=wrong[right - 1], minlength=words))
+    per_feature = [np.bincount(b.feature, weights=x[b.word], minlength=size) for x in by_word]
+    return np.concatenate([*per_feature, (seen - expected).ravel(), [wrong.sum()]])
+
+
+def document_sums(b: Block, w: Weights, documents: int) -> np.ndarray:
+    """Per document of the block the sum and the largest of its marginals from ``LEAST_MARGINAL`` on."""
+    p = _marginals(b.chains, _odds(b, w), w.transitions)
     p[p < LEAST_MARGINAL] = 0
-    sums = np.zeros((len(tokens), 2))
-    sums[:, 0] = np.bincount(c.text, weights=p, minlength=len(tokens))
-    np.maximum.at(sums[:, 1], c.text, p)
-    return Field(kept, float(bias), transitions, _calibrate(sums, y, priors))
+    out = np.zeros((documents, 2))
+    out[:, 0] = np.bincount(b.chains.text, weights=p, minlength=documents)
+    np.maximum.at(out[:, 1], b.chains.text, p)
+    return out
+
+
+def climb(size: int, total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights after ``ROUNDS`` steps; ``total`` gives the gradient over the whole sample. Steps shrink with those met so far."""
+    flat = np.zeros(3 * size + 5)
+    flat[-1] = -3.0
+    squares, penalty = np.full(len(flat), 1e-3), np.r_[np.full(3 * size + 4, PENALTY), 0.0]
+    for _ in range(ROUNDS):
+        grad = total(flat) - penalty * flat
+        squares += grad**2
+        flat = flat + STEP * grad / np.sqrt(squares)
+    return flat
+
+
+def _field(known: Marks, flat: np.ndarray, sums: np.ndarray, labels: np.ndarray, priors: tuple[int, int]) -> Field:
+    w = Weights.of(flat)
+    kept = np.flatnonzero(np.abs(w.features).max(axis=0, initial=0) > 1e-4)
+    return Field(dict(zip(known.names[kept].tolist(), map(tuple, w.features[:, kept].T.tolist()), strict=True)),
+                 w.bias, w.transitions, _calibrate(sums, labels, priors))
+
+
+def fit(texts: list[str], labels: list[int], priors: tuple[int, int]) -> Field | None:
+    """The field of a few labelled texts, in memory; None where one label is missing. ``priors``: rows of each label."""
+    y = np.array(labels, dtype=bool)
+    n1, n0 = int(y.sum()), int((~y).sum())
+    if not n1 or not n0:
+        return None
+    seen = defaultdict(lambda: [0, 0])
+    for text, label in zip(texts, labels, strict=True):
+        for f in document_features(text):
+            seen[f][int(label)] += 1
+    often = {f: x for f, x in seen.items() if sum(x) >= LEAST_DOCUMENTS}
+    counts = np.array(list(often.values()), dtype=np.int64).reshape(-1, 2)
+    known = marks(np.array(list(often), dtype=np.int64), counts[:, 1], counts[:, 0], n1, n0)
+    whole = block(texts, labels, known)
+    flat = climb(len(known.names), lambda at: gradient(whole, Weights.of(at)))
+    return _field(known, flat, document_sums(whole, Weights.of(flat), len(texts)), y, priors)
 
 
 def _inputs(sums: np.ndarray) -> np.ndarray:
@@ -328,12 +384,12 @@ class Tagger:
         return out
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
+def _groups(texts: list[str], size: int = 5 * BATCH_TOKENS) -> Iterator[list[str]]:
     group, chars = [], 0
     for text in texts:
         group.append(text)
         chars += len(text)
-        if chars >= 5 * BATCH_TOKENS:
+        if chars >= size:
             yield group
             group, chars = [], 0
     if group:
@@ -348,9 +404,9 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """The field of a bounded sample of the labelled documents that are not held out.
 
-    ``SAMPLE_DOCUMENTS`` documents of each label, by a hash of the id, are read whole, whatever their length; their
-    tokens reach the driver as numbers. An id labelled both ways counts as toxic, rows of one id are one label, and of
-    several texts of an id the smallest is read. None where a label has no document with a text.
+    ``SAMPLE_DOCUMENTS`` documents of each label, by a hash of the id, are read whole, whatever their length. An id
+    labelled both ways counts as toxic, rows of one id are one label, and of several texts of an id the smallest is
+    read. None where a label has no document with a text. NULL ids and texts teach nothing.
     """
     ship(docs.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
@@ -365,19 +421,75 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     if len(set(chosen.values())) < 2:
         return None
     ids = docs.sparkSession.createDataFrame(list(chosen.items()), "_id long, label int")
-
-    @F.pandas_udf("tokens binary, words array<string>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"tokens": [_encoded(t) for t in batch], "words": [_vocabulary(t) for t in batch]})
-
     texts = docs.where(F.col("text").isNotNull()).join(
         F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
-    sample = stored(texts.withColumn("read", encoded("text")).select("_id", "label", "read.*"), "toxicity_sample")
-    words = sample.select(F.explode("words").alias("word")).distinct()
-    features = {_key(r.word): _features(r.word) for r in words.toLocalIterator()}
-    rows = sorted(((r._id, r.label, bytes(r.tokens)) for r in sample.select("_id", "label", "tokens").toLocalIterator()))
-    return fit_encoded([t for _, _, t in rows], features, [y for _, y, _ in rows], (counts.get(0, 0), counts.get(1, 0)))
+    # One order of the documents in each part, so that equal inputs give equal sums.
+    sample = stored(texts.repartition(FIT_PARTS, "_id").sortWithinPartitions("_id"), "toxicity_sample")
+    return fit_stored(sample, list(chosen.values()), (counts.get(0, 0), counts.get(1, 0)))
+
+
+def fit_stored(sample: DataFrame, labels: list[int], priors: tuple[int, int]) -> Field:
+    """The field of a stored sample (``_id``, ``label``, ``text``), fitted where its rows are; as ``fit`` in memory."""
+    spark = sample.sparkSession
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+
+    @F.pandas_udf("array<long>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([document_features(t) for t in texts], dtype=object)
+
+    toxic, other = F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other")
+    often = stored(sample.select("label", F.explode(features("text")).alias("feature")).groupBy("feature").agg(
+        toxic, other).withColumn("documents", F.col("toxic") + F.col("other")).where(
+        F.col("documents") >= LEAST_DOCUMENTS), "toxicity_features")
+    least, room = LEAST_DOCUMENTS, FEATURES
+    for r in often.groupBy("documents").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("documents")).collect():
+        room -= r.n
+        if room < 0:
+            least = r.documents + 1
+            break
+    seen = often.where(F.col("documents") >= least).toPandas()
+    known = marks(*(seen[c].to_numpy(dtype=np.int64) for c in ("feature", "toxic", "other")), n1, n0)
+    size, sent = len(known.names), spark.sparkContext.broadcast(known)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = iter(batch.column(1).to_pylist())
+            ids = iter(batch.column(0).to_pylist())
+            for group in _groups(batch.column(2).to_pylist(), BLOCK_CHARS):
+                own, about = list(itertools.islice(ids, len(group))), list(itertools.islice(label, len(group)))
+                b = block(group, about, sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(
+                    [own, about, *_packed(b)], _BLOCK_SCHEMA, strict=True)], schema=_BLOCK_SCHEMA)
+
+    cut = stored(sample.select("_id", "label", "text").mapInArrow(blocks, _BLOCK_SQL), "toxicity_blocks")
+
+    def total(flat: np.ndarray) -> np.ndarray:
+        weights = spark.sparkContext.broadcast(flat)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, grad = Weights.of(weights.value), np.zeros(3 * size + 5)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    grad += gradient(_unpacked(row), at)
+            yield pa.RecordBatch.from_pydict({"gradient": [grad.tobytes()]})
+
+        parts = cut.drop("ids", "labels").mapInArrow(step, "gradient binary").collect()
+        weights.destroy()
+        return sum((np.frombuffer(r.gradient) for r in parts), np.zeros(3 * size + 5))
+
+    flat = climb(size, total)
+    weights = spark.sparkContext.broadcast(flat)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, about, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums = document_sums(_unpacked(row), Weights.of(weights.value), len(own))
+                yield pa.RecordBatch.from_pydict(
+                    {"id": own, "label": pa.array(about, pa.int32()), "total": sums[:, 0], "most": sums[:, 1]})
+
+    rows = sorted(tuple(r) for r in cut.mapInArrow(summed, "id long, label int, total double, most double").collect())
+    sums = np.array([r[2:] for r in rows])
+    return _field(known, flat, sums, np.array([r[1] for r in rows], dtype=bool), priors)
 
 
 def tag(docs: DataFrame, field: Field | None, text: str = "text", spans: bool = True) -> DataFrame:
