@@ -42,7 +42,7 @@ def test_shared_lines_go(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    components = brute.components(brute.shingle_sets([(r.doc_id, r.text) for r in stages[2].collect()]))
+    components = brute.components(brute.shingle_sets([(r.doc_id, r.text) for r in stages[2].collect()]), 80)
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(components.values()))
 
 
