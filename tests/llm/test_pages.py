@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import pytest
@@ -96,3 +97,54 @@ def test_comments_go_though_they_are_articles_or_longer():
                  f"<body><div>{body}{body}</div><section id=comments>{reply * 3}</section>",
                  f"<body><article>{body}</article><div class=sponsored><article>{reply}</article></div>"):
         assert main_text(page) in (ARTICLE, f"{ARTICLE} {ARTICLE}")
+
+
+def test_comments_beside_the_article_never_replace_it():
+    body, reply = f"<p>{ARTICLE}</p>", f"<p>Reader: {ARTICLE}</p>"
+    thread = f"<article class=comment>{reply * 6}</article>"
+    for page in (f"<body><article>{body}</article><section id=responses>{thread}</section>",
+                 f"<main><article>{body}</article>{thread}</main>",
+                 f"<main><article>{body}{thread}</article></main>",
+                 f"<main>{body}<div class=comments>{reply * 3}</div></main>",
+                 f"<body><article class='post comments-open'>{body}</article>{thread}",
+                 f"<main><article class='newsletter post'>{body}</article></main>",
+                 f"<main><div class='newsletter'>{body}</div></main>",
+                 f"<body><div id=comments><article>{body}</article>{thread}</div>"):
+        assert main_text(page) == ARTICLE
+
+
+WORDS = "One, two three four, five six seven eight nine ten eleven twelve, thirteen fourteen fifteen sixteen"
+
+
+def made_page(pick):
+    """A page without article elements, and its article: blocks of any length in any wrapper, noise in between."""
+    blocks, page = [], []
+
+    def block(text):
+        blocks.append(text)
+        kind = pick.randrange(5)
+        if kind == 0 and len(text) < 60:
+            return f"<ul><li>{text}</li></ul>"
+        return [f"<p>{text}</p>", f"<div><p>{text}</p></div>", f"<div>{text}</div>", f"<section><div><p>{text}</p></div></section>",
+                f"<blockquote>{text}</blockquote>"][kind]
+
+    noise = ['<div class="ad"><p>Buy, now, this, and that, at once.</p></div>', "<nav><a href=x>Menu</a> <a href=y>More</a></nav>",
+             "<form>Your name, please <input></form>", '<div class=sidebar><p>Side, text.</p></div>',
+             "<ul>" + "<li><a href=z>Some other page, at length</a></li>" * 4 + "</ul>", "<script>x('<p>no</p>')</script>",
+             '<div class="comments"><p>A reader says, this.</p></div>', "<footer>All rights</footer>", "<!-- <p>no</p> -->"]
+    for i in range(pick.randint(3, 9)):
+        page.append(block(f"{i}. " + " ".join([WORDS] * pick.randint(1, 6)) + "."))
+        if pick.random() < 0.5:
+            page.append(block(pick.choice(["The end.", "Short", "A list item, short.", "See: below"])))
+        if pick.random() < 0.6:
+            page.append(pick.choice(noise))
+    inner = "".join(page)
+    wrap = pick.choice(["{}", "<div>{}</div>", "<div class='page has-comments'><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>"])
+    return f"<html><body>{''.join(pick.sample(noise, 2))}{wrap.format(inner)}{pick.choice(noise)}</body></html>", " ".join(blocks)
+
+
+def test_pages_without_article_elements():
+    pick = random.Random(11)
+    for _ in range(400):
+        page, article = made_page(pick)
+        assert main_text(page) == article, page

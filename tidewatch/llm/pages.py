@@ -42,24 +42,29 @@ ARTICLES = frozenset("article main".split())
 # Words in class and id of what is not the article, unless the element holds the page's article or nearly all its points.
 NEVER = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos"
-    " promotion comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter"
-    " subscribe subscription signup login paywall".split()
+    " promotion cookie cookies consent gdpr newsletter subscribe subscription signup login paywall".split()
 )
+# Of these the words for what readers say.
+COMMENTS = frozenset("comment comments commentlist disqus respond response responses reply replies".split())
 # Words that mark it too, unless the element holds most of the page's points.
 SELDOM = frozenset(
     "nav navbar navigation menu menus header masthead footer sidebar side aside banner breadcrumb breadcrumbs notice"
     " notices popup modal overlay share sharing social related recommended recommendations widget widgets toolbar"
     " pagination pager skip toc tags meta byline".split()
 )
+# Words before or after one of those that make it a remark on the page instead.
 UNLESS_BEFORE = frozenset("has with no without".split())
+UNLESS_AFTER = frozenset("open closed enabled disabled allowed count".split())
 
 # A paragraph gives a point, one per comma and one per so many code points, up to a bound.
 CHARS_PER_POINT, MOST_LENGTH_POINTS = 100, 3
 # A sibling is kept with this share of the best container's points, or as a long paragraph with few links.
 SIBLING_SHARE, SIBLING_CHARS, SIBLING_LINKS = 0.2, 80, 0.25
-# A class that seldom holds the article is overruled by this share of all points, one that never should by the other: a
-# thread of comments may well be longer than the article.
-MOST, NEARLY_ALL = 0.5, 0.75
+# A class that seldom holds the article is overruled by this share of all points, one that never should by the next, one
+# of comments by the last: a thread may well be longer than the article.
+MOST, NEARLY_ALL, ALL = 0.5, 0.75, 0.95
+# On a page without article element, one of these that is mostly links by this share is a menu.
+MENU_LINKS, MENUS = 0.5, frozenset("ul ol dl table div section".split())
 TAG_POINTS = {"article": 10, "main": 10, "div": 5, "section": 3, "td": 3, "pre": 3, "blockquote": 3} | dict.fromkeys(
     ("ul", "ol", "dl", "li", "dd", "dt", "address"), -3) | dict.fromkeys(HEADINGS, -5)
 
@@ -75,13 +80,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "items", "never", "marked", "seldom", "points", "own", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "never", "marked", "comments", "seldom", "points", "own", "chars", "linked")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
         self.points = self.own = 0.0
         self.chars = self.linked = 0
-        self.never, self.marked, self.seldom = tag in LEFT_OUT, False, False
+        self.never, self.marked, self.comments, self.seldom = tag in LEFT_OUT, False, False, False
         if attrs and not attrs.isspace():
             self._read(attrs)
 
@@ -92,8 +97,10 @@ class _Node:
                 or "display:none" in found.get("style", "").replace(" ", "").lower()):
             self.never = True
         words = [w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")]
-        said = {w for b, w in zip(["", *words], words, strict=False) if b not in UNLESS_BEFORE}
-        self.marked = not NEVER.isdisjoint(said)
+        said = {w for b, w, a in zip(["", *words], words, [*words[1:], ""], strict=False)
+                if b not in UNLESS_BEFORE and a not in UNLESS_AFTER}
+        self.comments = not COMMENTS.isdisjoint(said)
+        self.marked = self.comments or not NEVER.isdisjoint(said)
         self.seldom = self.tag not in WHOLE and not self.marked and not SELDOM.isdisjoint(said)
 
 
@@ -235,20 +242,36 @@ def _held(nodes: list[_Node], values: list[float]) -> dict[int, float]:
     return held
 
 
+def _is_article(n: _Node) -> bool:
+    return n.tag in ARTICLES and not n.marked
+
+
+def _may_go(n: _Node) -> bool:
+    """An article element goes as well where it is marked, such as a single comment."""
+    return n.marked and (n.tag not in WHOLE or n.tag == "article")
+
+
 def _drop_marked(nodes: list[_Node]) -> None:
-    """Leave out what a word of ``NEVER`` marks, but not a wrapper of the article.
+    """Leave out what a word of ``NEVER`` or ``COMMENTS`` marks, but not a wrapper of the article.
 
-    That is an element with all articles of the page, or with some and nearly all points; where the page has no article
-    element, one with nearly all points. Articles that are marked themselves, such as single comments, don't count.
+    That is an element that holds articles while there is none beside it, or one with nearly all points and no article
+    beside it that it lacks. Articles that are marked themselves don't count, nor does an element that holds this one.
     """
     points = _held(nodes, [n.own for n in nodes])
-    articles = _held(nodes, [float(n.tag in ARTICLES and not n.marked) for n in nodes])
-    all_points, all_articles = points[id(nodes[0])], articles[id(nodes[0])]
+    articles = _held(nodes, [float(_is_article(n)) for n in nodes])
+    around: dict[int, int] = {}
+    for n in nodes:
+        around[id(n)] = around[id(n.parent)] + _is_article(n.parent) if n.parent is not None else 0
     for n in nodes:
-        if n.marked and n.tag not in WHOLE:
-            has, own = articles[id(n)], points[id(n)]
-            nearly_all = own > NEARLY_ALL * all_points and bool(has) == bool(all_articles)
-            n.never = not (0 < has == all_articles or nearly_all)
+        if _may_go(n):
+            inside = articles[id(n)]
+            beside = articles[id(nodes[0])] - inside - around[id(n)]
+            nearly_all = points[id(n)] > (ALL if n.comments else NEARLY_ALL) * points[id(nodes[0])]
+            n.never = not (inside and not beside or nearly_all and (inside or not beside))
+
+
+def _links(n: _Node) -> float:
+    return n.linked / max(1, n.chars)
 
 
 def main_text(page: str) -> str:
@@ -257,7 +280,7 @@ def main_text(page: str) -> str:
     nodes = _in_order(root)
     _score(nodes)
     total = sum(n.own for n in nodes)
-    if any(n.marked and n.tag not in WHOLE for n in nodes):
+    if any(map(_may_go, nodes)):
         _drop_marked(nodes)
         nodes = _in_order(root)
         _score(nodes)
@@ -272,18 +295,38 @@ def main_text(page: str) -> str:
     if not best.points:
         best = next((n for tag in ("article", "main", "body", "") for n in nodes if n.tag == tag), root)
         return " ".join(_blocks([best]))
-    best = next((n for n in _up(best) if n.tag in ("article", "main")), best)
-    keep, least = [], max(10.0, SIBLING_SHARE * _value(best))
-    for x in best.parent.items if best.parent is not None else [best]:
+    article = next((n for n in _up(best) if n.tag in ARTICLES), None)
+    if article is None:
+        if _links(best) < MENU_LINKS:
+            held = {id(n) for n in _up(best)}
+            for n in nodes:
+                n.never |= n.tag in MENUS and id(n) not in held and n.chars > 0 and _links(n) >= MENU_LINKS
+        return " ".join(_blocks(_beside(best)))
+    keep, least = [], max(10.0, SIBLING_SHARE * _value(article))
+    for x in article.parent.items if article.parent is not None else [article]:
         if not isinstance(x, _Node) or x.never:
             continue
-        links = x.linked / max(1, x.chars)
-        if (x is best or x.tag in HEADINGS or _value(x) >= least and links < SIBLING_LINKS
+        links = _links(x)
+        if (x is article or x.tag in HEADINGS or _value(x) >= least and links < SIBLING_LINKS
                 or x.tag in PARAGRAPHS and x.chars >= SIBLING_CHARS and links < SIBLING_LINKS):
             keep.append(x)
     return " ".join(_blocks(keep))
 
 
+def _beside(best: _Node) -> list:
+    """The best container and all beside it that is not mostly links, on a page that doesn't say where its article is.
+
+    Text and blocks of any length stay: nothing tells a short last paragraph from the rest. A wrapper that holds one
+    block only is no level of its own.
+    """
+    while best.parent is not None and best.parent.chars == best.chars:
+        best = best.parent
+    if best.parent is None or best.tag in ("body", "html"):
+        return [best]
+    return [x for x in best.parent.items
+            if isinstance(x, str) or x is best or not x.never and (x.tag in HEADINGS or _links(x) < MENU_LINKS)]
+
+
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with a column ``text``: the article of the whole page.
 
