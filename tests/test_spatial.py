@@ -165,14 +165,21 @@ def test_the_plan_grows_in_step_with_the_radii(spark, monkeypatch):
     assert {r.id: int(r.dive_site) for r in found.collect()} == nearest_by_hand(points, sites, 3000.0)
 
 
-def test_all_pairs_are_aggregated_by_hash(spark):
-    occurrences = spark.sql("""
-        SELECT TIMESTAMP_NTZ'2020-01-01' AS event_date, 'a' AS species, 1L AS individual_count, id / 1000.0D AS lon,
-          0.0D AS lat, 'GBIF' AS source FROM range(50)""")
-    places = spark.createDataFrame([("a", 0.0, 0.0)], "title string, lon double, lat double")
-    text = plan(models.near_dive_site_occurrences(occurrences, places))
-    assert "HashAggregate(keys=[event_date" in text.replace("key=", "keys=").replace("(keys=[_event_date", "(keys=[event_date")
-    assert "partial_min(distance_to_dive_site" in text
+def test_pairs_are_computed_once(spark, tmp_path, monkeypatch):
+    spark.sql("""
+        SELECT TIMESTAMP_NTZ'2020-01-01' + make_interval(0, 0, 0, CAST(id % 7 AS INT)) AS event_date, 'a' AS species,
+          id AS individual_count, id / 1000.0D AS lon, 0.0D AS lat, 'GBIF' AS source FROM range(50)""").write.parquet(
+        f"{tmp_path}/occurrences")
+    spark.createDataFrame([("a", 0.0, 0.0)], "title string, lon double, lat double").write.parquet(f"{tmp_path}/sites")
+    stored, places = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("occurrences", "sites"))
+    from tidewatch.operators import joins
+
+    for limit in (joins.BROADCAST_MAX_ROWS, -1):
+        monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", limit)
+        text = plan(models.near_dive_site_occurrences(stored, places))
+        assert "partial_min(struct(distance_to_dive_site" in text
+        # Only the scan of the occurrences reads their columns.
+        assert sum("FileScan parquet" in line and "individual_count" in line for line in text.split("\n")) == 1
 
 
 def test_closest_per_key_keeps_one_candidate_per_task(spark):

@@ -70,19 +70,13 @@ def within_distance(occurrences: DataFrame, sites: DataFrame, radius_m: float =
 def closest_per_key(pairs: DataFrame, keys: list[str], tie_break: list[str]) -> DataFrame:
     """The row with the smallest distance per key; ties fall to the first in ``tie_break`` order.
 
-    The distance is a hash aggregation, one number per key and task before the shuffle. Only the pairs at that distance,
-    few per key, are then compared by the whole order.
+    One pass: each task keeps one row per key before the shuffle, so the pairs are computed once and a key that holds
+    a third of them is one row a task.
     """
-    distance = "distance_to_dive_site"
-    nearest = pairs.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(distance).alias("_nearest"))
-    same = F.col(distance) == F.col("_nearest")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    ties = pairs.join(nearest, same, "left_semi")
-    order = [distance, *tie_break]
+    order = ["distance_to_dive_site", *tie_break]
     rest = [name for name in pairs.columns if name not in keys and name not in order]
     best = F.min(F.struct(*order, *rest)).alias("_best")
-    return ties.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*pairs.columns)
+    return pairs.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*pairs.columns)
 
 
 def one_title_per_spot(sites: DataFrame) -> DataFrame:

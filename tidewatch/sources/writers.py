@@ -16,8 +16,14 @@ from tidewatch.session import new_table_path
 TILE_DEGREES = 5.0
 
 
-# Bytes of data, before encoding, that a file of a clustered table holds.
-FILE_BYTES = 256 * 1024 * 1024
+# Bytes of data, before encoding, that a file of a clustered table holds at most; and at least, where a smaller table is
+# cut into one file per core.
+FILE_BYTES, LEAST_FILE_BYTES = 256 * 1024 * 1024, 4 * 1024 * 1024
+
+
+def file_count(data_bytes: int, cores: int) -> int:
+    """So many files that none exceeds ``FILE_BYTES``, and that all cores write unless files would get too small."""
+    return max(1, math.ceil(data_bytes / FILE_BYTES), min(cores, data_bytes // LEAST_FILE_BYTES))
 
 
 def _clustered(df: DataFrame, month: str | None, cluster_by: list[str], files: int | None) -> DataFrame:
@@ -31,7 +37,7 @@ def _clustered(df: DataFrame, month: str | None, cluster_by: list[str], files: i
     df.write.parquet(stored)
     rows = df.sparkSession.read.schema(df.schema).parquet(stored)
     if files is None:
-        files = max(1, math.ceil(measure(rows).bytes / FILE_BYTES))
+        files = file_count(measure(rows).bytes, df.sparkSession.sparkContext.defaultParallelism)
     order, out = [month] if month else [], rows.withColumn("_row", F.xxhash64(*rows.columns))
     for name in cluster_by:
         if name == "geography":
@@ -58,8 +64,8 @@ def write_table(
     ``partition_month`` adds an ``event_month`` folder per month of that column; with ``keep_other_months`` an
     overwrite replaces only the months it writes. ``cluster_by`` writes ranges of those columns to files of their own,
     sorted, so that a filter on them skips files and row groups; ``"geography"`` stands for the position (lon, lat).
-    ``partitions`` asks for about that many files; without it a clustered table has one per ``FILE_BYTES``, and one
-    more where a month begins. A table stays a folder of part files.
+    ``partitions`` asks for about that many files; without it a clustered table has as many as ``file_count`` says,
+    and one more where a month begins. A table stays a folder of part files.
     """
     out, month = df, None
     if partition_month:
