@@ -934,3 +934,7 @@ def _(t):
 SELECT 'no_searchable_species' AS failure_reason FROM (SELECT count(common_name) AS n FROM m_new) c WHERE n = 0""")
 def _(t):
     return quality.nothing_searchable(enrichment.new_species(t.species, t.species_enrichment))
+
+
+# More queries, on tables that are replaced, bucketed, searched and checked as they are stored.
+import checks.stored  # noqa: E402, F401

@@ -16,7 +16,7 @@ from tidewatch.functions.text import blank_to_null
 from tidewatch.functions.urls import thumbnail_url
 from tidewatch.operators.joins import lookup_join
 from tidewatch.session import new_table_path
-from tidewatch.sources import schemas
+from tidewatch.sources import schemas, versions
 
 FIELDS = ("common_name", "description", "image_url")
 
@@ -24,8 +24,12 @@ FIELDS = ("common_name", "description", "image_url")
 BATCH_ROWS = 500
 DEV_BATCH_ROWS = 50
 IMAGE_GROUP_NAMES = 50
-# Batches that are committed together at least, files of such a unit at most, and units of a run at most.
-UNIT_BATCHES, UNIT_FILES, MOST_UNITS = 20, 4, 64
+# Batches that are committed together at least, and units of a run at most. A unit has at least so many files, and more
+# where one would hold more rows than this.
+UNIT_BATCHES, MOST_UNITS = 20, 64
+UNIT_FILES, FILE_ROWS = 4, 50_000
+# The enrichment table is split into so many buckets by a hash of the species.
+BUCKETS = 64
 
 
 def _any(columns):
@@ -242,12 +246,23 @@ def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def _stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def _stored(df: DataFrame, name: str, by: str | None = None, files: int = 1) -> DataFrame:
+    """Rows stored, on request in folders by a column, each in up to ``files`` files."""
     path = new_table_path(df.sparkSession, name)
-    (df.repartition(by).write.partitionBy(by) if by else df.write).parquet(path)
+    (df.repartition(by, _part(files)).write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _part(parts: int):
+    """A part of a unit, by another hash than the batch."""
+    return F.pmod(F.xxhash64("species", F.lit("part")), F.lit(parts))
+
+
+def unit_files(rows: int, units: int) -> int:
+    """Files of a unit, and tasks that write it: they grow with the rows."""
+    return max(UNIT_FILES, math.ceil(rows / max(1, units) / FILE_ROWS))
+
+
 def enrich_incremental(
     spark: SparkSession,
     work: DataFrame,
@@ -261,8 +276,8 @@ def enrich_incremental(
     """Resolve the work that is not in the progress folder yet, add it there, and return all completed rows.
 
     Batches are resolved in units of at least ``unit_batches``, at most ``MOST_UNITS`` units. Each unit is one job that
-    commits its own folder of at most ``UNIT_FILES`` files: units that are done stay when a later one fails, and the
-    next run resolves the rest. Work and replies are stored by unit, so a unit reads its share of them only.
+    commits its own folder: units that are done stay when a later one fails, and the next run resolves the rest. Work and
+    replies are stored by unit, so a unit reads its share of them only; a unit is as many tasks as its rows need.
     """
     done = completed_rows(spark, progress)
     last = done.agg(F.max("batch_id").alias("batch"), F.max("unit").alias("unit")).first()
@@ -273,17 +288,18 @@ def enrich_incremental(
         return completed_rows(spark, progress)
     batches = math.ceil(total / batch_rows)
     per_unit = max(unit_batches, math.ceil(batches / MOST_UNITS))
-    batch = _batch(batches)
+    batch, units = _batch(batches), math.ceil(batches / per_unit)
+    files = unit_files(total, units)
 
     def by_unit(df: DataFrame, name: str) -> DataFrame:
-        return _stored(df.withColumn("unit", F.floor(batch / per_unit).cast("int")), name, by="unit")
+        return _stored(df.withColumn("unit", F.floor(batch / per_unit).cast("int")), name, by="unit", files=files)
 
     todo = by_unit(todo, "work_by_unit")
     replies = [by_unit(x, "replies_by_unit") for x in (names, summaries, images)]
-    for unit in range(math.ceil(batches / per_unit)):
+    for unit in range(units):
         own = [x.where(F.col("unit") == unit).drop("unit") for x in (todo, *replies)]
         resolved = resolve_enrichment(*own).withColumn("batch_id", batch + first_batch)
-        resolved.repartition(UNIT_FILES).write.mode("overwrite").parquet(f"{progress}/unit={first_unit + unit}")
+        resolved.repartition(files).write.mode("overwrite").parquet(f"{progress}/unit={first_unit + unit}")
     return completed_rows(spark, progress)
 
 
@@ -325,3 +341,29 @@ def run_enrichment(
         write_version(merge_enrichment(target, staged), folder, number + 1)
     after = coverage_counts(species_table, current_version(spark, folder)[0]).withColumn("moment", F.lit("after"))
     return before.unionByName(after)
+
+
+def upsert_buckets(spark: SparkSession, folder: str, staged: DataFrame, buckets: int = BUCKETS) -> int:
+    """Put staged rows into a table of buckets and return the number of the new version.
+
+    Only buckets that a staged species falls in are read and written; the new version lists the old folders of all
+    others, whose files stay as they are. The same ``buckets`` must be used for every upsert of a folder. Without staged
+    rows no version is written. ``staged`` should be stored rows, as it is read twice.
+    """
+    bucket = F.pmod(F.xxhash64("species"), F.lit(buckets)).cast("int")
+    number, parts = versions.current_parts(spark, folder)
+    # At most one row per bucket.
+    touched = sorted(r.bucket for r in staged.select(bucket.alias("bucket")).distinct().collect())
+    if not touched:
+        return number
+    target = versions.read_parts(spark, [parts[str(b)] for b in touched if str(b) in parts], schemas.ENRICHMENT)
+    merged = merge_enrichment(target, staged.select("species", *FIELDS)).withColumn("bucket", bucket)
+    path = versions.new_data_path(folder, number + 1)
+    merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(path)
+    versions.commit(spark, folder, number + 1, parts | {str(b): f"{path}/bucket={b}" for b in touched})
+    return number + 1
+
+
+def read_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The current version of a table of buckets."""
+    return versions.read_current(spark, folder, schemas.ENRICHMENT)

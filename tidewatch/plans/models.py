@@ -15,6 +15,7 @@ from tidewatch.operators.ranking import rank_by_count
 from tidewatch.operators.spatial import RADIUS_M, closest_per_key, nearest_among, nearest_site, within_distance
 from tidewatch.operators.taxa import classify_species, validate_taxa
 from tidewatch.plans.staging import standardize
+from tidewatch.sources.buckets import merge_join
 
 # Fixed value: development mode keeps about one species in this many before the distance join.
 DEV_NEAR_BUCKETS = 20
@@ -106,14 +107,29 @@ def _described(frequency: DataFrame, species_table: DataFrame, sites: DataFrame,
     return lookup_join(placed, enrichment, "species", "left", hot_keys=False)
 
 
+def detail_from_buckets(frequency: DataFrame, species_table: DataFrame, enrichment: DataFrame, sites: DataFrame) -> DataFrame:
+    """``divesite_species_detail`` from three tables bucketed by species: their join merges bucket with bucket."""
+    joined = merge_join(merge_join(frequency, species_table, "species"), enrichment, "species", "left")
+    places = sites.select(
+        F.col("title").alias("dive_site"),
+        F.col("lat").alias("dive_site_latitude"),
+        F.col("lon").alias("dive_site_longitude"),
+    )
+    return lookup_join(joined, places, "dive_site", "inner", size_of=sites).select(*DETAIL)
+
+
+# Columns of a site's species panel (fixed values).
+DETAIL = [
+    "dive_site", "dive_site_latitude", "dive_site_longitude", "species", "common_name", "description",
+    "image_url", "is_endangered", "is_invasive", "species_type", "sighting_count", "frequency_rank",
+]
+
+
 def divesite_species_detail(
     frequency: DataFrame, species_table: DataFrame, sites: DataFrame, enrichment: DataFrame
 ) -> DataFrame:
     """Everything a site's species panel shows."""
-    return _described(frequency, species_table, sites, enrichment).select(
-        "dive_site", "dive_site_latitude", "dive_site_longitude", "species", "common_name", "description",
-        "image_url", "is_endangered", "is_invasive", "species_type", "sighting_count", "frequency_rank",
-    )
+    return _described(frequency, species_table, sites, enrichment).select(*DETAIL)
 
 
 def species_divesite_summary(

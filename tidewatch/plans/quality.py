@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.operators.spatial import RADIUS_M
@@ -171,6 +172,22 @@ def _tally(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
+def observed(
+    table: DataFrame, name: str, radius_m: float = RADIUS_M, as_of: datetime | None = None
+) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """The table with the rules on its single rows counted as it is written, and a function that gives the counts then.
+
+    The rows pass the counters on their way to the files, so the rules cost no scan of their own. Ask for the counts
+    after the write; a table without such rules passes as it is.
+    """
+    rules = row_rules(radius_m, as_of).get(name, {})
+    if not rules:
+        return table, dict
+    seen, names = Observation(), list(rules)
+    watched = table.observe(seen, *(F.count_if(rules[rule]).alias(f"r{i}") for i, rule in enumerate(names)))
+    return watched, lambda: {rule: seen.get[f"r{i}"] for i, rule in enumerate(names)}
+
+
 def run_checks(
     tables: dict[str, DataFrame], radius_m: float = RADIUS_M, as_of: datetime | None = None
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,22 @@ def read_months(spark: SparkSession, path: str, first_month: str, last_month: st
     )
 
 
+def read_event_dates(
+    spark: SparkSession, path: str, since: datetime | None = None, until: datetime | None = None
+) -> DataFrame:
+    """Rows of a month-partitioned table with ``since <= event_date < until``; either end may be open.
+
+    The months that can hold such a time are derived here, so the folders of all others are not opened.
+    """
+    rows = spark.read.parquet(path)
+    if since is not None:
+        first = since.date().replace(day=1)
+        rows = rows.where((F.col("event_month") >= F.lit(first)) & (F.col("event_date") >= F.lit(since).cast("timestamp_ntz")))
+    if until is not None:
+        rows = rows.where((F.col("event_month") <= F.lit(until.date())) & (F.col("event_date") < F.lit(until).cast("timestamp_ntz")))
+    return rows
+
+
 def export_serving(tables: dict[str, DataFrame], folder: str) -> None:
     """Write the serving tables as one folder each."""
     cluster = {"species_divesite_summary": ["species"], "divesite_species_detail": ["dive_site"]}
