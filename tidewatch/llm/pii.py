@@ -1,8 +1,9 @@
 """Personal data: base patterns as seeds, and further identifiers by the words before them, in column expressions only.
 
 Chunks that look like an identifier are instances; the words before a chunk are its pattern. Seeds score 1 for their
-kind. In rounds a pattern scores the mean of its instances and an unknown instance the best of its patterns; chunks
-behind patterns that score high at the end are spans too.
+kind. In rounds a pattern scores the mean of its instances and an unknown instance the best of its patterns. Patterns
+that score high over enough seeds are accepted, what stands behind them are seeds of the next round, and so on until no
+pattern is added; chunks behind accepted patterns are spans too.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ INSTANCE = (
 )
 # The words before an instance are sought among so many code points; of two patterns, one has one word, one has two.
 CONTEXT_CHARS = 60
+# Rounds at least; there are more as long as patterns are added.
 ROUNDS = 3
-# A pattern counts with this many distinct instances of its kind, and finds instances from this score on.
+# A pattern is accepted with this many distinct seeds of its kind, base or found before, and from this score on.
 LEAST_INSTANCES, LEAST_SCORE = 5, 0.8
 # Running sums are taken in blocks of so many.
 _BLOCK = 128
@@ -137,30 +139,44 @@ def instances(docs: DataFrame) -> DataFrame:
 
 
 def pattern_scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The patterns that find instances: (pattern, kind, score), from ``instances``.
+    """The accepted patterns: (pattern, kind, score), from ``instances``.
 
-    The graph has one edge for each pattern and distinct instance. An instance of no kind scores per kind the best of
-    its patterns, each weakened where it has few instances; seeds keep 1 for their kind and 0 for others.
+    The graph has one edge for each pattern and distinct instance. A seed scores 1 for its kind and 0 for others, an
+    unknown instance per kind the best of its patterns in the round before, each weakened where it has few instances. A
+    pattern stays accepted with its best score. Unknown instances behind accepted patterns are seeds of the pattern with
+    the best score from the next round on. Rounds end when none is added, after ``rounds`` of them at least.
     """
     edges = stored(found.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pattern_edges")
     # Patterns without a single seed can't gain from others than through shared instances; kinds are apart.
     kinds = F.explode(F.array(*(F.lit(k) for k in KINDS)))
-    graph = edges.select("pattern", "value", "seed", kinds.alias("kind"))
     known = (F.col("seed") == F.col("kind")).cast("double")
-    scores = None
-    for _ in range(rounds):
+    scores = accepted = None
+    labelled, number, turn = edges, 0, 0
+    while True:
+        graph = labelled.select("pattern", "value", "seed", kinds.alias("kind"))
         if scores is None:
             scored = graph.withColumn("score", F.coalesce(known, F.lit(0.0)))
         else:
-            best = edges.where("seed IS NULL").join(scores, "pattern").groupBy("value", "kind").agg(
+            best = labelled.where("seed IS NULL").join(scores, "pattern").groupBy("value", "kind").agg(
                 F.max("weak").alias("best"))
             scored = graph.join(best, ["value", "kind"], "left").withColumn(
                 "score", F.when(F.col("seed").isNotNull(), known).otherwise(F.coalesce("best", F.lit(0.0))))
         scores = stored(scored.groupBy("pattern", "kind").agg(
             F.avg("score").alias("score"), F.sum("score").alias("sum"), F.sum(F.coalesce(known, F.lit(0.0))).alias("seeds"),
         ).where("sum > 0").withColumn("weak", F.col("score") * F.col("sum") / (F.col("sum") + 2)), "pattern_scores")
-    return scores.where((F.col("seeds") >= LEAST_INSTANCES) & (F.col("score") >= LEAST_SCORE)).select(
-        "pattern", "kind", "score")
+        now = scores.where((F.col("seeds") >= LEAST_INSTANCES) & (F.col("score") >= LEAST_SCORE)).select(
+            "pattern", "kind", "score")
+        if accepted is not None:
+            now = accepted.unionByName(now).groupBy("pattern", "kind").agg(F.max("score").alias("score"))
+        accepted, before, turn = stored(now, "patterns"), number, turn + 1
+        number = accepted.count()
+        if number == before and turn >= rounds:
+            return accepted
+        if number > before:
+            more = edges.where("seed IS NULL").join(accepted, "pattern").groupBy("value").agg(
+                F.max(F.struct("score", "kind")).alias("best")).select("value", F.col("best.kind").alias("more"))
+            labelled = stored(edges.join(more, "value", "left").select(
+                "pattern", "value", F.coalesce("seed", "more").alias("seed")), "pattern_edges")
 
 
 def discovered(docs: DataFrame) -> DataFrame:
@@ -182,8 +198,9 @@ def _listed(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base``, one array of (start, end) per kind, and ``extra``, discovered (kind, start, end).
 
-    Offsets are code points of the whole text, ends exclusive. NULL and empty texts have no spans. Discovered spans that
-    overlap a base span are left out, so base spans always stay. Rows are known by their doc_id and text, so repeated
+    Offsets are code points of the whole text, ends exclusive. NULL and empty texts have no spans, very long ones are read
+    to their end. Discovered spans that overlap a base span are left out, so base spans always stay; of kinds with equal
+    scores the last by name is told. Rows are known by their doc_id and text, so repeated
     rows have the same spans; an empty table stays empty. Columns named like the new ones are replaced, all others pass
     untouched.
     """
