@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm import syncmers
@@ -41,7 +42,11 @@ def test_anchors_depend_on_their_own_words_only(spark):
 
 
 def expected(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    def place(row):
+        h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed=42)
+        return row[0] is not None, row[0] or 0, h - (1 << 64) if h >> 63 else h
+
+    rows = sorted(rows, key=place)
     out = []
     for i, (doc, text) in enumerate(rows):
         text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
@@ -61,6 +66,20 @@ def test_next_documents_and_edits(spark, monkeypatch, ranges):
     assert got == sorted([x[:3] for x in expected(rows)], key=repr)
 
 
+def test_many_rows_of_one_id_are_cut_by_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE_BYTES", 2_000)
+    rows = [(None, f"without id {i} " * (1 + i % 4)) for i in range(300)] + [(7, f"same {i} " * 5) for i in range(300)]
+    rows += [(i, f"own {i}") for i in range(20, 60)] + [(7, "twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in digests(docs).collect()), key=repr)
+    assert got == sorted([x[:3] for x in expected(rows)], key=repr)
+    ordered = syncmers._in_id_order(docs)
+    assert ordered.rdd.getNumPartitions() > 10
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    # The window sorts the ranges where they were put, one task each.
+    assert plan.split("Window")[1].split("Union")[0].count("Exchange") == 1
+
+
 def test_likeness_against_sets(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = {r.doc_id: r for r in digests(docs).collect()}

@@ -6,6 +6,8 @@ whether it is chosen depends on its own words alone, so equal passages have equa
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from tidewatch.llm.common import text_of
 
 # Words of an anchor and of the inner runs that choose it: about half of the runs are chosen.
 K, S = 5, 2
-# Ranges of doc_id that are ordered apart, per shuffle partition.
-RANGES_PER_PARTITION = 2
+# Ranges of doc_id that are ordered apart: at least so many per shuffle partition, and one for so many bytes of text.
+RANGES_PER_PARTITION, RANGE_BYTES = 2, 64 * 1024 * 1024
 
 # Below any id, for rows without one.
 _NO_ID = -(1 << 63)
@@ -69,7 +71,7 @@ def printed(hashes: Column) -> Column:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column ``anchors``, see ``anchors``.
 
-    Every row is read by itself, whole: repeated rows have equal anchors, an empty table stays empty. A column of the
+    Every row is read by itself, whole, however long: repeated rows have equal anchors, an empty table stays empty. A column of the
     name ``anchors`` is replaced, all others pass untouched.
     """
     return docs.withColumn("anchors", anchors(F.col(f"`{text}`")))
@@ -78,14 +80,16 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 def _in_id_order(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and ``next_text``, that of the next row by doc_id; after the last comes the first.
 
-    Ids are cut into ranges at their quantiles, a range is sorted by one task, and the first row of the next range is
-    added to each. Only the bounds and first ids of the ranges, a few per shuffle partition, reach the driver. Rows of
-    one id follow each other by their text, rows without id come first.
+    Ids are cut into ranges at their quantiles, as many as the bytes of the texts need; a range of one id only, such as
+    that of all rows without id, is cut further by a hash of the text. Each range is sorted by one task of its own, and
+    the first row of the next range is added to it. Only bounds, bytes and first ids of the ranges reach the driver.
+    Rows of one id follow each other by that hash, then the text; rows without id come first.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of("text").alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_key"))
-    ranges = RANGES_PER_PARTITION * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(RANGES_PER_PARTITION * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), ceil(total / RANGE_BYTES))
     cuts = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     bounds = sorted(set(rows.agg(F.percentile_approx("_key", cuts, 100 * ranges)).first()[0] or []))
     # Bounds of bounds keep the search for a row's range short.
@@ -95,26 +99,42 @@ def _in_id_order(docs: DataFrame) -> DataFrame:
     before = F.size(F.filter(coarse, lambda b: b < F.col("_key"))) * step
     within = F.size(F.filter(F.slice(fine, before + 1, step), lambda b: b < F.col("_key")))
     rows = rows.withColumn("_range", before + within)
-    firsts = sorted(tuple(r) for r in rows.groupBy("_range").agg(F.min("_key")).collect())
-    if not firsts:
+    sizes = rows.groupBy("_range").agg(
+        F.sum(F.octet_length("text")).alias("bytes"), (F.min("_key") == F.max("_key")).alias("one")).collect()
+    if not sizes:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+    # Range and number of parts, with the number of parts before it.
+    parts, place = [], 0
+    for r in sorted(sizes):
+        n = ceil(r.bytes / RANGE_BYTES) if r.one and r.bytes > 2 * RANGE_BYTES else 1
+        parts.append((r._range, n, place))
+        place += n
+    hashed = F.xxhash64("text")
+    rows = rows.withColumn("_hash", hashed).join(
+        F.broadcast(spark.createDataFrame(parts, "_range int, _parts int, _place int")), "_range")
+    inner = F.least(F.floor((F.col("_hash") / float(1 << 64) + 0.5) * F.col("_parts")), F.col("_parts") - 1)
+    rows = rows.select("doc_id", "text", "_key", "_hash", (F.col("_place") + inner).cast("int").alias("_part"))
+    firsts = sorted((r._part, r.first._key, r.first._hash) for r in rows.groupBy("_part").agg(
+        F.min(F.struct("_key", "_hash")).alias("first")).collect())
     guests = spark.createDataFrame(
-        [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "_key long, _of int")
-    guest_rows = rows.drop("_range").join(F.broadcast(guests), "_key").groupBy("_of").agg(
+        [(key, h, firsts[i - 1][0]) for i, (_, key, h) in enumerate(firsts)], "_key long, _hash long, _of int")
+    guest_rows = rows.drop("_part").join(F.broadcast(guests), ["_key", "_hash"]).groupBy("_of").agg(
         F.min("text").alias("text")).select(
         F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(0).cast("long").alias("_key"),
-        F.col("_of").alias("_range"), F.lit(True).alias("_guest"))
+        F.lit(0).cast("long").alias("_hash"), F.col("_of").alias("_part"), F.lit(True).alias("_guest"))
     every = rows.withColumn("_guest", F.lit(False)).unionByName(guest_rows)
-    order = Window.partitionBy("_range").orderBy("_guest", "_key", "text")
-    return every.withColumn("next_text", F.lead("text").over(order)).where(~F.col("_guest")).drop(
-        "_key", "_range", "_guest")
+    order = Window.partitionBy("_part").orderBy("_guest", "_key", "_hash", "text")
+    return every.repartitionById(place, F.col("_part")).withColumn("next_text", F.lead("text").over(order)).where(
+        ~F.col("_guest")).drop("_key", "_hash", "_part", "_guest")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per row: its fingerprint, that of its edited text, and how like it these and the next document's are.
 
     The edited text has the last half of the code points replaced by as many from the start of the next text. NULL
-    texts are read as empty; see ``_in_id_order`` for ties.
+    texts are read as empty, very long ones whole; rows without id come first, and rows of one id in the order of a hash
+    of their texts. Repeated rows follow each other. Columns but ``doc_id`` and ``text`` are not looked at, so none
+    clashes; an empty table gives none.
     """
     row = _in_id_order(docs).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
