@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from checks.inputs import VIEWS
-from tidewatch.plans import quality
 
 RADIUS = 3000.0
 
@@ -194,12 +193,43 @@ def compose(select: str) -> str:
     return f"WITH {ctes}\n{select.strip()}" if ctes else select.strip()
 
 
-def checks_sql(as_of: str) -> str:
-    """All rules as one statement: (rule, severity, violations)."""
+# Which columns of a table must be known (a position is two columns), which values a column may take, and
+# which columns refer to another table. Written out here, apart from the rules under test.
+_NOT_NULL = """
+gbif_occurrences species individualcount eventdate lon lat
+obis_occurrences species individualcount eventdate lon lat
+divesites title lon lat
+occurrences event_date species individual_count lon lat source
+clustered_occurrences event_date species individual_count lon lat source
+species species is_endangered is_invasive species_type
+near_dive_site_occurrences dive_site event_date species individual_count distance_to_dive_site lon lat source proximity_rank
+monthly_species_occurrences dive_site species lon lat month event_date sighting_count
+divesite_species_frequency dive_site species sighting_count frequency_rank
+species_divesite_summary species is_endangered is_invasive species_type dive_site dive_site_latitude dive_site_longitude sighting_count frequency_rank
+divesite_species_detail dive_site dive_site_latitude dive_site_longitude species is_endangered is_invasive species_type sighting_count frequency_rank
+divesite_summary dive_site latitude longitude total_species total_sightings endangered_count invasive_count
+"""
+_ACCEPTED = """
+near_dive_site_occurrences source 'GBIF', 'OBIS'
+near_dive_site_occurrences proximity_rank 1
+monthly_species_occurrences month 'Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'
+species_divesite_summary species_type 'endangered', 'invasive', 'normal'
+divesite_species_detail species_type 'endangered', 'invasive', 'normal'
+occurrences source 'GBIF', 'OBIS'
+clustered_occurrences source 'GBIF', 'OBIS'
+species is_endangered TRUE, FALSE
+species is_invasive TRUE, FALSE
+species species_type 'endangered', 'invasive', 'normal'
+"""
+_RELATIONSHIPS = """
+near_dive_site_occurrences dive_site divesites title
+near_dive_site_occurrences species worms scientificName
+occurrences species worms scientificName
+"""
 
-    def literal(value) -> str:
-        return f"'{value}'" if isinstance(value, str) else str(value)
 
+def checks_sql(as_of: str) -> str:
+    """All rules as one statement: (rule, severity, violations)."""
     parts = []
 
     def add(rule: str, table: str, condition: str, severity: str = "error") -> None:
@@ -208,18 +238,15 @@ def checks_sql(as_of: str) -> str:
             f" FROM {table}"
         )
 
-    for table, names in quality.NOT_NULL.items():
+    for line in _NOT_NULL.strip().splitlines():
+        table, *names = line.split()
         for name in names:
             add(f"not_null:{table}.{name}", BY_NAME[table], f"{name} IS NULL")
-    for table, columns in quality.ACCEPTED.items():
-        for name, values in columns.items():
-            allowed = ", ".join(literal(value) for value in values)
-            add(f"accepted_values:{table}.{name}", BY_NAME[table], f"{name} NOT IN ({allowed})")
-    for table, names in quality.UNIQUE.items():
-        for name in names:
-            add(f"unique:{table}.{name}",
-                f"(SELECT {name}, count(*) AS n FROM {BY_NAME[table]} GROUP BY {name}) g", "n > 1")
-    for child, name, parent, parent_name in quality.RELATIONSHIPS:
+    for line in _ACCEPTED.strip().splitlines():
+        table, name, allowed = line.split(maxsplit=2)
+        add(f"accepted_values:{table}.{name}", BY_NAME[table], f"{name} NOT IN ({allowed})")
+    add("unique:species.species", "(SELECT species, count(*) AS n FROM m_species GROUP BY species) g", "n > 1")
+    for child, name, parent, parent_name in (line.split() for line in _RELATIONSHIPS.strip().splitlines()):
         add(f"relationships:{child}.{name}",
             f"(SELECT DISTINCT {name} AS v FROM {BY_NAME[child]}) c"
             f" LEFT JOIN (SELECT DISTINCT {parent_name} AS k FROM {BY_NAME[parent]}) p ON c.v = p.k", "k IS NULL")
