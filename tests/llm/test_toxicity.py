@@ -107,8 +107,8 @@ def test_stored_sample_gives_the_field_of_the_texts(spark, monkeypatch):
 
 def test_gradient_is_the_slope_of_the_likelihood(monkeypatch):
     texts, labels = ["one bad bad word. fine words", "fine words one", "bad words. bad one two"], [1, 0, 1]
-    known = toxicity.marks(np.unique([f for t in texts for f in toxicity.document_features(t)]), *np.ones((2, 99)), 9, 9)
-    known = toxicity.Marks(known.names, np.isin(known.names, toxicity._features("bad")))
+    names = np.unique([f for t in texts for f in toxicity.document_features(t)])
+    known = toxicity.Marks(names, np.isin(names, toxicity._features("bad")))
     b, size = toxicity.block(texts, labels, known), len(known.names)
     assert b.target.sum() == 4
     flat = np.random.default_rng(2).normal(size=3 * size + 5)
@@ -130,6 +130,12 @@ def test_gradient_is_the_slope_of_the_likelihood(monkeypatch):
     assert np.allclose(toxicity.gradient(b, toxicity.Weights.of(flat)), slope, atol=1e-6)
 
 
+def test_evidence_in_columns(spark):
+    pairs = [(a, b) for a in range(0, 31, 5) for b in range(0, 41, 8)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select(toxicity._evidence_column(F.col("a"), F.col("b"), 30, 40).alias("e"))
+    assert np.allclose([r.e for r in rows.collect()], toxicity._evidence(*np.array(pairs, dtype=float).T, 30, 40))
+
+
 def test_score_recomputed_token_by_token(field):
     text = "It was fine, but the moron said idiot. Nothing more here!\nAn idiot"
     total = most = 0.0

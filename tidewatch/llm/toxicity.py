@@ -20,15 +20,16 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import own_name, ship, stored, table, text_of
 
 # The bounded sample that the field is fitted on: so many documents per label, each whole.
 SAMPLE_DOCUMENTS = 1000
-# The field has weights for at most so many features: those in at least so many sampled documents, more if they are too many.
-FEATURES, LEAST_DOCUMENTS = 200_000, 3
+# The field has weights for features that tell the labels apart with this evidence (95 % of chance), in at least so many
+# sampled documents; if there are more than so many features, for those in the most documents.
+LEAST_TOLD, LEAST_DOCUMENTS, FEATURES = 3.84, 3, 200_000
 # The sample is stored in so many parts, tokenised in blocks of about so many code points.
 FIT_PARTS, BLOCK_CHARS = 16, 500_000
 # A feature marks toxic tokens at this evidence (likelihood ratio statistic) and share of toxic documents.
@@ -164,8 +165,21 @@ def marks(names: np.ndarray, toxic: np.ndarray, other: np.ndarray, n1: int, n0:
     """From the numbers of toxic and other documents that have each feature, of n1 and n0."""
     order = np.argsort(names)
     a, b = toxic[order].astype(float), other[order].astype(float)
-    marking = (_evidence(a, b, n1, n0) >= LEAST_EVIDENCE) & (a / n1 >= LEAST_SHARE * (a / n1 + b / n0)) & (a / n1 > 5 * b / n0)
-    return Marks(names[order], marking)
+    evidence = _evidence(a, b, n1, n0)
+    marking = (evidence >= LEAST_EVIDENCE) & (a / n1 >= LEAST_SHARE * (a / n1 + b / n0)) & (a / n1 > 5 * b / n0)
+    told = evidence >= LEAST_TOLD
+    return Marks(names[order][told], marking[told])
+
+
+def _evidence_column(toxic: Column, other: Column, n1: int, n0: int) -> Column:
+    """``_evidence`` of two counts as a column."""
+    n, k = n1 + n0, toxic + other
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+
+    return 2 * (part(toxic, n1 * k / n) + part(other, n0 * k / n)
+                + part(n1 - toxic, n1 * (n - k) / n) + part(n0 - other, n0 * (n - k) / n))
 
 
 class Block(NamedTuple):
@@ -440,7 +454,8 @@ def fit_stored(sample: DataFrame, labels: list[int], priors: tuple[int, int]) ->
     toxic, other = F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other")
     often = stored(sample.select("label", F.explode(features("text")).alias("feature")).groupBy("feature").agg(
         toxic, other).withColumn("documents", F.col("toxic") + F.col("other")).where(
-        F.col("documents") >= LEAST_DOCUMENTS), "toxicity_features")
+        F.col("documents") >= LEAST_DOCUMENTS).where(
+        _evidence_column(F.col("toxic"), F.col("other"), n1, n0) >= 0.999 * LEAST_TOLD), "toxicity_features")
     least, room = LEAST_DOCUMENTS, FEATURES
     for r in often.groupBy("documents").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("documents")).collect():
         room -= r.n
