@@ -7,7 +7,7 @@ sampled with a probability in proportion to its cell's weight.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import own_name, stored, text_of
@@ -64,7 +64,8 @@ def cell_weights(cells: DataFrame, targets: dict[str, dict[str, float]] | None =
     """``cells`` (source, lang, topic, tokens) with ``weight``; a cell without tokens keeps weight 1.
 
     ``targets`` has the weights of values by dimension. Weighted tokens sum to all tokens after each scaling. Each
-    round is written and read back; of the cells only totals, single numbers, reach the driver.
+    round is written and read back, its sums are taken beside the cells without a join; of the cells only totals, single
+    numbers, reach the driver.
     """
     cells = stored(cells.withColumn("weight", F.lit(1.0)), "cells")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -73,15 +74,16 @@ def cell_weights(cells: DataFrame, targets: dict[str, dict[str, float]] | None =
         sums = cells.groupBy(of).agg(F.sum("tokens").alias("own"))
         shares = sums.where(F.col("own") > 0).select(of, (F.col("own") / F.lit(total)).alias("share"))
         wanted[of] = stored(_targets(shares, of, (targets or {}).get(of)), "targets")
+    for of in DIMENSIONS:
+        cells = cells.join(wanted[of].withColumnRenamed("target", f"{of}_target"), of, "left")
+    cells = stored(cells, "cells")
     for _ in range(rounds):
         for of in DIMENSIONS:
-            sums = cells.groupBy(of).agg(F.sum(F.col("tokens") * F.col("weight")).alias("own"))
-            factor = sums.join(wanted[of], of).select(
-                of, (F.col("target") * F.lit(total) / F.col("own")).alias("factor"))
-            cells = cells.join(factor, of, "left").select(
-                *DIMENSIONS, "tokens", (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"))
+            own = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(of))
+            factor = F.col(f"{of}_target") * F.lit(total) / own
+            cells = cells.withColumn("weight", F.col("weight") * F.coalesce(factor, F.lit(1.0)))
         cells = stored(cells, "cells")
-    return cells
+    return cells.select(*DIMENSIONS, "tokens", "weight")
 
 
 def chance(doc_id: Column, seed: str = SEED) -> Column:
