@@ -77,3 +77,17 @@ def test_near_duplicates_are_linked_at_four_fifths(spark, stages):
         expected = brute.components(brute.shingle_sets([(r.doc_id, r.text) for r in some.collect()]), 80)
         out = corpus_pipeline.without_near_duplicates(spark, some, FOLDER)
         assert sorted(r.doc_id for r in out.collect()) == sorted(set(expected.values()))
+
+
+def test_columns_of_the_caller_survive(spark, stages):
+    own = ("n_lines", "n_dropped", "mix_topic", "probability", "Sampled", "score", "spans", "ids", "n_tokens", "topic", "label", "_gone")
+    docs = stages[0].limit(60).select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in own))
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(1).select(
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema)))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, FOLDER), name)
+        assert out.columns[:len(docs.columns)] == docs.columns
+        broken = out.where(" OR ".join(f"NOT (`{c}` <=> '{c} ' || doc_id)" for c in own))
+        assert broken.count() == 0
+        docs = out
+    assert docs.columns[-2:] == ["ids_", "n_tokens_"] and docs.where("octet_length(ids_) <> 4 * n_tokens_").count() == 0

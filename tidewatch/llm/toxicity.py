@@ -435,7 +435,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     if len(set(chosen.values())) < 2:
         return None
     ids = docs.sparkSession.createDataFrame(list(chosen.items()), "_id long, label int")
-    texts = docs.where(F.col("text").isNotNull()).join(
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(
         F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
     # One order of the documents in each part, so that equal inputs give equal sums.
     sample = stored(texts.repartition(FIT_PARTS, "_id").sortWithinPartitions("_id"), "toxicity_sample")
