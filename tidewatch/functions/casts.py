@@ -25,7 +25,9 @@ def safe_timestamp(value: Column) -> Column:
     # A date before a zone gets a clock, and what the cast wants in capitals or as a space is written so.
     timed = F.regexp_replace(value, f"^({_DATE})(?={_ZONE}$)", "$1 00:00:00")
     spelled = F.regexp_replace(F.regexp_replace(timed, r"(?<=[0-9])[Tt](?=[0-9])", " "), "(?<=[0-9])z$", "Z")
-    return F.when(value.rlike(LOCAL_TIMESTAMP), spelled.try_cast("timestamp_ntz")).when(
+    # The usual form needs no rewriting: its one letter is the T before the clock.
+    local = F.translate(value, "t", "T").try_cast("timestamp_ntz")
+    return F.when(value.rlike(LOCAL_TIMESTAMP), local).when(
         value.rlike(ZONED_TIMESTAMP), _utc_clock(spelled.try_cast("timestamp")))
 
 
