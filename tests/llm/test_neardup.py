@@ -122,3 +122,25 @@ def test_the_percentage_is_a_parameter(spark, monkeypatch):
     expected = brute.components(sets, 80)
     assert expected != brute.components(sets)
     assert {r.doc_id: r.component_id for r in components(docs, 80).collect()} == expected
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_pairs_at_the_threshold_stay_together_in_branching_nodes(spark, monkeypatch, levels):
+    """Thousands of documents share most of a passage, so nodes stay large; pairs in them are just similar enough.
+
+    Each pair has 115 of 135 shingles in common (0.852), all other documents 76 of 174 (0.44). Of 300 pairs at most one may
+    be missed by every tree, with nodes of the operator's own size, and of a quarter of it, which branch more often.
+    """
+    monkeypatch.setattr(neardup, "SMALL", neardup.SMALL // (1 if levels == 1 else 4))
+    passage = [f"p{i}" for i in range(80)]
+    docs, pairs = [], 300
+    for i in range(4_000):
+        words = passage + [f"d{i}w{j}" for j in range(49)]
+        docs.append((2 * i, " ".join(words)))
+        if i < pairs:
+            docs.append((2 * i + 1, " ".join(words[:-10] + [f"e{i}w{j}" for j in range(10)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r.component_id for r in neardup.components(frame).collect()}
+    together = sum(out[2 * i] == out[2 * i + 1] for i in range(pairs))
+    assert together >= pairs - 1
+    assert all(c in (d, d - 1) for d, c in out.items())
