@@ -37,7 +37,7 @@ LEAST_EVIDENCE, LEAST_SHARE = 20.0, 0.7
 PREFIXES = (4, 5, 6, 7)
 ROUNDS, STEP, PENALTY = 40, 1.0, 0.02
 # Texts are tagged together up to this many tokens; words are remembered up to this many.
-BATCH_TOKENS, REMEMBER_WORDS = 400_000, 500_000
+BATCH_TOKENS, REMEMBER_WORDS = 400_000, 200_000
 SPAN_MARGINAL = 0.5
 # Smaller marginals count as 0 wherever the method's marginals are used, in fitting the calibration as in scoring: else
 # the many unknown words of a long text would add up. A document whose every token is below has the score of no token.
