@@ -54,3 +54,8 @@ def test_pieces_add_up(spark):
     assert rows(pieces.groupBy("k").agg(F.sum(COPIES), F.max(COPIES), F.count(F.lit(1)))) == [
         ("a", 7, 3, 3), ("b", 1, 1, 1), ("c", 6, 3, 2)]
     assert rows(repeated(pieces.drop("_piece"))) == rows(repeated(counted))
+
+
+def test_distinct_species_need_no_copies(tables):
+    found = QUERIES["a4_distinct_species"].run(tables)
+    assert names_joined_once(found, 1) and rows(found) == [("a",), ("b",)]
