@@ -59,3 +59,10 @@ def test_pieces_add_up(spark):
 def test_distinct_species_need_no_copies(tables):
     found = QUERIES["a4_distinct_species"].run(tables)
     assert names_joined_once(found, 1) and rows(found) == [("a",), ("b",)]
+
+
+def test_the_clock_counts_copies(tables):
+    found = QUERIES["d13_clock_of_the_check"].run(tables)
+    assert names_joined_once(found) and rows(found) == [(22, 0)]
+    nothing = tables.counted.where("species = 'none'")
+    assert rows(nothing.agg(count_rows(nothing))) == [(0,)]
