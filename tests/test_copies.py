@@ -66,3 +66,8 @@ def test_the_clock_counts_copies(tables):
     assert names_joined_once(found) and rows(found) == [(22, 0)]
     nothing = tables.counted.where("species = 'none'")
     assert rows(nothing.agg(count_rows(nothing))) == [(0,)]
+
+
+def test_late_records_are_repeated_after_the_filter(tables):
+    found = QUERIES["d13_no_future_dates"].run(tables)
+    assert names_joined_once(found) and sorted(r.species for r in found.collect()) == ["a"] * 7 + ["b"]
