@@ -71,3 +71,15 @@ def test_the_clock_counts_copies(tables):
 def test_late_records_are_repeated_after_the_filter(tables):
     found = QUERIES["d13_no_future_dates"].run(tables)
     assert names_joined_once(found) and sorted(r.species for r in found.collect()) == ["a"] * 7 + ["b"]
+
+
+@pytest.mark.parametrize("rank_by", [None, "occurrence"])
+def test_counted_records_give_counted_pairs(tables, rank_by):
+    pairs = models.near_dive_site_occurrences(tables.counted, tables.sites, rank_by=rank_by)
+    plain = models.near_dive_site_occurrences(expanded(tables), tables.sites, rank_by=rank_by)
+    assert COPIES in pairs.columns and pairs.count() == (6 if rank_by is None else 3)
+    assert rows(repeated(pairs)) == rows(plain)
+
+
+def test_all_pairs_are_repeated(tables):
+    assert QUERIES["j2_within_distance"].run(tables).count() == 2 * (2 * 7 + 1)
