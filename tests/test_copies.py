@@ -83,3 +83,8 @@ def test_counted_records_give_counted_pairs(tables, rank_by):
 
 def test_all_pairs_are_repeated(tables):
     assert QUERIES["j2_within_distance"].run(tables).count() == 2 * (2 * 7 + 1)
+
+
+def test_distance_rules_repeat_what_breaks_them(tables):
+    found = QUERIES["d6_distance_rules"].run(tables)
+    assert names_joined_once(found) and sorted(r.dive_site for r in found.collect()) == ["S"] * 7 + ["T"] * 7
