@@ -88,3 +88,8 @@ def test_all_pairs_are_repeated(tables):
 def test_distance_rules_repeat_what_breaks_them(tables):
     found = QUERIES["d6_distance_rules"].run(tables)
     assert names_joined_once(found) and sorted(r.dive_site for r in found.collect()) == ["S"] * 7 + ["T"] * 7
+
+
+def test_nearest_site_of_each_copy(tables):
+    found = QUERIES["w1_nearest_per_occurrence"].run(tables)
+    assert names_joined_once(found) and sorted(r.dive_site for r in found.collect()) == ["S"] * 15
