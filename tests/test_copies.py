@@ -93,3 +93,9 @@ def test_distance_rules_repeat_what_breaks_them(tables):
 def test_nearest_site_of_each_copy(tables):
     found = QUERIES["w1_nearest_per_occurrence"].run(tables)
     assert names_joined_once(found) and sorted(r.dive_site for r in found.collect()) == ["S"] * 15
+
+
+def test_closest_pair_of_a_timestamp_needs_no_copies(tables):
+    assert names_joined_once(QUERIES["p5_near_dev"].run(tables))
+    near = models.near_dive_site_occurrences(tables.counted, tables.sites)
+    assert rows(near) == rows(models.near_dive_site_occurrences(expanded(tables), tables.sites)) and near.count() == 2
