@@ -99,3 +99,21 @@ def test_closest_pair_of_a_timestamp_needs_no_copies(tables):
     assert names_joined_once(QUERIES["p5_near_dev"].run(tables))
     near = models.near_dive_site_occurrences(tables.counted, tables.sites)
     assert rows(near) == rows(models.near_dive_site_occurrences(expanded(tables), tables.sites)) and near.count() == 2
+
+
+def test_counted_rows_are_written_with_every_copy(spark, tmp_path):
+    path = str(tmp_path / "t")
+    counted = spark.range(3000, numPartitions=5).selectExpr(
+        "CONCAT('k', LPAD(id % 40, 2, '0')) AS species", "id", "TIMESTAMP_NTZ'2020-01-01 00:00:00' + MAKE_DT_INTERVAL(id % 60) AS at",
+        "(id % 90) * 1.0D AS lon", "(id % 70) * 1.0D AS lat", f"CASE WHEN id % 40 = 7 THEN 90L ELSE 1 + id % 3 END AS {COPIES}")
+    whole = rows(repeated(counted))
+    for layout in ({}, {"partitions": 3}, {"cluster_by": ["species"]}, {"cluster_by": ["species"], "partitions": 12},
+                   {"partition_month": "at", "cluster_by": ["geography"]}, {"partition_month": "at", "partitions": 4}):
+        writers.write_table(counted, path, **layout)
+        assert rows(spark.read.parquet(path).select("species", "id", "at", "lon", "lat")) == whole, layout
+    writers.write_table(counted, path, cluster_by=["species"], partitions=12)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.collect_list("species"), F.count(F.lit(1))).collect()
+    assert len(files) >= 8 and all(r[1] == sorted(r[1]) for r in files)
+    # Name k07 has half of all rows; the file sizes follow the copies.
+    assert max(r[2] for r in files) < 3 * len(whole) / 12
+    assert joins.measure_repeated(counted)[1].rows == len(whole)
