@@ -117,3 +117,18 @@ def test_counted_rows_are_written_with_every_copy(spark, tmp_path):
     # Name k07 has half of all rows; the file sizes follow the copies.
     assert max(r[2] for r in files) < 3 * len(whole) / 12
     assert joins.measure_repeated(counted)[1].rows == len(whole)
+
+
+def test_every_month_holds_every_copy(tables):
+    found = QUERIES["k3_every_month"].run(tables)
+    assert rows(found.groupBy("event_month", "species").count()) == [
+        ("1996-05-01", "a", 14), ("2001-01-01", "b", 1), ("2001-02-01", "a", 7)]
+
+
+@pytest.mark.parametrize("name", ["k3_every_month", "k3_write_by_month", "k3_read_event_dates", "k4_write_clustered_by_species",
+                                  "k4_clustered_files_skip"])
+def test_rows_are_ordered_once_and_then_repeated(tables, monkeypatch, name):
+    written, plain = [], writers.write_table
+    monkeypatch.setattr(writers, "write_table", lambda df, *args, **layout: (written.append(df), plain(df, *args, **layout)))
+    QUERIES[name].run(tables)
+    assert written and all(COPIES in df.columns for df in written)
