@@ -132,3 +132,11 @@ def test_rows_are_ordered_once_and_then_repeated(tables, monkeypatch, name):
     monkeypatch.setattr(writers, "write_table", lambda df, *args, **layout: (written.append(df), plain(df, *args, **layout)))
     QUERIES[name].run(tables)
     assert written and all(COPIES in df.columns for df in written)
+
+
+def test_bounds_of_files_are_hashed(spark, tmp_path):
+    spark.range(100).selectExpr("CONCAT('k', id) AS species", "id").write.parquet(str(tmp_path / "t"))
+    found = _files_that_may_hold(spark.read.parquet(str(tmp_path / "t")), {"species": "k5"}, {"species": "k6"})
+    # The sort that a smallest text needs runs over the values of a file, not over its rows.
+    assert re.search(r"HashAggregate\(keys=\[[^\]]*species#", plan(found))
+    assert found.first().files >= 1
