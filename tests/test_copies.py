@@ -140,3 +140,10 @@ def test_bounds_of_files_are_hashed(spark, tmp_path):
     # The sort that a smallest text needs runs over the values of a file, not over its rows.
     assert re.search(r"HashAggregate\(keys=\[[^\]]*species#", plan(found))
     assert found.first().files >= 1
+
+
+def test_rules_weigh_copies(spark, tables):
+    counted = tables.counted.withColumn("individual_count", F.when(F.col("species") == "a", 0).otherwise(1).cast("bigint"))
+    rule = {"x": F.col("individual_count") <= 0}
+    assert rows(quality._tally(counted, rule)) == [("x", 21)]
+    assert rows(quality.missing_references(counted, "species", counted.limit(0), "species")) == [("a", 21), ("b", 1)]
