@@ -147,3 +147,11 @@ def test_rules_weigh_copies(spark, tables):
     rule = {"x": F.col("individual_count") <= 0}
     assert rows(quality._tally(counted, rule)) == [("x", 21)]
     assert rows(quality.missing_references(counted, "species", counted.limit(0), "species")) == [("a", 21), ("b", 1)]
+
+
+def test_copies_are_counted_while_written(spark, tables, tmp_path):
+    counted = tables.counted.withColumn("event_date", F.lit(AS_OF).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+    watched, counts = quality.observed(counted, "occurrences", as_of=AS_OF)
+    writers.write_table(watched, str(tmp_path / "t"))
+    assert counts()["no_future_dates"] == 22 == spark.read.parquet(str(tmp_path / "t")).count()
+    assert counts()["individual_count_positive"] == 0
