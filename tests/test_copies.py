@@ -155,3 +155,13 @@ def test_copies_are_counted_while_written(spark, tables, tmp_path):
     writers.write_table(watched, str(tmp_path / "t"))
     assert counts()["no_future_dates"] == 22 == spark.read.parquet(str(tmp_path / "t")).count()
     assert counts()["individual_count_positive"] == 0
+
+
+def test_the_build_works_on_counted_records(spark, monkeypatch):
+    seen, plain = [], models.near_dive_site_occurrences
+    monkeypatch.setattr(models, "near_dive_site_occurrences", lambda records, *a, **k: (seen.append(records), plain(records, *a, **k))[1])
+    given = Tables(spark, FOLDER)
+    built = model_build(given)
+    assert build.models is models and COPIES in seen[0].columns
+    for name in ("occurrences", "clustered_occurrences"):
+        assert rows(built[name]) == rows(given.occurrences), name
