@@ -139,6 +139,18 @@ def test_build_equals_the_lazy_tables(spark):
         assert rows(built[name].select(lazy.columns)) == rows(lazy), name
 
 
+def test_a_date_is_read_once_a_row(spark):
+    """Also where only other columns are used, and the text of the date is computed itself."""
+    raw = spark.sql("""SELECT species, '3' AS individualCount, concat(day, '') AS eventDate, 1.0D AS decimalLongitude, 2.0D AS decimalLatitude
+      FROM VALUES ('a', '2024-05-01 10:00:00+02:00'), ('b', '2024-05-01'), ('c', 'unknown'), ('d', NULL), (NULL, '2024-05-01') v(species, day)""")
+    staged = staging.stage_obis(raw)
+    assert [(r[0], r[1], str(r[2])) for r in rows(staged)] == [("a", 3, "2024-05-01 08:00:00"), ("b", 3, "2024-05-01 00:00:00")]
+    table = Tables(spark, FOLDER)
+    for df in (table.obis, table.obis.select("species")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("make_dt_interval") == 1
+    assert sorted(r[0] for r in rows(staged.select("species"))) == ["a", "b"]
+
+
 def test_development_mode_is_a_part_of_the_whole(spark):
     t = Tables(spark, FOLDER)
     part = staging.stage_obis(t.obis_raw, dev=True)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.inputs import Tables
+from checks.registry import QUERIES
 from checks.stored import nested_observations, put_file
 from tests.conftest import FOLDER, plan, rows
 from tidewatch.functions.sampling import sample_files
@@ -188,6 +189,49 @@ def test_the_closest_pair_of_a_timestamp_never_leaves_its_month(spark, tables):
         assert rows(part) == [r for r in whole if r[at].replace(day=1, hour=0, minute=0, second=0, microsecond=0) == month]
 
 
+@pytest.mark.parametrize("name", ["k3_restated_site_summary"])
+def test_records_are_made_once(spark, monkeypatch, name):
+    """The species and the frequencies both start from records that are stored, and those are not stored again."""
+    gbif = spark.sql("""SELECT * FROM VALUES ('a', 1L, TIMESTAMP_NTZ'1996-03-05 00:00:00', 10.0D, 0.0D),
+        ('b', 20L, TIMESTAMP_NTZ'1996-03-06 00:00:00', 10.0D, 0.0D), ('a', 3L, TIMESTAMP_NTZ'1995-06-01 00:00:00', 10.0D, 0.0D),
+        ('a', 3L, TIMESTAMP_NTZ'2001-01-01 00:00:00', 10.0D, 0.0D), ('c', 3L, TIMESTAMP_NTZ'2001-01-02 00:00:00', 10.0D, 0.0D)
+        v(species, individualcount, eventdate, lon, lat)""")
+    names = spark.createDataFrame([("a",), ("b",)], "scientificName string")
+    t = Tables(spark, FOLDER, {
+        "gbif": gbif, "obis": gbif.limit(0), "worms": names, "redlist": names.limit(1), "invasive": names.limit(0),
+        "sites": spark.createDataFrame([("S", 10.0, 0.0)], "title string, lon double, lat double"),
+        "species_enrichment": spark.createDataFrame([("a", "A", "", None)], schemas.ENRICHMENT)})
+    used, paths = [], []
+    for function in ("species", "near_dive_site_occurrences"):
+        monkeypatch.setattr(models, function, lambda df, *args, f=getattr(models, function), **named: (
+            used.append(df.inputFiles()), f(df, *args, **named))[1])
+    new_path = writers.new_table_path
+    monkeypatch.setattr(writers, "new_table_path", lambda *args: (paths.append(args[1]), new_path(*args))[1])
+    found = rows(QUERIES[name].run(t))
+    assert used and all(used) and all(files == used[0] for files in used)
+    assert "unordered" not in paths
+    if name == "k3_restated_site_summary":
+        assert found == [("S", 0.0, 10.0, 2, 2, 1, 0)]
+    else:
+        assert sorted((r[0], r[4], r[11], r[12]) for r in found) == [(4, "a", 3, 1), (4, "b", 1, 2), (16, "a", 3, 1), (16, "b", 1, 2)]
+
+
+def test_stored_rows_are_clustered_without_a_copy(spark, tmp_path, monkeypatch):
+    spark.sql("""SELECT TIMESTAMP_NTZ'2020-01-01 06:00:00' + make_interval(0, 0, 0, CAST(id % 90 AS INT)) AS event_date,
+      CAST(id % 300 - 150 AS DOUBLE) AS lon, CAST(id % 7 AS DOUBLE) AS lat, id FROM range(2000)""").write.parquet(f"{tmp_path}/in")
+    given, made = spark.read.parquet(f"{tmp_path}/in"), []
+    monkeypatch.setattr(writers, "new_table_path", lambda *args: made.append(args) or f"{tmp_path}/between")
+    layout = {"partition_month": "event_date", "cluster_by": ["geography"], "partitions": 6}
+    writers.write_table(given, f"{tmp_path}/stored", **layout, stored=True)
+    assert not made
+    writers.write_table(given, f"{tmp_path}/copied", **layout)
+    stored, copied = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("stored", "copied"))
+    assert len(made) == 1 and rows(stored) == rows(copied) and rows(stored.drop("event_month")) == rows(given)
+    held = [{(r.m, r.low, r.high, r.n) for r in df.groupBy(F.input_file_name(), F.col("event_month").alias("m")).agg(
+        F.min("lon").alias("low"), F.max("lon").alias("high"), F.count(F.lit(1)).alias("n")).collect()} for df in (stored, copied)]
+    assert held[0] == held[1]
+
+
 # --- reading -----------------------------------------------------------------------------------------------
 
 
