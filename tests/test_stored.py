@@ -189,7 +189,7 @@ def test_the_closest_pair_of_a_timestamp_never_leaves_its_month(spark, tables):
         assert rows(part) == [r for r in whole if r[at].replace(day=1, hour=0, minute=0, second=0, microsecond=0) == month]
 
 
-@pytest.mark.parametrize("name", ["k3_restated_site_summary"])
+@pytest.mark.parametrize("name", ["k3_restated_site_summary", "j5_detail_from_buckets"])
 def test_records_are_made_once(spark, monkeypatch, name):
     """The species and the frequencies both start from records that are stored, and those are not stored again."""
     gbif = spark.sql("""SELECT * FROM VALUES ('a', 1L, TIMESTAMP_NTZ'1996-03-05 00:00:00', 10.0D, 0.0D),
