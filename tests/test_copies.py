@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from checks.inputs import Tables
@@ -134,6 +135,52 @@ def test_rows_are_ordered_once_and_then_repeated(tables, monkeypatch, name):
     assert written and all(COPIES in df.columns for df in written)
 
 
+def test_copies_are_not_sorted_by_month_again(spark, tables, tmp_path, monkeypatch):
+    plans, plain, kept = [], DataFrameWriter.parquet, "spark.sql.maxConcurrentOutputFileWriters"
+    spark.sql(f"""CREATE TABLE months (event_date timestamp_ntz, species string, individual_count bigint, lon double, lat double,
+        source string, event_month date) USING parquet PARTITIONED BY (event_month) LOCATION '{tmp_path}/months'""")
+
+    def explained(writer, path, *args, **named):
+        if path == f"{tmp_path}/t":
+            writer._df.createOrReplaceTempView("written")
+            plans.append(spark.sql("EXPLAIN INSERT OVERWRITE months SELECT * FROM written").first()[0])
+        return plain(writer, path, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", explained)
+    before = spark.conf.get(kept)
+    try:
+        writers.write_table(tables.counted, f"{tmp_path}/t", partition_month="event_date", cluster_by=["geography"])
+        assert len(plans) == 1 and "WriteFiles" in plans[0] and "Generate explode(array_repeat" in plans[0]
+        assert "Sort [" not in plans[0].split("Generate explode(array_repeat")[0]
+    finally:
+        spark.sql("DROP TABLE months")
+    # The settings of the write are gone after it.
+    assert spark.conf.get(kept) == before and rows(spark.read.parquet(f"{tmp_path}/t").drop("event_month")) == rows(repeated(tables.counted))
+
+
+def test_a_range_of_many_months(spark, tmp_path):
+    counted = spark.range(400, numPartitions=3).selectExpr(
+        "id", "TIMESTAMP_NTZ'2020-01-05 00:00:00' + MAKE_YM_INTERVAL(0, CAST(id % 100 AS INT)) AS at", "(id % 9) * 1.0D AS lon",
+        "0.0D AS lat", f"1 + id % 3 AS {COPIES}")
+    assert writers.OPEN_MONTHS < 100
+    writers.write_table(counted, str(tmp_path / "t"), partition_month="at", cluster_by=["geography"], partitions=1)
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert rows(read.select("id", "at", "lon", "lat")) == rows(repeated(counted))
+    files = read.groupBy(F.input_file_name()).agg(F.count_distinct("event_month"), F.collect_list("lon")).collect()
+    assert len(files) == 100 and all(r[1] == 1 and r[2] == sorted(r[2]) for r in files)
+
+
+@pytest.mark.parametrize("name", ["k3_every_month", "k3_write_by_month"])
+def test_no_row_formats_its_month(tables, name):
+    found = QUERIES[name].run(tables)
+    assert "date_format" not in plan(found) and dict(found.dtypes)["event_month"] == "string"
+    year = [("1996-05-01", "a", 14)]
+    assert rows(found.groupBy("event_month", "species").count()) == year + (
+        [("2001-01-01", "b", 1), ("2001-02-01", "a", 7)] if name == "k3_every_month" else [])
+    if name == "k3_write_by_month":
+        assert "event_month" in plan(found).split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_bounds_of_files_are_hashed(spark, tmp_path):
     spark.range(100).selectExpr("CONCAT('k', id) AS species", "id").write.parquet(str(tmp_path / "t"))
     found = _files_that_may_hold(spark.read.parquet(str(tmp_path / "t")), {"species": "k5"}, {"species": "k6"})
