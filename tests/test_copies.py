@@ -204,6 +204,22 @@ def test_copies_are_counted_while_written(spark, tables, tmp_path):
     assert counts()["individual_count_positive"] == 0
 
 
+def test_observed_pairs_of_many_sites_stay_off_the_driver(tables, tmp_path, monkeypatch, shuffle_only):
+    tables.sites.write.parquet(str(tmp_path / "sites"))
+    tables.__dict__["sites"] = tables.spark.read.parquet(str(tmp_path / "sites"))
+    for name in ("species", "gbif_raw"):
+        table = tables.spark.sql("SELECT 'a' AS species, TRUE AS is_endangered, FALSE AS is_invasive, 'normal' AS species_type,"
+                                 " 1L AS individualcount, TIMESTAMP_NTZ'2020-01-01 00:00:00' AS eventdate, 0D AS decimallongitude, 0D AS decimallatitude")
+        tables.__dict__[name] = table
+    written = []
+    monkeypatch.setattr(writers, "write_table", lambda df, *args, **layout: written.append(df))
+    monkeypatch.setattr(quality, "observed", lambda df, *args, **named: (df, dict))
+    QUERIES["d_observed_while_writing"].run(tables)
+    # What may be broadcast is the tiles, bounded by the sphere; neither the cells nor the names.
+    text = plan(written[2])
+    assert text.count("SortMergeJoin") == 2 and text.count("BroadcastExchange") == 1
+
+
 def test_the_build_works_on_counted_records(spark, monkeypatch):
     seen, plain = [], models.near_dive_site_occurrences
     monkeypatch.setattr(models, "near_dive_site_occurrences", lambda records, *a, **k: (seen.append(records), plain(records, *a, **k))[1])
