@@ -220,6 +220,22 @@ def test_observed_pairs_of_many_sites_stay_off_the_driver(tables, tmp_path, monk
     assert text.count("SortMergeJoin") == 2 and text.count("BroadcastExchange") == 1
 
 
+def test_the_build_copies_records_only_where_they_are_watched(spark, monkeypatch):
+    given, laid = Tables(spark, FOLDER), {}
+    inputs = {"gbif": given.gbif_raw, "obis": given.obis_raw, "worms": given.worms, "redlist": given.redlist, "invasive": given.invasive,
+              "divesites": given.divesites_raw, "species_enrichment": given.species_enrichment}
+
+    def replaced(table, folder, **layout):
+        laid[folder.split("/")[-1]] = layout.get("stored")
+        return table
+
+    monkeypatch.setattr(build, "replace_table", replaced)
+    monkeypatch.setattr(quality, "observed", lambda table, *args, **named: (table, dict))
+    for observed in (None, {}):
+        build.build_tables(spark, inputs, "unused", observed=observed)
+        assert {laid[name] for name in ("occurrences", "clustered_occurrences")} == {observed is None}
+
+
 def test_the_build_works_on_counted_records(spark, monkeypatch):
     seen, plain = [], models.near_dive_site_occurrences
     monkeypatch.setattr(models, "near_dive_site_occurrences", lambda records, *a, **k: (seen.append(records), plain(records, *a, **k))[1])
