@@ -181,6 +181,15 @@ def test_no_row_formats_its_month(tables, name):
         assert "event_month" in plan(found).split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_both_layouts_are_cut_from_one_set_of_records(tables, monkeypatch):
+    written, paths, plain, new_path = [], [], writers.write_table, writers.new_table_path
+    monkeypatch.setattr(writers, "new_table_path", lambda *args: (paths.append(args[1]), new_path(*args))[1])
+    monkeypatch.setattr(writers, "write_table", lambda df, *args, **layout: (written.append(df.inputFiles()), plain(df, *args, **layout)))
+    found = QUERIES["k4_clustered_files_skip"].run(tables)
+    assert len(written) == 2 and written[0] and written[0] == written[1] and "unordered" not in paths
+    assert "input_file_name" not in plan(found) and sorted(r.layout for r in found.collect()) == ["geography", "species"]
+
+
 def test_bounds_of_files_are_hashed(spark, tmp_path):
     spark.range(100).selectExpr("CONCAT('k', id) AS species", "id").write.parquet(str(tmp_path / "t"))
     found = _files_that_may_hold(spark.read.parquet(str(tmp_path / "t")), {"species": "k5"}, {"species": "k6"})
